@@ -27,6 +27,20 @@ def is_finite(c: Column) -> Column:
     return ~is_invalid(c)
 
 
+def finite_text(name: str) -> str:
+    """``finite_or_null`` of a named column as SQL text.
+
+    Wide plans are built from text: one call per expression instead of one per operator.
+    """
+    c = f"CAST(`{name}` AS DOUBLE)"
+    return f"CASE WHEN isnan({c}) OR abs({c}) = DOUBLE('Infinity') THEN NULL ELSE {c} END"
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def finite_or_null(c: Column) -> Column:
     return F.when(is_finite(c), c)
 

@@ -8,9 +8,7 @@ from ecoframe import config
 from ecoframe.functions.nulls import (
     all_of,
     col,
-    finite_or_null,
-    is_finite,
-    keys_match,
+    finite_text,
     safe_div,
     sum_of,
     sum_or_zero,
@@ -18,6 +16,7 @@ from ecoframe.functions.nulls import (
 from ecoframe.operators import joins
 from ecoframe.operators.ranking import first_per_key, quantiles
 from ecoframe.operators.skew import attach, blocked_join
+from ecoframe.session import materialise
 
 ALPHA_METRICS = [
     "Total_abundance",
@@ -168,75 +167,56 @@ def impute_hierarchical(df: DataFrame, columns: list[str]) -> DataFrame:
     aggregated once, and everything above works on the block table.
     """
     present = [c for c in columns if c in df.columns]
-    rows = F.count(F.lit(1)).alias("__n")
-    base = df.groupBy("SS", "SSB").agg(
-        rows,
-        *[F.sum(finite_or_null(col(c).cast("double"))).alias(f"__s{i}") for i, c in enumerate(present)],
-        *[F.count(finite_or_null(col(c).cast("double"))).alias(f"__c{i}") for i, c in enumerate(present)],
-    )
     idx = range(len(present))
-    # Block means use the block key alone, over all studies it may appear in; null keys never match.
-    block = base.groupBy("SSB").agg(
-        *[safe_div(F.sum(f"__s{i}"), F.sum(f"__c{i}")).alias(f"__mb{i}") for i in idx]
-    )
-    level1 = attach(base, block, ["SSB"], null_safe=False)
-
-    def filled(i: int, total: str, count: str, mean: str, size: str = "__n") -> tuple[Column, Column]:
-        has = F.col(mean).isNotNull()
-        s = F.coalesce(F.col(total), F.lit(0.0)) + F.when(
-            has, (F.col(size) - F.col(count)) * F.col(mean)
-        ).otherwise(0.0)
-        c = F.when(has, F.col(size)).otherwise(F.col(count))
-        return s, c
-
-    level1 = level1.select(
-        "SS", "SSB", "__n",
-        *[F.col(f"__mb{i}") for i in idx],
-        *[filled(i, f"__s{i}", f"__c{i}", f"__mb{i}")[0].alias(f"__s{i}") for i in idx],
-        *[filled(i, f"__s{i}", f"__c{i}", f"__mb{i}")[1].alias(f"__c{i}") for i in idx],
+
+    def aggregate(grouped: DataFrame, keys: list[str], exprs: list[str]) -> DataFrame:
+        return grouped.groupBy(*keys).agg(*[F.expr(e) for e in exprs])
+
+    def filled(i: int, size: str, mean: str) -> list[str]:
+        """Sum and count after giving every invalid row the mean, where there is one."""
+        s, c = f"coalesce(s{i}, 0D)", f"c{i}"
+        return [
+            f"CASE WHEN {mean} IS NULL THEN {s} ELSE {s} + ({size} - {c}) * {mean} END AS s{i}",
+            f"CASE WHEN {mean} IS NULL THEN {c} ELSE {size} END AS c{i}",
+        ]
+
+    valid = {i: finite_text(c) for i, c in enumerate(present)}
+    base = aggregate(
+        df, ["SS", "SSB"],
+        ["count(1) AS n"]
+        + [f"sum({valid[i]}) AS s{i}" for i in idx]
+        + [f"count({valid[i]}) AS c{i}" for i in idx],
     )
-    study = level1.groupBy("SS").agg(
-        F.sum("__n").alias("__ns"),
-        *[F.sum(f"__s{i}").alias(f"__ss{i}") for i in idx],
-        *[F.sum(f"__c{i}").alias(f"__cs{i}") for i in idx],
+    # Block means use the block key alone, over all studies it may appear in; null keys never match.
+    block = aggregate(base, ["SSB"], [f"try_divide(sum(s{i}), sum(c{i})) AS mb{i}" for i in idx])
+    with_block = attach(base, block, ["SSB"], null_safe=False).selectExpr(
+        "SS", "SSB", "n", *[f"mb{i}" for i in idx], *[e for i in idx for e in filled(i, "n", f"mb{i}")]
     )
-    study = study.select(
-        "SS", "__ns",
-        *[F.col(f"__ss{i}") for i in idx],
-        *[F.col(f"__cs{i}") for i in idx],
-        *[
-            F.when(F.col("SS").isNotNull(), safe_div(F.col(f"__ss{i}"), F.col(f"__cs{i}"))).alias(f"__ms{i}")
-            for i in idx
-        ],
+    study = aggregate(
+        with_block, ["SS"],
+        ["sum(n) AS n"] + [f"sum(s{i}) AS s{i}" for i in idx] + [f"sum(c{i}) AS c{i}" for i in idx],
+    ).selectExpr("*", *[f"CASE WHEN SS IS NOT NULL THEN try_divide(s{i}, c{i}) END AS ms{i}" for i in idx])
+    overall = (
+        study.selectExpr(*[e for i in idx for e in filled(i, "n", f"ms{i}")])
+        .selectExpr(f"struct({', '.join(f'try_divide(sum(s{i}), sum(c{i})) AS g{i}' for i in idx)}) AS g")
+        .scalar()
     )
-    overall = study.agg(
-        F.struct(
-            *[
-                safe_div(
-                    F.sum(filled(i, f"__ss{i}", f"__cs{i}", f"__ms{i}", "__ns")[0]),
-                    F.sum(filled(i, f"__ss{i}", f"__cs{i}", f"__ms{i}", "__ns")[1]),
-                ).alias(f"g{i}")
-                for i in idx
-            ]
-        )
-    ).scalar()
+    # One row per block, with the values for all three levels side by side.
     means = attach(
-        level1.select("SS", "SSB", *[f"__mb{i}" for i in idx]),
-        study.select("SS", *[f"__ms{i}" for i in idx]),
+        with_block.select("SS", "SSB", *[f"mb{i}" for i in idx]),
+        study.select("SS", *[f"ms{i}" for i in idx]),
         ["SS"],
+    ).select("SS", "SSB", *[f"mb{i}" for i in idx], *[f"ms{i}" for i in idx], overall.alias("g"))
+    means = means.selectExpr(
+        "SS", "SSB", *[f"coalesce(mb{i}, ms{i}, g.g{i}) AS `__fill{i}`" for i in idx]
+    )
+    place = {c: i for i, c in enumerate(present)}
+    return attach(df, means, ["SS", "SSB"]).selectExpr(
+        *[
+            f"coalesce({valid[place[c]]}, `__fill{place[c]}`) AS `{c}`" if c in place else f"`{c}`"
+            for c in df.columns
+        ]
     )
-    joined = attach(df, means, ["SS", "SSB"])
-    position = {c: i for i, c in enumerate(present)}
-
-    def value(c: str) -> Column:
-        if c not in position:
-            return col(c)
-        i = position[c]
-        return F.coalesce(
-            finite_or_null(col(c).cast("double")), F.col(f"__mb{i}"), F.col(f"__ms{i}"), overall[f"g{i}"]
-        ).alias(c)
-
-    return joined.select(*[value(c) for c in df.columns])
 
 
 def median_extent(sites: DataFrame) -> DataFrame:
@@ -256,12 +236,17 @@ def _score(pairs: DataFrame, obs: DataFrame, tax_cols: list[str]) -> DataFrame:
     """
     unit = ["SS", *tax_cols]
     value = F.coalesce(F.col("Measurement").cast("double"), F.lit(0.0))
-    totals = obs.groupBy("SSBS", *[col(t) for t in unit]).agg(F.sum(value).alias("total"))
-    taxa = (
-        obs.filter((value > 0) & F.col("Taxon_name_entered").isNotNull())
-        .groupBy("SSBS", *[col(t) for t in unit], "Taxon_name_entered", value.alias("v"))
-        .agg(F.count(F.lit(1)).alias("w"))
+    # Read by both join sides, their key counts and the totals, hence written once.
+    counted = materialise(
+        obs.groupBy("SSBS", *[col(t) for t in unit], "Taxon_name_entered", value.alias("v")).agg(
+            F.count(F.lit(1)).alias("w")
+        ),
+        "taxa",
+    )
+    totals = counted.groupBy("SSBS", *[col(t) for t in unit]).agg(
+        F.sum(F.col("v") * F.col("w")).alias("total")
     )
+    taxa = counted.filter((F.col("v") > 0) & F.col("Taxon_name_entered").isNotNull())
     refs = pairs.select("SS", "Primary_minimal_site").distinct()
     left = taxa.join(
         refs.withColumnRenamed("Primary_minimal_site", "SSBS"), ["SS", "SSBS"], "left_semi"
@@ -296,7 +281,7 @@ def _score(pairs: DataFrame, obs: DataFrame, tax_cols: list[str]) -> DataFrame:
         *[col(t) for t in unit], F.col("SSBS").alias("Other_site"), F.col("total").alias("total_2")
     )
     scored = (
-        pairs.join(total_1, unit + ["Primary_minimal_site"])
+        pairs.join(total_1, ["SS", "Primary_minimal_site"])
         .join(total_2, unit + ["Other_site"])
         .join(overlap, keyed, "left")
     )
@@ -375,13 +360,16 @@ def beta_diversity(
     """Similarity, feature differences and distances of all reference pairs, in one plan."""
     levels = taxonomic_levels or [t for t in config.TAXONOMIC_LEVELS if t in df.columns]
     tax = levels[:level]
-    in_scope = joins.filter_studies(df).select(
-        "SS", "SSBS", "Taxon_name_entered", "Measurement",
-        "Predominant_land_use", "Use_intensity", *[col(t) for t in tax],
+    in_scope = materialise(
+        joins.filter_studies(df).select(
+            "SS", "SSBS", "Taxon_name_entered", "Measurement",
+            "Predominant_land_use", "Use_intensity", *[col(t) for t in tax],
+        ),
+        "in-scope",
     )
-    pairs = joins.site_pairs_with_reference(in_scope)
+    pairs = materialise(joins.site_pairs_with_reference(in_scope), "pairs")
     scored = bray_curtis_by_taxon(pairs, in_scope, tax) if tax else bray_curtis(pairs, in_scope)
-    sites = site_attributes(df, order)
+    sites = materialise(site_attributes(df, order), "sites")
     extent = median_extent(sites.select("Max_linear_extent_metres")).scalar()
     clean = sites.drop("Taxon_name_entered", "Measurement", "Effort_corrected_measurement", *levels)
     out = joins.attach_pair_features(scored, clean, continuous)

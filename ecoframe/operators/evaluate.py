@@ -472,17 +472,22 @@ def gower_knn(
         reference.select(col(id_col), *[col(c) for c in columns]).withColumn("__h", order[0]),
         [], [F.col("__h"), col(id_col)],
     ).filter(F.col("position") < max_ref)
+    both = query.select(*[col(c) for c in columns]).unionByName(picks.select(*[col(c) for c in columns]))
+    width = both.agg(F.struct(*_ranges(both, columns))).scalar()
+    # One row holding at most max_ref points: bounded by the argument, not by the data.
     points = picks.agg(
         F.sort_array(
             F.collect_list(
-                F.struct(F.col("position"), col(id_col).alias("id"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+                F.struct(
+                    F.col("position"), col(id_col).alias("id"),
+                    *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+                )
             )
-        ).alias("points")
-    )
-    both = query.select(*[col(c) for c in columns]).unionByName(picks.select(*[col(c) for c in columns]))
-    width = both.agg(F.struct(*_ranges(both, columns))).scalar()
+        ).alias("__points")
+    ).select(F.lit(1).alias("__one"), "__points", width.alias("__width"))
+    scored = query.withColumn("__one", F.lit(1)).join(F.broadcast(points), "__one")
     place = {c: i for i, c in enumerate(columns)}
-    ref = points.scalar()
+    ref = F.col("__points")
     if same:
         ref = F.filter(ref, lambda r: r["id"] != col(id_col))
     if selection == "random":
@@ -491,11 +496,11 @@ def gower_knn(
     distances = F.transform(
         ref,
         lambda r: _gower_terms(
-            lambda c: col(c).cast("double"), lambda c: r[f"x{place[c]}"], lambda c: width[c], columns
+            lambda c: col(c).cast("double"), lambda c: r[f"x{place[c]}"], lambda c: F.col("__width")[c], columns
         ),
     )
     nearest = F.slice(F.array_sort(distances), 1, k)
-    return query.withColumn("gower_distance", _middle(nearest, metric))
+    return scored.select(*[col(c) for c in query.columns], _middle(nearest, metric).alias("gower_distance"))
 
 
 def gower_knn_exact(

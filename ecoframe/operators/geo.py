@@ -111,6 +111,39 @@ def from_utm(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
     return F.degrees(lam) + _central(epsg), F.degrees(phi)
 
 
+def ring_to_degrees(ring: Column, epsg: Column) -> Column:
+    """``from_utm`` for every vertex of an array.
+
+    One ``transform`` per step, so that each intermediate value is computed once per vertex.
+    """
+    south = F.when(epsg >= 32700, F.lit(_N0_SOUTH)).otherwise(F.lit(0.0))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    scaled = F.transform(
+        ring, lambda v: pair((v["y"] - south) / (_K0 * _RADIUS), (v["x"] - _E0) / (_K0 * _RADIUS))
+    )
+    sphere = F.transform(
+        scaled,
+        lambda v: pair(
+            v["a"] - sum_of([b * F.sin(2 * j * v["a"]) * F.cosh(2 * j * v["b"]) for j, b in enumerate(BETA, 1)]),
+            v["b"] - sum_of([b * F.cos(2 * j * v["a"]) * F.sinh(2 * j * v["b"]) for j, b in enumerate(BETA, 1)]),
+        ),
+    )
+    angles = F.transform(
+        sphere,
+        lambda v: pair(F.asin(F.sin(v["a"]) / F.cosh(v["b"])), F.atan2(F.sinh(v["b"]), F.cos(v["a"]))),
+    )
+    return F.transform(
+        angles,
+        lambda v: point(
+            F.degrees(v["b"]) + _central(epsg),
+            F.degrees(v["a"] + sum_of([d * F.sin(2 * j * v["a"]) for j, d in enumerate(DELTA, 1)])),
+        ),
+    )
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -193,12 +226,9 @@ def buffer_sites(df: DataFrame, radii_km: list[int] | None = None, shape: str =
     base = df if "easting" in df.columns else project_utm(df)
     per_radius = base.withColumn("radius_km", F.explode(F.array(*[F.lit(r) for r in radii])))
     ring = buffer_polygon(F.col("easting"), F.col("northing"), F.col("radius_km") * 1000.0, shape)
-    out = per_radius.withColumn("polygon", ring)
-
-    def back(v):
-        return point(*from_utm(v["x"], v["y"], F.col("epsg_code")))
-
-    return out.withColumn("polygon_lonlat", F.transform("polygon", back))
+    return per_radius.withColumn("polygon", ring).withColumn(
+        "polygon_lonlat", ring_to_degrees(F.col("polygon"), F.col("epsg_code"))
+    )
 
 
 # --- roads ----------------------------------------------------------------------------------
@@ -226,19 +256,34 @@ def line_segments(df: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
+    """Inward normals (nx, ny) of a convex counter-clockwise ring and their offsets c.
+
+    A point is inside when nx * x + ny * y >= c for every edge.
+    """
     n = F.size(ring) - 1
-    return F.arrays_zip(F.slice(ring, F.lit(1), n).alias("p"), F.slice(ring, F.lit(2), n).alias("q"))
+    sides = F.zip_with(
+        F.slice(ring, F.lit(1), n),
+        F.slice(ring, F.lit(2), n),
+        lambda p, q: F.struct(
+            (p["y"] - q["y"]).alias("nx"), (q["x"] - p["x"]).alias("ny"), p["x"].alias("x"), p["y"].alias("y")
+        ),
+    )
+    return F.transform(
+        sides,
+        lambda e: F.struct(
+            e["nx"].alias("nx"), e["ny"].alias("ny"), (e["nx"] * e["x"] + e["ny"] * e["y"]).alias("c")
+        ),
+    )
 
 
-def clipped_length(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Length of a segment inside a convex counter-clockwise ring (parametric clipping)."""
+def clipped_length(sides: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Length of a segment inside the polygon of ``edges`` (parametric clipping)."""
     dx, dy = x2 - x1, y2 - y1
 
     def narrow(acc, e):
-        nx, ny = e["p"]["y"] - e["q"]["y"], e["q"]["x"] - e["p"]["x"]
-        side = nx * (x1 - e["p"]["x"]) + ny * (y1 - e["p"]["y"])
-        slope = nx * dx + ny * dy
+        side = e["nx"] * x1 + e["ny"] * y1 - e["c"]
+        slope = e["nx"] * dx + e["ny"] * dy
         hit = F.try_divide(-side, slope)
         low = F.when(slope > 0, F.greatest(acc["low"], hit)).when(
             (slope == 0) & (side < 0), F.lit(2.0)
@@ -248,14 +293,19 @@ def clipped_length(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column)
 
     start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
     share = F.aggregate(
-        _edges(ring), start, narrow, lambda acc: F.greatest(acc["high"] - acc["low"], F.lit(0.0))
+        sides, start, narrow, lambda acc: F.greatest(acc["high"] - acc["low"], F.lit(0.0))
     )
     return share * F.sqrt(dx * dx + dy * dy)
 
 
-def _bounds(ring: Column, axis: str) -> tuple[Column, Column]:
-    values = F.transform(ring, lambda v: v[axis])
-    return F.array_min(values), F.array_max(values)
+_BOX = ["__x_lo", "__y_lo", "__x_hi", "__y_hi"]
+
+
+def _box(ring: Column) -> list[Column]:
+    """Bounding box of a ring as four named columns."""
+    x, y = F.transform(ring, lambda v: v["x"]), F.transform(ring, lambda v: v["y"])
+    ends = [F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)]
+    return [e.alias(n) for e, n in zip(ends, _BOX)]
 
 
 def road_density(
@@ -293,8 +343,13 @@ def road_density(
         out = out.withColumn("__cy", F.explode(F.sequence(F.col(f"__{tag}y"), F.col("__hy"))))
         return out.drop("__hx", "__hy")
 
-    px, py = _bounds(F.col("polygon"), "x"), _bounds(F.col("polygon"), "y")
-    left = listed(polygons, [*zone, *[col(k) for k in keys], F.col("polygon")], (px[0], py[0]), (px[1], py[1]), "p")
+    boxed = polygons.select(
+        *zone, *[col(k) for k in keys], edges(F.col("polygon")).alias("__edges"), *_box(F.col("polygon"))
+    )
+    box = [F.col(n) for n in _BOX]
+    left = listed(
+        boxed, [F.col("epsg_code"), *[col(k) for k in keys], F.col("__edges"), *box], box[:2], box[2:], "p"
+    )
     xs, ys = (F.least("x1", "x2"), F.greatest("x1", "x2")), (F.least("y1", "y2"), F.greatest("y1", "y2"))
     right = listed(
         roads, [F.col("epsg_code"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]],
@@ -302,11 +357,14 @@ def road_density(
     )
     met = blocked_join(left, right, ["epsg_code", "__cx", "__cy"], keys, ["x1", "y1", "x2", "y2"])
     first = (F.col("__cx") == F.greatest("__px", "__sx")) & (F.col("__cy") == F.greatest("__py", "__sy"))
-    length = clipped_length(F.col("polygon"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    near = (
+        (xs[1] >= F.col("__x_lo")) & (xs[0] <= F.col("__x_hi"))
+        & (ys[1] >= F.col("__y_lo")) & (ys[0] <= F.col("__y_hi"))
+    )
+    length = clipped_length(F.col("__edges"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     inside = (
-        met.filter(first)
+        met.filter(first & near)
         .select(*[col(k) for k in keys], length.alias("__len"))
-        .filter(F.col("__len") > 0)
         .groupBy(*[col(k) for k in keys])
         .agg(F.sum("__len").alias("Road_density"))
     )
@@ -345,27 +403,27 @@ def zonal_stats(
     def row_of(c: Column) -> Column:
         return (c - y0) / cell[1]
 
-    bx, by = _bounds(F.col("polygon"), "x"), _bounds(F.col("polygon"), "y")
     def span(a: Column, b: Column) -> Column:
         low, high = F.floor(F.least(a, b)).cast("int"), (F.ceil(F.greatest(a, b)) - 1).cast("int")
         return F.sequence(low, F.greatest(low, high))
 
-    boxes = polygons.select(
-        *[col(k) for k in keys], "polygon",
-        F.explode(span(column_of(bx[0]), column_of(bx[1]))).alias("ix"),
-        span(row_of(by[0]), row_of(by[1])).alias("__rows"),
-    ).withColumn("iy", F.explode("__rows")).drop("__rows")
+    boxed = polygons.select(
+        *[col(k) for k in keys], edges(F.col("polygon")).alias("__edges"), *_box(F.col("polygon"))
+    )
+    columns = span(column_of(F.col("__x_lo")), column_of(F.col("__x_hi")))
+    rows = span(row_of(F.col("__y_lo")), row_of(F.col("__y_hi")))
+    boxes = boxed.select(*[col(k) for k in keys], "__edges", rows.alias("__rows"), F.explode(columns).alias("ix"))
+    boxes = boxes.select(*[col(k) for k in keys], "__edges", "ix", F.explode("__rows").alias("iy"))
     cx = x0 + (F.col("ix") + 0.5) * cell[0]
     cy = y0 + (F.col("iy") + 0.5) * cell[1]
 
     def keeps(e):
-        nx, ny = e["p"]["y"] - e["q"]["y"], e["q"]["x"] - e["p"]["x"]
-        centre = nx * (cx - e["p"]["x"]) + ny * (cy - e["p"]["y"])
+        centre = e["nx"] * cx + e["ny"] * cy - e["c"]
         if not all_touched:
             return centre >= 0
-        return centre + F.abs(nx) * (w / 2) + F.abs(ny) * (h / 2) > 0
+        return centre + F.abs(e["nx"]) * (w / 2) + F.abs(e["ny"]) * (h / 2) > 0
 
-    covered = boxes.filter(F.forall(_edges(F.col("polygon")), keeps)).select(*[col(k) for k in keys], "ix", "iy")
+    covered = boxes.filter(F.forall("__edges", keeps)).select(*[col(k) for k in keys], "ix", "iy")
     valid = is_finite(F.col("value"))
     if nodata is not None:
         valid = valid & (F.col("value") != nodata)

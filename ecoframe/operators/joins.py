@@ -14,6 +14,7 @@ from ecoframe.functions.nulls import all_of, col
 from ecoframe.operators.ranking import first_per_key
 from ecoframe.operators.skew import blocked_join
 from ecoframe.operators.transforms import align_and_order, sample_year
+from ecoframe.session import materialise
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,7 +101,7 @@ def site_pairs_with_reference(obs: DataFrame) -> DataFrame:
 
     The pair list is the result itself. A study with very many sites is spread over cells.
     """
-    sites = site_flags(obs)
+    sites = materialise(site_flags(obs), "sites")
     refs = sites.filter("is_reference").select("SS", F.col("SSBS").alias("Primary_minimal_site"))
     others = sites.select("SS", F.col("SSBS").alias("Other_site"), "is_reference")
     pairs = blocked_join(refs, others, ["SS"], ["Primary_minimal_site"], ["Other_site"])

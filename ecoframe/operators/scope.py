@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from ecoframe.functions.nulls import col, is_finite, n_unique
+from ecoframe.functions.nulls import col, n_unique
 from ecoframe.operators.joins import apply_scope_manifest, distinct_scope
 from ecoframe.operators.ranking import quantiles
 from ecoframe.operators.sampling import sample_ids, sample_pairs_balanced
@@ -17,6 +17,7 @@ from ecoframe.operators.transforms import (
     filter_scope,
     filter_taxonomic_scope,
 )
+from ecoframe.session import materialise
 
 
 def scope_keys(diversity_type: str) -> list[str]:
@@ -111,9 +112,11 @@ def filtered_scope(df_all: DataFrame, s: ScopeSettings) -> DataFrame:
         df = filter_scope(df, *s.biogeographic)
     if s.taxonomic:
         df = filter_taxonomic_scope(df, *s.taxonomic)
-    df = filter_known_land_use(df, s.require_intensity)
+    # Every later step reads its input more than once (statistics, then a semi join), so the two
+    # results with the most work behind them are written once instead of recomputed.
+    df = materialise(filter_known_land_use(df, s.require_intensity), "scope")
     if s.exclude_outliers:
-        df = filter_outliers_iqr(df, s.response, s.iqr_multiplier, keys)
+        df = materialise(filter_outliers_iqr(df, s.response, s.iqr_multiplier, keys), "scope")
     if s.min_sites_per_study > 0:
         df = filter_small_studies(df, s.min_sites_per_study)
     if s.diversity_type == "beta" and s.min_reference_sites > 0:
@@ -134,7 +137,7 @@ def model_scope(df_all: DataFrame, df_scope: DataFrame | None, s: ScopeSettings)
     all-species rows are reduced to what remains valid.
     """
     keys = scope_keys(s.diversity_type)
-    filtered = filtered_scope(df_all, s)
+    filtered = materialise(filtered_scope(df_all, s), "scope")
     manifest = distinct_scope(filtered, keys)
     if df_scope is not None:
         return drop_invalid_rows(
@@ -145,7 +148,3 @@ def model_scope(df_all: DataFrame, df_scope: DataFrame | None, s: ScopeSettings)
         keys,
     )
     return apply_scope_manifest(filtered, final, keys)
-
-
-def finite_rows(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(is_finite(col(column)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ecoframe import config
-from ecoframe.functions.nulls import all_of, clamp, col, is_finite, label
+from ecoframe.functions.nulls import all_of, clamp, col, is_finite, label, quoted
 from ecoframe.functions.stats import inverse_link
 
 _LIGHT_INTENSE = ["Light use", "Intense use"]
@@ -32,22 +32,21 @@ def indicator(condition: Column, name: str) -> Column:
     return F.when(condition, 1).otherwise(0).alias(name)
 
 
-def dummies(c: Column, categories: list[str]) -> list[Column]:
-    return [indicator(c == F.lit(v), v) for v in categories]
+def dummies(column: str, categories: list[str]) -> list[str]:
+    """SQL text of the 0/1 columns of ``column``."""
+    return [f"CASE WHEN `{column}` = {quoted(v)} THEN 1 ELSE 0 END AS `{v}`" for v in categories]
 
 
 def one_hot(df: DataFrame, column: str, categories: list[str]) -> DataFrame:
     """0/1 column per listed category; an unlisted or null category gives all zeros."""
-    return df.select("*", *dummies(col(column), categories))
+    return df.selectExpr("*", *dummies(column, categories))
 
 
 def land_use_intensity(df: DataFrame) -> DataFrame:
     """Combined land use and intensity label plus its dummies."""
     combined = label(F.col("Predominant_land_use"), F.col("Use_intensity"))
-    return df.select(
-        "*",
-        combined.alias("LU_type_intensity"),
-        *dummies(combined, config.LAND_USE_INTENSITIES),
+    return one_hot(
+        df.withColumn("LU_type_intensity", combined), "LU_type_intensity", config.LAND_USE_INTENSITIES
     )
 
 
@@ -62,10 +61,8 @@ def group_secondary_vegetation(df: DataFrame) -> DataFrame:
         F.lower(c).contains("minimal"), F.lit("Secondary vegetation_Light use")
     ).otherwise(F.lit("Secondary vegetation_Intense use"))
     grouped = F.when(F.lower(secondary).contains("plantation"), plantation).otherwise(secondary)
-    return df.select(
-        "*",
-        grouped.alias("Secondary_veg_intensity"),
-        *dummies(grouped, config.SECONDARY_INTENSITIES),
+    return one_hot(
+        df.withColumn("Secondary_veg_intensity", grouped), "Secondary_veg_intensity", config.SECONDARY_INTENSITIES
     )
 
 
@@ -86,9 +83,7 @@ def land_use_rollup_flags(df: DataFrame) -> DataFrame:
 def rescale_climate(df: DataFrame, variables: list[str]) -> DataFrame:
     """Temperatures and precipitation are stored times ten."""
     scaled = {v for v in variables if "temp" in v.lower() or "precip" in v.lower()}
-    return df.select(
-        *[(col(c) / 10).alias(c) if c in scaled else col(c) for c in df.columns]
-    )
+    return df.selectExpr(*[f"`{c}` / 10D AS `{c}`" if c in scaled else f"`{c}`" for c in df.columns])
 
 
 def nonlinear_names(sublinear: list[str], exponential: list[str]) -> list[str]:
@@ -103,18 +98,18 @@ def nonlinear_transforms(
 
     ``pow(x, 1/3)`` and not ``cbrt``: negative input must be invalid, as with the other roots.
     """
-    new: list[Column] = []
+    new: list[str] = []
     for name in sublinear:
-        x = col(name).cast("double")
+        x = f"CAST(`{name}` AS DOUBLE)"
         new += [
-            F.ln(x + 1).alias(f"{name}_log"),
-            F.sqrt(x).alias(f"{name}_sqrt"),
-            F.pow(x, F.lit(1 / 3)).alias(f"{name}_cbrt"),
+            f"ln({x} + 1) AS `{name}_log`",
+            f"sqrt({x}) AS `{name}_sqrt`",
+            f"pow({x}, 1D / 3D) AS `{name}_cbrt`",
         ]
     for name in exponential:
-        x = col(name).cast("double")
-        new.append((x * x).alias(f"{name}_square"))
-    return df.select("*", *new), nonlinear_names(sublinear, exponential)
+        x = f"CAST(`{name}` AS DOUBLE)"
+        new.append(f"{x} * {x} AS `{name}_square`")
+    return df.selectExpr("*", *new), nonlinear_names(sublinear, exponential)
 
 
 def taxon_group_column() -> Column:

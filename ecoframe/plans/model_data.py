@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ecoframe.operators import folds, hierarchy, scope, transforms
+from ecoframe.session import materialise
 
 
 def model_table(
@@ -19,7 +20,7 @@ def model_table(
     df = scope.model_scope(df_all, df_scope, settings)
     if interactions[0]:
         df, _ = transforms.interaction_terms(df, *interactions)
-    df = hierarchy.hierarchy_labels(df, levels)
+    df = materialise(hierarchy.hierarchy_labels(df, levels), "labelled")
     return hierarchy.hierarchical_rollup(df, levels, min_studies)
 
 
@@ -28,4 +29,4 @@ def fold_data(
 ) -> DataFrame:
     """The model table with its stratum and fold; study or site stays whole."""
     group = {"study": "SS", "site": "SSBS"}[split_level]
-    return folds.assign_folds(folds.stratum(df, strata), k, group, seed)
+    return folds.assign_folds(materialise(folds.stratum(df, strata), "model"), k, group, seed)

@@ -17,6 +17,9 @@ def build_session(app: str = "ecoframe", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Call-site capture costs several round trips to the JVM per column expression, which
+        # dominates the time to build wide plans.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

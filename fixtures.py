@@ -102,7 +102,7 @@ VIEWS: dict[str, str] = {
     "inventory_b": "SELECT s.*, 'new' AS only_in_b FROM {site_obs} s WHERE c_nationkey % 2 = 1",
     "pixels": """
         SELECT l_returnflag AS raster_id, CAST(l_partkey % 100 AS INT) AS ix, CAST(l_suppkey % 100 AS INT) AS iy,
-            avg(l_extendedprice) AS value
+            avg(l_extendedprice) / 7e0 AS value
         FROM {lineitem} GROUP BY l_returnflag, l_partkey % 100, l_suppkey % 100
     """,
     "squares": f"""
@@ -182,18 +182,29 @@ def _text(name: str, dialect: str) -> str:
 _REF = re.compile(r"\{(\w+)\}")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in view (or a given table) as a DataFrame."""
+_registered: set[tuple[str, str, str]] = set()
 
-    def render(n: str) -> str:
-        if n in TABLES:
-            return f"parquet.`{sf_dir.rstrip('/')}/{n}.parquet`"
-        body = _REF.sub(lambda m: render(m.group(1)), _text(n, "spark"))
-        return f"({body})"
 
-    if name in TABLES:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spark.sql(_REF.sub(lambda m: render(m.group(1)), _text(name, "spark")))
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stand-in view (or a given table) as a DataFrame.
+
+    Files are looked up and SQL is analysed once per session and directory, as temporary views.
+    """
+    where = sf_dir.rstrip("/")
+    suffix = re.sub(r"\W", "_", where)
+
+    def register(n: str) -> str:
+        alias, key = f"{n}_{suffix}", (spark.sparkContext.applicationId, where, n)
+        if key not in _registered:
+            if n in TABLES:
+                df = spark.read.parquet(f"{where}/{n}.parquet")
+            else:
+                df = spark.sql(_REF.sub(lambda m: register(m.group(1)), _text(n, "spark")))
+            df.createOrReplaceTempView(alias)
+            _registered.add(key)
+        return alias
+
+    return spark.table(register(name))
 
 
 def oracle(query: str, extra: dict[str, str] | None = None) -> str:

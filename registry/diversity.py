@@ -249,7 +249,7 @@ def _pairs_with(v, columns):
     return pairs.columns, j.attach_pair_features(pairs, sites, columns)
 
 
-@query("haversine", f"SELECT SS, Primary_minimal_site, Other_site, {distance_sql('Haversine_distance')} FROM {{distances}}", distance_columns("Haversine_distance"), digits=4)
+@query("haversine", f"SELECT SS, Primary_minimal_site, Other_site, {distance_sql('Haversine_distance')} FROM {{distances}}", distance_columns("Haversine_distance"), digits=3)
 def _(v):
     keys, df = _pairs_with(v, ["Elevation_1km"])
     extent = d.median_extent(d.site_attributes(v("site_obs").select("SSBS", "Max_linear_extent_metres"), ["Max_linear_extent_metres"])).scalar()
@@ -309,7 +309,7 @@ def beta(v):
     return out.select("SS", "Primary_minimal_site", "SSBS", "SSB", "Biome", "Predominant_land_use", *BETA_DOUBLES)
 
 
-@query("beta_diversity", "SELECT * FROM {beta}", BETA_DOUBLES, digits=4)
+@query("beta_diversity", "SELECT * FROM {beta}", BETA_DOUBLES, digits=3)
 def _(v):
     return beta(v)
 

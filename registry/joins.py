@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ecoframe import config
 from ecoframe.operators import diversity, joins as j, ranking
 from ecoframe.operators.sampling import sample_ids, sample_pairs_balanced, sample_rows
+from ecoframe.session import materialise
 from registry.base import PARTS, query
 
 _COV = ["Road_density_1km", "Annual_mean_temp_1km", "Elevation_1km"]
@@ -265,7 +266,7 @@ def _(v):
     ) t WHERE rn <= k""",
 )
 def _(v):
-    pairs = j.site_pairs_with_reference(v("site_obs")).withColumnRenamed("Other_site", "SSBS")
+    pairs = materialise(j.site_pairs_with_reference(v("site_obs")).withColumnRenamed("Other_site", "SSBS"))
     return sample_pairs_balanced(pairs, 0.4, 20, 200).select("SS", "SSBS", "Primary_minimal_site")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ecoframe.operators import folds as fo, hierarchy as h, joins as j, ranking, scope as s
 from ecoframe.plans import model_data
+from ecoframe.session import materialise
 from registry.base import PARTS, query
 from registry.diversity import alpha, beta
 from registry.transforms import site_features
@@ -92,7 +93,11 @@ def _settings():
 
 def _alpha_tables(v):
     keep = ["Scaled_Geometric_mean_abundance", "Predominant_land_use", "Use_intensity", "Biome"]
-    return alpha(v, 0).select("SS", "SSB", "SSBS", *keep), alpha(v, 1).select("SS", "SSB", "SSBS", _TAX, *keep)
+    # The diversity tables are stored results in the pipeline.
+    return (
+        materialise(alpha(v, 0).select("SS", "SSB", "SSBS", *keep)),
+        materialise(alpha(v, 1).select("SS", "SSB", "SSBS", _TAX, *keep)),
+    )
 
 
 @query(
@@ -107,7 +112,7 @@ def _(v):
 
 @query("model_scope_pairs")
 def _(v):
-    pairs = beta(v)
+    pairs = materialise(beta(v))
     settings = s.ScopeSettings(
         diversity_type="beta", response="Bray_Curtis_score", checked_columns=["Road_density_1km", "Elevation_1km"],
         require_intensity=False, fraction=0.5, k_min=10, k_max=400,
@@ -160,7 +165,7 @@ MIN_STUDIES = 2
 def labelled(v):
     rows = v("obs_groups").select("SS", "SSB", "SSBS", "Biome", "Realm", _TAX).distinct()
     realm = F.when(~((F.col("Realm") == "R2") & (F.col("Biome") == "ASIA")), F.col("Realm"))
-    return h.hierarchy_labels(rows.withColumn("Realm", realm), LEVELS)
+    return materialise(h.hierarchy_labels(rows.withColumn("Realm", realm), LEVELS))
 
 
 @query("hierarchy_labels", "SELECT * FROM {labelled}")
@@ -208,7 +213,7 @@ PARTS["rollup_groups"] = f"""
         UNION ALL SELECT DISTINCT 'Population', 'None', 0, CAST(NULL AS VARCHAR) FROM {{rolled}} WHERE Final_hierarchical_level = 'Population'""",
 )
 def _(v):
-    return h.rollup_mapping(h.hierarchical_rollup(labelled(v), LEVELS, MIN_STUDIES), LEVELS)
+    return h.rollup_mapping(materialise(h.hierarchical_rollup(labelled(v), LEVELS, MIN_STUDIES)), LEVELS)
 
 
 def _index(column: str) -> str:
@@ -222,7 +227,7 @@ def _index(column: str) -> str:
           {_index('SS')} AS study_idx, {_index('SSB')} AS block_idx, {_index('SSBS')} AS site_idx, {_index(_TAX)} AS taxon_idx, {_index('SS')} AS block_to_study_idx FROM {{rolled}}""",
 )
 def _(v):
-    rolled = h.hierarchical_rollup(labelled(v), LEVELS, MIN_STUDIES)
+    rolled = materialise(h.hierarchical_rollup(labelled(v), LEVELS, MIN_STUDIES))
     out = h.model_index_columns(rolled, h.hierarchy_mapping(rolled, LEVELS), LEVELS, _TAX)
     names = ["level_1_idx", "level_2_idx", "level_assignment", "study_idx", "block_idx", "site_idx", "taxon_idx", "block_to_study_idx"]
     return out.select("SS", "SSB", "SSBS", _TAX, *names)
