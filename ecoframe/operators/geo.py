@@ -277,25 +277,44 @@ def edges(ring: Column) -> Column:
     )
 
 
-def clipped_length(sides: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Length of a segment inside the polygon of ``edges`` (parametric clipping)."""
-    dx, dy = x2 - x1, y2 - y1
-
-    def narrow(acc, e):
-        side = e["nx"] * x1 + e["ny"] * y1 - e["c"]
-        slope = e["nx"] * dx + e["ny"] * dy
-        hit = F.try_divide(-side, slope)
-        low = F.when(slope > 0, F.greatest(acc["low"], hit)).when(
-            (slope == 0) & (side < 0), F.lit(2.0)
-        ).otherwise(acc["low"])
-        high = F.when(slope < 0, F.least(acc["high"], hit)).otherwise(acc["high"])
-        return F.struct(low.alias("low"), high.alias("high"))
-
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    share = F.aggregate(
-        sides, start, narrow, lambda acc: F.greatest(acc["high"] - acc["low"], F.lit(0.0))
+def clipped_length(sides: str) -> Column:
+    """Length of the segment (x1, y1)-(x2, y2) inside the polygon of ``edges``.
+
+    Parametric clipping: the segment enters at the largest parameter over edges it crosses
+    inwards and leaves at the smallest over those it crosses outwards. Segments wholly inside the
+    inscribed circle or outside the circumscribed one (columns of ``_circle``) are settled by
+    compiled arithmetic; with short road segments only the few at the rim go through the edges.
+    """
+    length = "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"
+    slope = "(e.nx * (x2 - x1) + e.ny * (y2 - y1))"
+    side = "(e.nx * x1 + e.ny * y1 - e.c)"
+    enter = f"array_max(transform({sides}, e -> CASE WHEN {slope} > 0 THEN -{side} / {slope} END))"
+    leave = f"array_min(transform({sides}, e -> CASE WHEN {slope} < 0 THEN -{side} / {slope} END))"
+    outside = f"exists({sides}, e -> {slope} = 0 AND {side} < 0)"
+    at_rim = (
+        f"CASE WHEN {outside} THEN 0D ELSE greatest(least(1D, {leave}) - greatest(0D, {enter}), 0D) * {length} END"
     )
-    return share * F.sqrt(dx * dx + dy * dy)
+
+    def square(x: str, y: str) -> str:
+        return f"(({x} - __mx) * ({x} - __mx) + ({y} - __my) * ({y} - __my))"
+
+    inside = f"greatest({square('x1', 'y1')}, {square('x2', 'y2')}) <= __in2"
+    # A segment farther from the centre than the rim: its nearest end is, by more than its length.
+    beyond = f"sqrt(least({square('x1', 'y1')}, {square('x2', 'y2')})) > sqrt(__out2) + {length}"
+    return F.expr(f"CASE WHEN {inside} THEN {length} WHEN {beyond} THEN 0D ELSE {at_rim} END")
+
+
+_CIRCLE = ["__mx", "__my", "__in2", "__out2"]
+
+
+def _circle(sides: str, ring: str) -> list[Column]:
+    """Vertex mean, and squared radii of the circles around it inside and around the polygon."""
+    n = f"(size({ring}) - 1)"
+    mean = [f"aggregate(slice({ring}, 1, {n}), 0D, (s, v) -> s + v.{a}) / {n}" for a in ("x", "y")]
+    gap = f"transform({sides}, e -> (e.nx * ({mean[0]}) + e.ny * ({mean[1]}) - e.c) / sqrt(e.nx * e.nx + e.ny * e.ny))"
+    reach = f"transform({ring}, v -> (v.x - ({mean[0]})) * (v.x - ({mean[0]})) + (v.y - ({mean[1]})) * (v.y - ({mean[1]})))"
+    values = [*mean, f"pow(greatest(array_min({gap}), 0D), 2)", f"array_max({reach})"]
+    return [F.expr(v).alias(name) for v, name in zip(values, _CIRCLE)]
 
 
 _BOX = ["__x_lo", "__y_lo", "__x_hi", "__y_hi"]
@@ -344,11 +363,13 @@ def road_density(
         return out.drop("__hx", "__hy")
 
     boxed = polygons.select(
-        *zone, *[col(k) for k in keys], edges(F.col("polygon")).alias("__edges"), *_box(F.col("polygon"))
+        *zone, *[col(k) for k in keys], "polygon", edges(F.col("polygon")).alias("__edges"), *_box(F.col("polygon"))
     )
     box = [F.col(n) for n in _BOX]
     left = listed(
-        boxed, [F.col("epsg_code"), *[col(k) for k in keys], F.col("__edges"), *box], box[:2], box[2:], "p"
+        boxed,
+        [F.col("epsg_code"), *[col(k) for k in keys], F.col("__edges"), *box, *_circle("__edges", "polygon")],
+        box[:2], box[2:], "p",
     )
     xs, ys = (F.least("x1", "x2"), F.greatest("x1", "x2")), (F.least("y1", "y2"), F.greatest("y1", "y2"))
     right = listed(
@@ -361,7 +382,7 @@ def road_density(
         (xs[1] >= F.col("__x_lo")) & (xs[0] <= F.col("__x_hi"))
         & (ys[1] >= F.col("__y_lo")) & (ys[0] <= F.col("__y_hi"))
     )
-    length = clipped_length(F.col("__edges"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    length = clipped_length("__edges")
     inside = (
         met.filter(first & near)
         .select(*[col(k) for k in keys], length.alias("__len"))

@@ -112,8 +112,8 @@ VIEWS: dict[str, str] = {
     "road_segments": """
         SELECT o_orderkey AS segment_id, CAST(32601 + o_custkey % 4 AS INT) AS epsg_code,
             (o_orderkey * 6151 % 100000) * 1e0 AS x1, (o_orderkey * 3571 % 100000) * 1e0 AS y1,
-            (o_orderkey * 6151 % 100000) + (o_orderkey * 17 % 8000) * 1e0 - 4e3 AS x2,
-            (o_orderkey * 3571 % 100000) + (o_orderkey * 29 % 8000) * 1e0 - 4e3 AS y2
+            (o_orderkey * 6151 % 100000) + (o_orderkey * 17 % 800) * 1e0 - 4e2 AS x2,
+            (o_orderkey * 3571 % 100000) + (o_orderkey * 29 % 800) * 1e0 - 4e2 AS y2
         FROM {orders}
     """,
     "road_sites": f"""
