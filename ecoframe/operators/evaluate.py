@@ -571,14 +571,34 @@ def gower_knn_exact(
     blocks = placed.groupBy(*[col(g) for g in group], "block").agg(
         F.min("s").alias("s_lo"), F.max("s").alias("s_hi")
     )
-    b, t = bounded.alias("q"), blocks.alias("t")
     slack = 1e-12
-    near = F.col("q.bound").isNull() | (
-        (F.col("t.s_lo") - F.col("q.s") <= F.col("q.bound") + slack)
-        & (F.col("q.s") - F.col("t.s_hi") <= F.col("q.bound") + slack)
-    )
-    visits = b.join(t, same_group("q", "t") & (F.col("q.block") != F.col("t.block")) & near).select(
-        "q.*", F.col("t.block").alias("visit")
+
+    def within_reach(low: str, high: str) -> Column:
+        return F.col("q.bound").isNull() | (
+            (F.col(low) - F.col("q.s") <= F.col("q.bound") + slack)
+            & (F.col("q.s") - F.col(high) <= F.col("q.bound") + slack)
+        )
+
+    # Runs of blocks first, then the blocks of the runs in reach: a row is compared with a
+    # (block_rows * run)-th of its group instead of with every block.
+    run = 256
+    blocks = blocks.withColumn("run", F.floor(F.col("block") / run))
+    runs = blocks.groupBy(*[col(g) for g in group], "run").agg(
+        F.min("s_lo").alias("run_lo"), F.max("s_hi").alias("run_hi")
+    )
+    in_run = (
+        bounded.alias("q")
+        .join(runs.alias("t"), same_group("q", "t") & within_reach("t.run_lo", "t.run_hi"))
+        .select("q.*", F.col("t.run").alias("run"))
+    )
+    visits = (
+        in_run.alias("q")
+        .join(
+            blocks.alias("t"),
+            same_group("q", "t") & (F.col("q.run") == F.col("t.run"))
+            & (F.col("q.block") != F.col("t.block")) & within_reach("t.s_lo", "t.s_hi"),
+        )
+        .select("q.*", F.col("t.block").alias("visit"))
     )
     v, r2 = visits.alias("q"), placed.alias("r")
     cross = v.join(r2, same_group("q", "r") & (F.col("q.visit") == F.col("r.block"))).select(
@@ -586,15 +606,15 @@ def gower_knn_exact(
         F.col("q.bound").alias("bound"), distance("q", "r").alias("d"),
     )
     cross = cross.filter(F.col("bound").isNull() | (F.col("d") <= F.col("bound") + slack))
-    # First the best k per visited block (bounded by its rows), then the best k overall.
-    per_visit = cross.groupBy(*[col(g) for g in group], "id", "visit").agg(
-        smallest(F.collect_list("d")).alias("best")
-    )
-    merged = per_visit.groupBy(*[col(g) for g in group], "id").agg(
-        F.reduce(
-            F.collect_list("best"), F.array().cast("array<double>"), lambda acc, x: smallest(F.concat(acc, x))
-        ).alias("best")
-    )
+    # The best k per visited block (at most its rows), per run (at most its blocks), then overall.
+    names = [col(g) for g in group]
+    best = cross.groupBy(*names, "id", "visit").agg(smallest(F.collect_list("d")).alias("best"))
+    for level in ([F.floor(F.col("visit") / run).alias("run")], []):
+        best = best.groupBy(*names, "id", *level).agg(
+            smallest(F.flatten(F.collect_list("best"))).alias("best"),
+            *([F.first("visit").alias("visit")] if level else []),
+        )
+    merged = best
     empty = F.array().cast("array<double>")
     all_best = attach(bounded, merged, [*group, "id"]).withColumn(
         "nearest",
@@ -653,7 +673,9 @@ def gower_train_test(
             ]
         ).alias("width"),
     )
-    joined = rows.join(scale, ["fold", "role"])
+    # 2 * k_folds rows of at most max_ref points: bounded by the arguments. A shuffle on so few
+    # keys would put all rows into a handful of tasks.
+    joined = rows.join(F.broadcast(scale), ["fold", "role"])
     usable = F.filter("points", lambda r: r["id"] != F.col("id"))
     distances = F.transform(
         usable, lambda r: _gower_terms(F.col, lambda c: r[c], lambda c: F.col("width")[c], xs)
@@ -763,7 +785,8 @@ def kde_by_fold(
     )
     pad = (ends["hi"] - ends["lo"]) * padding
     low, step = ends["lo"] - pad, (ends["hi"] - ends["lo"] + 2 * pad) / (points - 1)
-    on_grid = values.join(bands, ["fold", "role"]).withColumn(
+    # bands has 2 * k_folds rows.
+    on_grid = values.join(F.broadcast(bands), ["fold", "role"]).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     )
     u = (low + F.col("i") * step - F.col("v")) / F.col("h")

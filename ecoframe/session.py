@@ -16,6 +16,8 @@ def build_session(app: str = "ecoframe", master: str | None = None, **conf: str)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a hot key even where an aggregate on the same key follows the join.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         # Call-site capture costs several round trips to the JVM per column expression, which
         # dominates the time to build wide plans.

@@ -61,7 +61,7 @@ def write_folds(df: DataFrame, path: str, columns: list[str]) -> None:
     out = df.select(*[col(c) for c in columns], "Fold_id")
     if out.isEmpty():
         raise ValueError(f"Refusing to write an empty table to {path}")
-    # One shuffle by fold and row hash keeps the number of files per fold small and even.
+    # Every task writes its rows of each fold (k files); folds are never gathered in one task.
     out.write.mode("errorifexists").partitionBy("Fold_id").parquet(path)
 
 

@@ -105,10 +105,11 @@ VIEWS: dict[str, str] = {
             avg(l_extendedprice) / 7e0 AS value
         FROM {lineitem} GROUP BY l_returnflag, l_partkey % 100, l_suppkey % 100
     """,
-    "squares": f"""
-        SELECT {_SITE_ID} AS SSBS, r.radius, (c_custkey * 37 % 970) / 1e1 + 1.5e0 AS x, (c_custkey * 53 % 970) / 1e1 + 1.5e0 AS y
-        FROM {{customer}} CROSS JOIN (SELECT 0.75e0 AS radius UNION ALL SELECT 2.25e0 AS radius) r
-    """,
+    "squares": " UNION ALL ".join(
+        f"SELECT {_SITE_ID} AS SSBS, {r} AS radius, (c_custkey * 37 % 970) / 1e1 + 1.5e0 AS x, "
+        "(c_custkey * 53 % 970) / 1e1 + 1.5e0 AS y FROM {customer}"
+        for r in ("0.75e0", "2.25e0")
+    ),
     "road_segments": """
         SELECT o_orderkey AS segment_id, CAST(32601 + o_custkey % 4 AS INT) AS epsg_code,
             (o_orderkey * 6151 % 100000) * 1e0 AS x1, (o_orderkey * 3571 % 100000) * 1e0 AS y1,
