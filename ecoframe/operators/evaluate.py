@@ -17,7 +17,7 @@ from ecoframe.functions.stats import (
     student_t_quantile,
 )
 from ecoframe.operators.joins import reference_condition
-from ecoframe.operators.ranking import average_rank, quantiles, rank_bins
+from ecoframe.operators.ranking import average_rank, first_per_key, quantiles, rank_bins
 from ecoframe.operators.skew import attach, blocked_join
 
 # --- descriptive tables ---------------------------------------------------------------------
@@ -216,7 +216,8 @@ def delta_predictions(
     spread over cells.
     """
     join_cols = [level, "Predominant_land_use", "Use_intensity"]
-    merged = pred.join(info.select("SSBS", *join_cols), "SSBS", "left")
+    sites = first_per_key(info.select("SSBS", *join_cols), ["SSBS"], join_cols)
+    merged = pred.join(sites, "SSBS", "left")
     unit = [level, *([taxon] if taxon else [])]
     per_site = merged.groupBy(*[col(u) for u in unit], "SSBS").agg(
         F.count(F.lit(1)).alias("__n"),
