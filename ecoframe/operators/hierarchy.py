@@ -148,14 +148,22 @@ def model_index_columns(
         for depth, level in enumerate(names, 1):
             code = F.when(F.col("Final_hierarchical_level") == level, F.lit(depth)).otherwise(code)
         out = out.withColumn("level_assignment", code)
-    indexed = [("SS", "study_idx"), ("SSB", "block_idx"), ("SSBS", "site_idx")]
-    if taxon:
-        indexed.append((taxon, "taxon_idx"))
-    for key, name in indexed:
-        out = attach(out, dense_index(df, key, name), [key])
+    # Study, block and site indices meet in a table of one row per site, which joins the rows once.
+    sites = df.select("SS", "SSB", "SSBS").distinct()
     # The parent study of a block follows from the block itself, independent of row order.
-    study = dense_index(df, "SS", "block_to_study_idx")
-    parents = attach(df.groupBy("SSB").agg(F.min("SS").alias("SS")), study, ["SS"]).select(
-        "SSB", "block_to_study_idx"
+    study = dense_index(sites, "SS", "study_idx")
+    parents = attach(sites.groupBy("SSB").agg(F.min("SS").alias("SS")), study, ["SS"]).select(
+        "SSB", F.col("study_idx").alias("block_to_study_idx")
     )
-    return attach(out, parents, ["SSB"])
+    indexed = sites
+    for key, table in (
+        ("SS", study),
+        ("SSB", dense_index(sites, "SSB", "block_idx")),
+        ("SSBS", dense_index(sites, "SSBS", "site_idx")),
+        ("SSB", parents),
+    ):
+        indexed = attach(indexed, table, [key])
+    out = attach(out, indexed, ["SS", "SSB", "SSBS"])
+    if taxon:
+        out = attach(out, dense_index(df, taxon, "taxon_idx"), [taxon])
+    return out

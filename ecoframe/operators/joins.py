@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ecoframe import config
 from ecoframe.functions.nulls import all_of, col
 from ecoframe.operators.ranking import first_per_key
-from ecoframe.operators.skew import blocked_join
+from ecoframe.operators.skew import attach, blocked_join
 from ecoframe.operators.transforms import align_and_order, sample_year
 from ecoframe.session import materialise
 
@@ -67,20 +67,18 @@ def combine_sources(
 ) -> DataFrame:
     """The whole combine step.
 
-    The site tables are matched among themselves first, so the large observation table meets
-    them in one join per key instead of one per source.
+    All sources meet on the distinct (site, sampling year) keys of the observations, a table with
+    one row per site visit; the large observation table then takes part in a single join.
     """
-    site_keys = roads.select("SSBS")
-    for t in climate + topography:
-        site_keys = site_keys.union(t.select("SSBS"))
-    wide = site_keys.distinct().join(require_unique(roads, ["SSBS"]), "SSBS", "left")
+    dated = sample_year(obs)
+    visits = dated.select("SSBS", "Sample_year").distinct()
+    table = visits.join(require_unique(roads, ["SSBS"]), "SSBS", "left")
     for group in (climate, topography):
-        wide = wide.join(require_unique(widen_by_site(group), ["SSBS"]), "SSBS", "left")
-    out = sample_year(obs.join(wide, "SSBS", "left"))
-    yearly = populations[0]
-    for p in populations[1:]:
-        yearly = yearly.join(p, ["SSBS", "Year"], "full")
-    return join_site_year(out, yearly)
+        table = table.join(require_unique(widen_by_site(group), ["SSBS"]), "SSBS", "left")
+    for population in populations:
+        table = join_site_year(table, population)
+    # Null-safe: a visit without a date still has its site's covariates.
+    return attach(dated, table, ["SSBS", "Sample_year"])
 
 
 def reference_condition():
