@@ -149,12 +149,17 @@ def alpha_diversity(df: DataFrame, level: int, order: list[str], taxonomic_level
     return scaled.join(attributes, "SSBS", "left")
 
 
-def study_means(df: DataFrame, variables: list[str]) -> DataFrame:
-    """Mean density per study, joined back as ``Mean_<lower name>``."""
+def study_mean_table(df: DataFrame, variables: list[str]) -> DataFrame:
+    """Mean of the density columns (and their transforms) per study, as ``Mean_<lower name>``."""
     targets = [v for v in variables if "pop_density" in v.lower() or "road_density" in v.lower()]
-    means = df.groupBy("SS").agg(*[F.avg(col(v)).alias(f"Mean_{v.lower()}") for v in targets])
+    return df.groupBy("SS").agg(*[F.expr(f"avg(`{v}`) AS `Mean_{v.lower()}`") for v in targets])
+
+
+def study_means(df: DataFrame, variables: list[str]) -> DataFrame:
+    """Mean density per study, joined back to the rows."""
+    means = study_mean_table(df, variables)
     return attach(df, means, ["SS"], null_safe=False).select(
-        *[col(c) for c in df.columns], *[col(f"Mean_{v.lower()}") for v in targets]
+        *[col(c) for c in df.columns], *[col(c) for c in means.columns if c != "SS"]
     )
 
 

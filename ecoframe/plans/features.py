@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ecoframe import config
 from ecoframe.operators import diversity, transforms
+from ecoframe.operators.skew import attach
 
 
 def feature_table(
@@ -16,7 +17,8 @@ def feature_table(
 ) -> DataFrame:
     """Land-use dummies, rescaling, transforms, study means, imputation and species groups.
 
-    Study means come before imputation, as they describe the measured sites only.
+    Study means are taken before imputation, as they describe the measured sites only, and joined
+    after it, so that neither aggregate has a join below it.
     """
     density = config.DENSITY_VARS if density is None else density
     bioclimatic = config.BIOCLIMATIC_VARS if bioclimatic is None else bioclimatic
@@ -29,6 +31,6 @@ def feature_table(
     out, new = transforms.nonlinear_transforms(
         out, density + bioclimatic + topographic, bioclimatic + topographic
     )
-    out = diversity.study_means(out, density + new)
+    means = diversity.study_mean_table(out, density + new)
     out = diversity.impute_hierarchical(out, density + bioclimatic + topographic + new)
-    return transforms.custom_taxon_group(out)
+    return transforms.custom_taxon_group(attach(out, means, ["SS"], null_safe=False))
