@@ -78,3 +78,13 @@ def _(v):
     mapping = dense_index(v("site_obs"), "SS")
     tables.write_mapping(mapping, path)
     return tables.read_mapping(v.spark, path, "SS string, idx int")
+
+
+@query(
+    "read_mapping",
+    "SELECT Taxon_name_entered, CAST(dense_rank() OVER (ORDER BY Taxon_name_entered) - 1 AS INT) AS idx FROM (SELECT DISTINCT Taxon_name_entered FROM {site_obs}) t",
+)
+def _(v):
+    path = scratch_path(v.spark, "taxa")
+    tables.write_mapping(dense_index(v("site_obs"), "Taxon_name_entered"), path)
+    return tables.read_mapping(v.spark, path, "Taxon_name_entered string, idx int")
