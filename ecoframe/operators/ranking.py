@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ecoframe.functions.nulls import col, is_finite
+from ecoframe.functions.nulls import col, is_finite, keys_match
 from ecoframe.operators.skew import attach
 from ecoframe.session import materialise
 
@@ -149,8 +149,6 @@ def quantiles(
     )
     on = keys + ["__block"]
     left, right = blocks.alias("l"), targets.alias("r")
-    from ecoframe.functions.nulls import keys_match
-
     inside = Window.partitionBy(*on).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = (
         left.join(right, keys_match("l", "r", on))
