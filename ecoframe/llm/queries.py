@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe
+from ecoframe.llm import binary_records, bpe, simhash
 from ecoframe.llm.common import table
 from ecoframe.session import scratch_path
 
@@ -35,6 +35,13 @@ def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fingerprint").alias("fingerprint"), "component_id")
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
