@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe, line_dedup, simhash
+from ecoframe.llm import binary_records, bpe, line_dedup, simhash, url_reputation
 from ecoframe.llm.common import table
 from ecoframe.session import scratch_path
 
@@ -23,6 +23,68 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url; outcomes are taken from the pages' own symbols."""
+    pages = table(spark, sf_dir, "pages")
+    host, _ = url_reputation.url_parts(F.col("url"))
+    outcomes = pages.select(host.alias("host"), url_reputation.symbol_outcome(F.col("html")).alias("bad"))
+    judged = url_reputation.judge_urls(pages.select("page_id", "url"), outcomes, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level_sql(groups: str, parent: str) -> str:
+    """The strength of one level's prior."""
+    return f"""(SELECT 1 / least(greatest(coalesce(
+        sum(n * pow(bad / n - {parent}, 2) - {parent} * (1 - {parent})) / nullif(sum((n - 1) * {parent} * (1 - {parent})), 0), 0.95),
+        0.001), 0.95) - 1 FROM {groups} WHERE n > 0)"""
+
+
+ORACLES["op3_url_filter"] = f"""
+WITH cut AS (
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), named AS (
+  SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+), parts AS (
+  SELECT page_id, html, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM named
+), outcome AS (
+  SELECT host, CASE WHEN length(html) > 0
+    THEN (length(html) - length(translate(html, '#$%*', '')) > 0.03 * length(html))::INT END AS bad FROM parts
+), plain AS (
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad,
+    regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM outcome GROUP BY host
+), split AS (
+  SELECT *, string_split(name, '.') AS labels FROM plain
+), hosts AS (
+  SELECT host, n, bad, array_to_string(labels[-2:], '.') AS domain, labels[-1] AS suffix FROM split
+), s1 AS (
+  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS m0 FROM hosts GROUP BY suffix
+), s2 AS (SELECT *, {_level_sql("s1", "m0")} AS k FROM s1), s3 AS (SELECT suffix, (bad + k * m0) / (n + k) AS m1 FROM s2),
+d1 AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix, domain),
+d2 AS (SELECT * FROM d1 JOIN s3 USING (suffix)),
+d3 AS (SELECT *, {_level_sql("d2", "m1")} AS k FROM d2), d4 AS (SELECT suffix, domain, (bad + k * m1) / (n + k) AS m2 FROM d3),
+h2 AS (SELECT * FROM hosts JOIN d4 USING (suffix, domain)),
+h3 AS (SELECT *, {_level_sql("h2", "m2")} AS k FROM h2),
+h4 AS (SELECT host, (bad + k * m2) / (n + k) AS mean, n + k AS weight FROM h3),
+h5 AS (SELECT host, greatest(0, mean - {url_reputation.Z} * sqrt(mean * (1 - mean) / (weight + 1))) AS lower FROM h4),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN lower > {url_reputation.MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN h5 USING (host)
+"""
+
+
 @query
 def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, read back from the record files."""
