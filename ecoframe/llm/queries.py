@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe, line_dedup, simhash, url_reputation
-from ecoframe.llm.common import table
+from ecoframe.llm import binary_records, bpe, language_id, line_dedup, simhash, url_reputation
+from ecoframe.llm.common import held_out, table
 from ecoframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,22 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def language_model(docs: DataFrame) -> language_id.LanguageModel:
+    """Learned from rows outside the held-out fifth."""
+    return language_id.fit(docs.where(~held_out("doc_id", 5, 0)), PIECES)
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
