@@ -32,8 +32,10 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType
 
 from ecoframe.llm.chunks import ChunkEncoder
 from ecoframe.llm.common import fields, slices
+from ecoframe.session import materialise
 
 FILE_BYTES = 24 << 20  # text per data file
+MAX_BROADCAST = 200_000  # files
 MASK_DELTA = 0xA282EAD8
 NULL_KEY, WIDE = 1, 2
 FRAME = struct.Struct("<QI")
@@ -185,8 +187,14 @@ def file_starts(index: DataFrame) -> DataFrame:
 
 
 def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
-    """Records with ``start``, the ids of all records before."""
-    return records.join(file_starts(index), "file").withColumn("start", F.col("before") + F.col("file_start"))
+    """Records with ``start``, the ids of all records before.
+
+    The starts have one row per file, that is per ``FILE_BYTES`` of text. Up to ``MAX_BROADCAST``
+    files they are broadcast, so that the ids need no shuffle; beyond, they are joined.
+    """
+    starts = materialise(file_starts(index), "file-starts")
+    few = starts.count() <= MAX_BROADCAST
+    return records.join(F.broadcast(starts) if few else starts, "file").withColumn("start", F.col("before") + F.col("file_start"))
 
 
 def read_shuffled(spark: SparkSession, path: str, index: DataFrame, seed: int = 0) -> DataFrame:
