@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe, language_id, line_dedup, simhash, url_reputation
+from ecoframe.llm import binary_records, bpe, language_id, line_dedup, simhash, toxicity, url_reputation
 from ecoframe.llm.common import held_out, table
 from ecoframe.session import scratch_path
 
@@ -142,6 +142,19 @@ FROM judged GROUP BY r, doc_id
 """
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; counts and curve come from different labelled rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    curved = held_out("doc_id", 4, 3)
+    model = toxicity.fit(known.where(~held_out("doc_id", 4, 2) & ~curved), known.where(curved))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
