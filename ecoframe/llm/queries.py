@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe, language_id, line_dedup, simhash, toxicity, url_reputation
+from ecoframe.llm import binary_records, bpe, decontaminate, language_id, line_dedup, simhash, toxicity, url_reputation
 from ecoframe.llm.common import held_out, table
 from ecoframe.session import scratch_path
 
@@ -155,6 +155,18 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by every document (mostly none)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("matches") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct("matches.item_id")).alias("item_ids"),
+        F.coalesce(F.array_max("matches.similarity"), F.lit(0.0)).alias("similarity"),
+    )
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
