@@ -141,6 +141,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     every = nodes.join(named, "fingerprint", "left").select(
         "fingerprint", F.coalesce("component", "least").alias("component_id")
     )
+    # Written, so that the rows of a fingerprint with very many copies can be split in the join.
+    every = materialise(every, "named")
     return prints.join(every, "fingerprint").select(key, "fingerprint", "component_id")
 
 
