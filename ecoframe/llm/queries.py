@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe, decontaminate, language_id, line_dedup, simhash, toxicity, url_reputation
+from ecoframe.llm import binary_records, bpe, decontaminate, html_extract, language_id, line_dedup, simhash, toxicity, url_reputation
 from ecoframe.llm.common import held_out, table
 from ecoframe.session import scratch_path
 
@@ -39,6 +39,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    texts = html_extract.extract(pages.select("page_id", "url", "html"), html_extract.fit(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
