@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe, decontaminate, html_extract, language_id, line_dedup, simhash, toxicity, url_reputation
+from ecoframe.llm import binary_records, bpe, decontaminate, html_extract, language_id, line_dedup, onebit_search, simhash, toxicity, url_reputation
 from ecoframe.llm.common import held_out, table
 from ecoframe.session import scratch_path
 
@@ -109,6 +109,13 @@ FROM ruled LEFT JOIN h5 USING (host)
 """
 
 
+@query
+def op4_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, among all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return onebit_search.nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+
+
 @query
 def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, read back from the record files."""
