@@ -33,7 +33,7 @@ BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
 LENGTH_STEP = 1.06  # lengths of one window length differ by at most this factor, both ways
 ITEMS_PER_PASS = 5_000  # an item takes about 11 kB of index in each task
-BLOCK_PLACES = 8_192
+BLOCK_PLACES = 16_384
 CACHED_WORDS = 250_000
 TOKEN = re.compile(r"\w+")
 
@@ -86,14 +86,16 @@ def window_lengths(lengths: list[int]) -> dict[int, int]:
 
 
 class BlockIndex:
-    """Items by the values of their blocks, listed under all values within the block's reach.
+    """Items by window length and the values of their blocks.
 
-    The reaches and one more per block add up to ``RADIUS + 1``.
+    An item is listed under all values within the reach of the block; the reaches and one more per
+    block add up to ``RADIUS + 1``. ``group`` is the place of an item's window length.
     """
 
-    def __init__(self, prints: np.ndarray):
+    def __init__(self, prints: np.ndarray, group: np.ndarray):
         self.prints = prints
-        values = prints.view(np.uint16).reshape(-1, BLOCKS).astype(np.int64)
+        values = prints.view(np.uint16).reshape(-1, BLOCKS).astype(np.int64) + (group << BLOCK_BITS)[:, None]
+        size = (int(group.max()) + 1 if len(group) else 0) << BLOCK_BITS
         self.starts, self.items = [], []
         for block in range(BLOCKS):
             reach = (RADIUS - block) // BLOCKS
@@ -103,25 +105,27 @@ class BlockIndex:
             item = np.repeat(np.arange(len(prints)), len(flips))
             order = np.argsort(listed, kind="stable")
             self.items.append(item[order])
-            self.starts.append(np.searchsorted(listed[order], np.arange((1 << BLOCK_BITS) + 1)))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(listed, minlength=size))]))
         self.listed = [np.diff(s) > 0 for s in self.starts]
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, item): all pairs within the radius."""
-        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+    def near(self, prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item): all pairs of one window length within the radius. ``prints`` is flat,
+        ``group`` the window length's place for each."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS).T
         places, items = [], []
-        for block in range(BLOCKS):
-            value = blocks[:, block]
-            at = np.flatnonzero(self.listed[block][value])
-            first = self.starts[block][value[at]]
-            n = self.starts[block][value[at].astype(np.int64) + 1] - first
-            place = np.repeat(at, n)
-            item = self.items[block][np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            close = np.bitwise_count(prints[place] ^ self.prints[item]) <= RADIUS
+        for value, listed, starts, by_value in zip(blocks, self.listed, self.starts, self.items):
+            value = value + (group << BLOCK_BITS)
+            at = np.flatnonzero(listed.take(value))
+            first = starts.take(value[at])
+            n = starts.take(value[at] + 1) - first
+            ends = np.cumsum(n)
+            place = at.repeat(n)
+            item = by_value.take((first - ends + n).repeat(n) + np.arange(len(place)))
+            close = np.flatnonzero(np.bitwise_count(prints.take(place) ^ self.prints.take(item)) <= RADIUS)
             places.append(place[close])
             items.append(item[close])
         pair = np.unique(np.concatenate(places) * len(self.prints) + np.concatenate(items))
-        return pair // len(self.prints), pair % len(self.prints)
+        return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
 
 
 @dataclass
@@ -131,7 +135,8 @@ class Items:
     ids: list[int]
     lengths: list[int]  # in shingles
     counts: list[Counter]
-    by_window: dict[int, tuple[np.ndarray, BlockIndex]]
+    windows: list[int]
+    index: BlockIndex
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -143,47 +148,47 @@ class Items:
                 shingles.append(shingle_hashes(words))
         lengths = [len(s) for s in shingles]
         window = window_lengths(lengths)
-        groups = defaultdict(list)
-        for k, n in enumerate(lengths):
-            groups[window[n]].append(k)
+        windows = sorted(set(window.values()))
+        group = np.array([windows.index(window[n]) for n in lengths], dtype=np.int64)
         prints = np.array([simhash(s) for s in shingles], dtype=np.uint64)
-        return cls(
-            ids, lengths, [Counter(s.tolist()) for s in shingles],
-            {w: (np.array(members), BlockIndex(prints[members])) for w, members in groups.items()},
-        )
+        return cls(ids, lengths, [Counter(s.tolist()) for s in shingles], windows, BlockIndex(prints, group))
 
 
 def candidates(shingles: np.ndarray, doc_of: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """(place, window length, item) of windows within the radius of an item, over many documents."""
     found: list[tuple[int, int, int]] = []
-    longest = max(items.by_window)
+    longest, windows = max(items.windows), np.array(items.windows)
     step = max(BLOCK_PLACES, 4 * longest)
     small = np.uint8 if longest <= 255 else np.uint32
+    # Windows that reach over the end lie in no document.
+    docs = np.concatenate([doc_of, np.full(longest, -1)])
+    sums = np.zeros((step + longest + 1, 64), dtype=small)
+    ones, set_bits = np.empty((step, 64), dtype=small), np.empty((step, 64), dtype=bool)
+    prints = np.empty((len(windows), step), dtype=np.uint64)
+    group = np.repeat(np.arange(len(windows)), step)
     for begin in range(0, len(shingles), step):
         part = shingles[begin : begin + step + longest]
-        sums = np.zeros((len(part) + 1, 64), dtype=small)
-        np.cumsum(_bits(part), axis=0, dtype=small, out=sums[1:])
-        docs = doc_of[begin : begin + len(part)]
-        for window, (members, index) in items.by_window.items():
-            n = min(step, len(part) - window + 1)
-            if n <= 0:
-                continue
-            ones = sums[window : window + n] - sums[:n]
-            prints = np.packbits(ones > window // 2, axis=1).view(np.uint64).ravel()
-            place, item = index.near(prints)
-            inside = docs[place] == docs[place + window - 1]
-            found.extend(zip((place[inside] + begin).tolist(), itertools.repeat(window), members[item[inside]].tolist()))
+        np.cumsum(_bits(part), axis=0, dtype=small, out=sums[1 : len(part) + 1])
+        sums[len(part) + 1 :] = sums[len(part)]
+        for row, window in zip(prints, items.windows):
+            np.subtract(sums[window : window + step], sums[:step], out=ones)
+            np.greater(ones, window // 2, out=set_bits)
+            row[:] = np.packbits(set_bits.reshape(-1)).view(np.uint64)
+        at, item = items.index.near(prints.ravel(), group)
+        window, place = windows[at // step], at % step + begin
+        inside = (place < len(shingles)) & (docs.take(place, mode="clip") == docs.take(place + window - 1, mode="clip"))
+        found.extend(zip(place[inside].tolist(), window[inside].tolist(), item[inside].tolist()))
     return found
 
 
 def short_documents(shingles: np.ndarray, starts: np.ndarray, counts: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     """The same for documents that are shorter than a window, taken whole."""
     found = []
-    for window, (members, index) in items.by_window.items():
-        for doc in np.flatnonzero((counts < window) & (counts >= SIMILARITY * window / LENGTH_STEP)).tolist():
+    for group, window in enumerate(items.windows):
+        for doc in np.flatnonzero((counts > 0) & (counts < window) & (counts >= SIMILARITY * window / LENGTH_STEP)).tolist():
             part = shingles[starts[doc] : starts[doc] + counts[doc]]
-            _, item = index.near(np.array([simhash(part)], dtype=np.uint64))
-            found.extend((int(starts[doc]), int(counts[doc]), k) for k in members[item].tolist())
+            _, item = items.index.near(np.array([simhash(part)], dtype=np.uint64), np.array([group]))
+            found.extend((int(starts[doc]), int(counts[doc]), k) for k in item.tolist())
     return found
 
 
