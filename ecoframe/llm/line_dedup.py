@@ -132,8 +132,8 @@ def probe(found: DataFrame, shards: DataFrame, n_shards: int, min_docs: int) ->
 
 def drop_lines(df: DataFrame, lost: DataFrame, key: str, text: str) -> DataFrame:
     """``df`` with the remaining text, and columns n_lines (before) and n_dropped."""
-    per_doc = lost.groupBy("doc").agg(F.collect_list("key").alias("_lost"))
-    joined = df.drop("n_lines", "n_dropped").join(per_doc, F.col(key).eqNullSafe(F.col("doc")), "left").drop("doc")
+    per_doc = lost.groupBy(F.col("doc").alias("_lost_by")).agg(F.collect_list("key").alias("_lost"))
+    joined = df.drop("n_lines", "n_dropped").join(per_doc, F.col(key).eqNullSafe(F.col("_lost_by")), "left").drop("_lost_by")
     kept = [f for f in df.schema if f.name not in ("n_lines", "n_dropped")]
     schema = fields(**{f.name: f.dataType for f in kept}, n_lines=LongType(), n_dropped=LongType())
 
