@@ -53,7 +53,10 @@ def study_size_shares(sizes: DataFrame, cutoffs: tuple[int, ...] = (5, 25), subs
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
-    """Equal-width bins over the joint range of one or several columns; the last bin is closed."""
+    """Equal-width bins over the joint range of one or several columns; the last bin is closed.
+
+    Every bin is listed, those without a value with n = 0.
+    """
     ends = df.agg(
         F.struct(
             F.least(*[F.min(col(c)) for c in columns], F.lit(None)).alias("low"),
@@ -68,8 +71,11 @@ def histogram(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     counted = values.groupBy("column", F.coalesce(place, F.lit(0).cast("long")).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counted.select(
-        "column", "bin", "n",
+    every = df.sparkSession.range(bins).select(
+        F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"), F.col("id").cast("int").alias("bin")
+    )
+    return every.join(counted, ["column", "bin"], "left").select(
+        "column", "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"),
         (low + F.col("bin") * width).alias("bin_start"),
         (low + (F.col("bin") + 1) * width).alias("bin_end"),
     )
@@ -137,7 +143,10 @@ def bias_ratio(y: Column, p: Column) -> Column:
 
 
 def bias_ratios(pred: DataFrame, tiebreak: list[str], predicted: str = "Predicted", observed: str = "Observed") -> DataFrame:
-    """Bias overall, in the outer quarters and per tenth of the observed values."""
+    """Bias overall, in the outer quarters and per tenth of the observed values.
+
+    All sections are listed; one without rows has n = 0 and no bias.
+    """
     base = pred.select(*[col(c) for c in dict.fromkeys([*tiebreak, observed, predicted])])
     tenths = rank_bins(base, observed, 10, tiebreak).withColumnRenamed("bin", "__tenth")
     rows = rank_bins(tenths, observed, 4, tiebreak).withColumn(
@@ -154,9 +163,14 @@ def bias_ratios(pred: DataFrame, tiebreak: list[str], predicted: str = "Predicte
             )
         ),
     )
-    return rows.groupBy("section").agg(
+    counted = rows.groupBy("section").agg(
         F.count(F.lit(1)).alias("n"), bias_ratio(col(observed), col(predicted)).alias("bias_ratio")
     )
+    names = ["overall", "bottom_quartile", "top_quartile", *[f"decile_{i}" for i in range(1, 11)]]
+    every = pred.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in names])).alias("section"))
+    return every.join(counted, "section", "left").select(
+        "section", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "bias_ratio"
+    )
 
 
 METRICS = [
@@ -706,6 +720,11 @@ def ols_standardised(df: DataFrame, y: str, xs: list[str], alpha: float = 0.05)
         exprs += [F.covar_samp(col(a), col(xs[j])).alias(f"c{i}_{j}") for j in range(i)]
     row = used.agg(*exprs).first()
     n, sd = row["n"], [row[f"s{i}"] for i in range(p)]
+    if n < p + 2:
+        raise ValueError(f"{n} finite rows are too few for {p} predictors")
+    flat = [x for x, s in zip(xs, sd) if not s]
+    if flat:
+        raise ValueError(f"Predictors without spread: {flat}")
     corr = np.eye(p)
     for i in range(p):
         for j in range(i):
@@ -731,6 +750,8 @@ def polyfit(df: DataFrame, x: str, y: str, degree: int = 3, points: int = 200) -
     """
     used = df.filter(is_finite(col(x)) & is_finite(col(y)))
     ends = used.agg(F.min(col(x)).alias("lo"), F.max(col(x)).alias("hi")).first()
+    if ends["lo"] is None:
+        raise ValueError(f"No finite rows of {x} and {y}")
     lo, hi = float(ends["lo"]), float(ends["hi"])
     mid, half = (lo + hi) / 2, (hi - lo) / 2 or 1.0
     z = (col(x) - mid) / half

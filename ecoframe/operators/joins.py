@@ -20,18 +20,16 @@ from ecoframe.session import materialise
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` itself, failing at run time if a key occurs twice.
 
-    The check is an aggregate inside the same plan, so it costs no extra job.
+    Only keys are counted, by a hash aggregate that combines map-side, and joined to the table in
+    the same plan, so there is no extra job and no sort of whole rows. Rows with a null in the key
+    go, as no equi-join can match them.
     """
-    rest = [c for c in df.columns if c not in keys]
-    row = F.any_value(F.struct(*[col(c) for c in rest])) if rest else F.lit(None)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), row.alias("__row"))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     guard = F.when(
         F.col("__n") > 1, F.raise_error(F.lit(f"Join key {keys} is not unique on the right side"))
     )
-    checked = counted.filter(F.coalesce(guard.cast("boolean"), F.lit(True)))
-    if not rest:
-        return checked.select(*keys)
-    return checked.select(*keys, *[F.col("__row").getField(c).alias(c) for c in rest])
+    checked = counted.filter(F.coalesce(guard.cast("boolean"), F.lit(True))).select(*keys)
+    return df.join(checked, keys).select(*[col(c) for c in df.columns])
 
 
 def join_many_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -46,8 +44,8 @@ def join_site_year(obs: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def widen_by_site(tables: list[DataFrame], key: str = "SSBS") -> DataFrame:
-    """Several one-row-per-site tables side by side, matched by key."""
-    return reduce(lambda a, b: a.join(b, key, "inner"), tables)
+    """Several one-row-per-site tables side by side; a site that a table lacks has nulls there."""
+    return reduce(lambda a, b: a.join(b, key, "full"), tables)
 
 
 def apply_scope_manifest(df: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,9 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        # A folder of one machine would be another folder on every executor.
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     # Nothing configured: a single-machine test session.
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(local)
@@ -54,9 +58,25 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
 
     Used where two later steps must see the very same rows and row placement (for example
     positions after a range sort). The written table survives the loss of executors, has exact
-    size statistics for the optimizer and allows column pruning.
+    size statistics for the optimizer and allows column pruning. It stays until the session ends or
+    :func:`release` is called on the returned frame, when nothing made from it is needed any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    _stages[id(stage)] = (weakref.ref(stage), path)
+    return stage
+
+
+_stages: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(stage: DataFrame) -> None:
+    """Delete the table behind a frame from :func:`materialise`; its readers must have finished."""
+    kept, path = _stages.pop(id(stage), (None, ""))
+    if kept is None or kept() is not stage:
+        raise ValueError("Not a materialised frame, or released before")
+    spark = stage.sparkSession
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -6,25 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ecoframe.functions.nulls import col
 
-INFERENCE_ROWS = 100_000
-
-
 def read_inventory_csv(
     spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None
 ) -> DataFrame:
     """Header CSV with ``NA`` as the null marker.
 
-    Give a schema where possible. Without one, types come from the first rows of the first file
-    (a bounded look, not a pass over everything).
+    Give a schema where possible. Without one, types come from a pass over all rows of all files,
+    so no value is lost to a type that only the first rows had. A row that does not fit the
+    schema is an error, not a null.
     """
     reader = spark.read.option("header", True).option("nullValue", "NA")
     if schema is None:
-        first = paths if isinstance(paths, str) else paths[0]
-        head = spark.read.text(first).limit(INFERENCE_ROWS)
-        lines = head.rdd.map(lambda r: r[0])
-        schema = reader.option("inferSchema", True).csv(lines).schema
+        schema = reader.option("inferSchema", True).option("samplingRatio", 1.0).csv(paths).schema
         reader = spark.read.option("header", True).option("nullValue", "NA")
-    return reader.schema(schema).csv(paths)
+    return reader.schema(schema).option("mode", "FAILFAST").csv(paths)
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -31,12 +31,17 @@ def _(v):
     return e.study_size_shares(e.sites_per_study(v("site_obs")), (55, 60), 65)
 
 
+_BIN = "CAST(least(floor(({0} - lo) / w), 19) AS INT)"
+PARTS["hist_ends"] = "SELECT least(min(Observed), min(Predicted)) AS lo, (greatest(max(Observed), max(Predicted)) - least(min(Observed), min(Predicted))) / 20 AS w FROM {pred_site}"
+PARTS["hist_counts"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS c, {_BIN.format(c)} AS b, count(*) AS n FROM {{pred_site}}, {{hist_ends}} GROUP BY 1, 2" for c in ("Observed", "Predicted")
+)
+
+
 @query(
     "histogram",
-    """SELECT 'Observed' AS "column", CAST(least(floor((Observed - lo) / w), 19) AS INT) AS bin, count(*) AS n, lo + CAST(least(floor((Observed - lo) / w), 19) AS INT) * w AS bin_start, lo + (CAST(least(floor((Observed - lo) / w), 19) AS INT) + 1) * w AS bin_end
-       FROM {pred_site}, (SELECT least(min(Observed), min(Predicted)) AS lo, (greatest(max(Observed), max(Predicted)) - least(min(Observed), min(Predicted))) / 20 AS w FROM {pred_site}) r GROUP BY 2, lo, w
-       UNION ALL SELECT 'Predicted', CAST(least(floor((Predicted - lo) / w), 19) AS INT) AS b, count(*), lo + CAST(least(floor((Predicted - lo) / w), 19) AS INT) * w, lo + (CAST(least(floor((Predicted - lo) / w), 19) AS INT) + 1) * w
-       FROM {pred_site}, (SELECT least(min(Observed), min(Predicted)) AS lo, (greatest(max(Observed), max(Predicted)) - least(min(Observed), min(Predicted))) / 20 AS w FROM {pred_site}) r GROUP BY b, lo, w""",
+    """SELECT k.c AS "column", CAST(i AS INT) AS bin, coalesce(n, 0) AS n, lo + i * w AS bin_start, lo + (i + 1) * w AS bin_end
+       FROM (SELECT 'Observed' AS c UNION ALL SELECT 'Predicted') k CROSS JOIN range(0, 20) g(i) CROSS JOIN {hist_ends} LEFT JOIN {hist_counts} h ON h.c = k.c AND h.b = i""",
     "bin_start bin_end",
 )
 def _(v):

@@ -62,10 +62,11 @@ def _(v):
     return j.join_site_year(obs, population(v, 1))
 
 
-@query("widen_by_site", f"SELECT SSBS, {', '.join(_COV)} FROM {{site_cov}}", _COV)
+@query("widen_by_site", f"SELECT SSBS, {', '.join(_COV)} FROM {{site_cov}} WHERE coalesce({', '.join(_COV)}) IS NOT NULL", _COV)
 def _(v):
     cov = v("site_cov")
-    return j.widen_by_site([cov.select("SSBS", c) for c in _COV])
+    # Each table lacks the sites without its value.
+    return j.widen_by_site([cov.select("SSBS", c).filter(F.col(c).isNotNull()) for c in _COV])
 
 
 PARTS["manifest"] = "SELECT DISTINCT SSBS FROM {site_base} WHERE Predominant_land_use = 'Pasture'"

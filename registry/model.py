@@ -248,7 +248,7 @@ def _(v):
 
 PARTS["folded"] = """
     SELECT o.SS, o.SSBS, o.Biome AS Stratum, o.Taxon_name_entered, CAST(CASE WHEN p % 10 < 5 THEN p % 10 ELSE 9 - p % 10 END AS INT) AS Fold_id FROM {site_obs} o JOIN (
-      SELECT SS, row_number() OVER (PARTITION BY st ORDER BY n DESC, md5('42' || SS), SS) - 1 AS p FROM (
+      SELECT SS, row_number() OVER (ORDER BY st, n DESC, md5('42' || SS), SS) - 1 AS p FROM (
         SELECT SS, CAST(sum(n) AS BIGINT) AS n, arg_min(Biome, (-n, Biome)) AS st FROM (SELECT SS, Biome, count(*) AS n FROM {site_obs} GROUP BY SS, Biome) c GROUP BY SS) g) f ON o.SS = f.SS"""
 
 
