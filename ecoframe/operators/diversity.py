@@ -14,7 +14,7 @@ from ecoframe.functions.nulls import (
     sum_or_zero,
 )
 from ecoframe.operators import joins
-from ecoframe.operators.ranking import first_per_key, quantiles
+from ecoframe.operators.ranking import attributes_per_key, first_per_key, quantiles
 from ecoframe.operators.skew import attach, blocked_join
 from ecoframe.session import materialise
 
@@ -145,7 +145,8 @@ def alpha_diversity(df: DataFrame, level: int, order: list[str], taxonomic_level
             *[col(c) if c in kept else F.when(complete, col(c)).alias(c) for c in scaled.columns]
         )
     dropped = {"Taxon_name_entered", "Measurement", "Effort_corrected_measurement", *levels[level:]}
-    attributes = site_attributes(df, order).drop(*dropped, "SS", "SSB", *tax)
+    kept = [c for c in df.columns if c not in {*dropped, "SS", "SSB", "SSBS", *tax}]
+    attributes = attributes_per_key(df, ["SSBS"], kept, order)
     return scaled.join(attributes, "SSBS", "left")
 
 

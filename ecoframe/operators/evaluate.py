@@ -18,7 +18,9 @@ from ecoframe.functions.stats import (
 )
 from ecoframe.operators.joins import reference_condition
 from ecoframe.operators.ranking import average_rank, first_per_key, quantiles, rank_bins
+from ecoframe.operators.neighbours import nearest_distances
 from ecoframe.operators.skew import attach, blocked_join
+from ecoframe.session import materialise
 
 # --- descriptive tables ---------------------------------------------------------------------
 
@@ -459,193 +461,130 @@ def _middle(values: Column, metric: str) -> Column:
     return (low + high) / 2
 
 
+def _points(df: DataFrame, group: Column, id_col: str, coordinates: list[Column]) -> DataFrame:
+    return df.select(group.alias("group"), F.col("__row").alias("row"), col(id_col).cast("string").alias("id"), F.array(*coordinates).alias("point"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a row number, written so that it stays the same in every later step."""
+    return materialise(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def _scaled(x: Column, width: Column) -> Column:
+    """A coordinate in units of its range; a column without range makes no difference."""
+    return F.when(width > 0, x.cast("double") / width).when(x.isNotNull(), F.lit(0.0))
+
+
 def gower_knn(
     query: DataFrame,
     reference: DataFrame,
     columns: list[str],
     id_col: str,
     k: int = 5,
-    max_ref: int = 1000,
+    max_ref: int | None = None,
     metric: str = "median",
     selection: str = "nearest",
     seed: int = 42,
     same: bool = False,
 ) -> DataFrame:
-    """Distance of every query row to k reference points out of a sample of ``max_ref``.
+    """Middle of the Gower distances of every query row to its k nearest reference rows.
 
-    The sample is at most ``max_ref`` points, so it travels to every task as one array and the
-    query rows are scored in place, without a join or shuffle. Use ``gower_knn_exact`` to search
-    a whole unsampled group.
+    All reference rows are searched, unless ``max_ref`` asks for the first so many in hash order.
+    ``selection="random"`` takes the first k in hash order instead of the nearest. With ``same``
+    a row is not its own neighbour. Ranges are those of query and used references together.
     """
     from ecoframe.operators.ranking import rank_within
     from ecoframe.operators.sampling import hash_order
 
     if selection not in ("nearest", "random"):
         raise ValueError(f"Unsupported selection: {selection}")
-    order = [hash_order(seed, col(id_col)), col(id_col)]
-    picks = rank_within(
-        reference.select(col(id_col), *[col(c) for c in columns]).withColumn("__h", order[0]),
-        [], [F.col("__h"), col(id_col)],
-    ).filter(F.col("position") < max_ref)
-    both = query.select(*[col(c) for c in columns]).unionByName(picks.select(*[col(c) for c in columns]))
-    width = both.agg(F.struct(*_ranges(both, columns))).scalar()
-    # One row holding at most max_ref points: bounded by the argument, not by the data.
-    points = picks.agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col("position"), col(id_col).alias("id"),
-                    *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
-                )
-            )
-        ).alias("__points")
-    ).select(F.lit(1).alias("__one"), "__points", width.alias("__width"))
-    scored = query.withColumn("__one", F.lit(1)).join(F.broadcast(points), "__one")
-    place = {c: i for i, c in enumerate(columns)}
-    ref = F.col("__points")
-    if same:
-        ref = F.filter(ref, lambda r: r["id"] != col(id_col))
-    if selection == "random":
-        # The points are already in hash order: the first k are a random draw.
-        ref = F.slice(ref, 1, k)
-    distances = F.transform(
-        ref,
-        lambda r: _gower_terms(
-            lambda c: col(c).cast("double"), lambda c: r[f"x{place[c]}"], lambda c: F.col("__width")[c], columns
-        ),
-    )
-    nearest = F.slice(F.array_sort(distances), 1, k)
-    return scored.select(*[col(c) for c in query.columns], _middle(nearest, metric).alias("gower_distance"))
+    if selection == "random" and not same:
+        raise ValueError("Random selection is defined among the rows of one table: same=True")
+    # One more than k, as a row's own point does not count with ``same``.
+    wanted = k + 1 if selection == "random" else max_ref
+    picks = reference.select(col(id_col), *[col(c) for c in columns])
+    if max_ref is not None or selection == "random":
+        hashed = picks.withColumn("__h", hash_order(seed, col(id_col)))
+        limit = min(x for x in (max_ref, wanted) if x is not None)
+        picks = rank_within(hashed, [], [F.col("__h"), col(id_col)]).filter(F.col("position") < limit)
+    picks, asked = _numbered(picks), _numbered(query)
+    both = asked.select(*[col(c) for c in columns]).unionByName(picks.select(*[col(c) for c in columns]))
+    width = both.agg(*_ranges(both, columns)).first()  # one row of numbers
+    xs = [_scaled(col(c), F.lit(width[c]).cast("double")) for c in columns]
+    near = nearest_distances(_points(asked, F.lit(""), id_col, xs), _points(picks, F.lit(""), id_col, xs), k, same)
+    scored = asked.join(near.withColumnRenamed("row", "__row"), "__row", "left")
+    return scored.select(*[col(c) for c in query.columns], _middle(F.col("nearest"), metric).alias("gower_distance"))
 
 
 def gower_knn_exact(
-    df: DataFrame,
-    group: list[str],
-    columns: list[str],
-    id_col: str,
-    k: int = 10,
-    metric: str = "median",
-    block_rows: int = 512,
+    df: DataFrame, group: list[str], columns: list[str], id_col: str, k: int = 10, metric: str = "median"
 ) -> DataFrame:
-    """k nearest rows of the same group under the Gower distance, exact and without all pairs.
+    """Middle of the k smallest Gower distances of every row to other rows of its group.
 
-    Range-scaled rows are put in order of their coordinate mean s. As the distance is the mean of
-    absolute differences, |s_a - s_b| never exceeds it. Neighbours inside a row's own block of
-    ``block_rows`` give an upper bound for its k-th distance; only blocks whose s-range comes
-    within that bound are then visited. No task handles more than a block times its visitors.
+    Exact; work is the square of a group's size, spread over tiles and blocks of bounded size
+    (see ``neighbours``). Use ``gower_per_group(selection="random")`` where that is too much.
     """
-    from ecoframe.operators.ranking import rank_within
-    from ecoframe.session import materialise
-
-    p = len(columns)
     ends = df.groupBy(*[col(g) for g in group]).agg(
         *[F.min(col(c).cast("double")).alias(f"__lo{i}") for i, c in enumerate(columns)],
         *[F.max(col(c).cast("double")).alias(f"__hi{i}") for i, c in enumerate(columns)],
     )
-    scaled = attach(df.select(*[col(g) for g in group], col(id_col), *[col(c) for c in columns]), ends, group)
+    rows = _numbered(attach(df.select(*[col(g) for g in group], col(id_col), *[col(c) for c in columns]), ends, group))
     xs = [
-        F.coalesce(
-            safe_div(
-                col(c).cast("double") - F.col(f"__lo{i}"), _width(F.col(f"__lo{i}"), F.col(f"__hi{i}"))
-            ),
-            F.lit(0.0),
-        ).alias(f"x{i}")
+        F.coalesce(safe_div(col(c).cast("double") - F.col(f"__lo{i}"), _width(F.col(f"__lo{i}"), F.col(f"__hi{i}"))), F.lit(0.0))
         for i, c in enumerate(columns)
     ]
-    points = scaled.select(*[col(g) for g in group], col(id_col).alias("id"), *xs)
-    points = points.withColumn("s", sum_of([F.col(f"x{i}") for i in range(p)]) / p)
-    placed = materialise(
-        rank_within(points, group, [F.col("s"), F.col("id")])
-        .withColumn("block", F.floor(F.col("position") / block_rows))
-        .drop("position", "group_size"),
-        "gower",
-    )
-    x_names = [f"x{i}" for i in range(p)]
-
-    def distance(a: str, b: str) -> Column:
-        return sum_of([F.abs(F.col(f"{a}.{x}") - F.col(f"{b}.{x}")) for x in x_names]) / p
-
-    def same_group(a: str, b: str):
-        return all_of([F.col(f"{a}.`{g}`").eqNullSafe(F.col(f"{b}.`{g}`")) for g in group])
-
-    def smallest(values: Column) -> Column:
-        return F.slice(F.array_sort(values), 1, k)
-
-    # Upper bound: k-th distance within the own block (null if the block has too few rows).
-    q, r = placed.alias("q"), placed.alias("r")
-    inside = q.join(r, same_group("q", "r") & (F.col("q.block") == F.col("r.block")))
-    own = (
-        inside.filter(F.col("q.id") != F.col("r.id"))
-        .select(*[F.col(f"q.`{g}`") for g in group], F.col("q.id").alias("id"), distance("q", "r").alias("d"))
-        .groupBy(*[col(g) for g in group], "id")
-        .agg(smallest(F.collect_list("d")).alias("own"))  # at most block_rows values
-    )
-    bounded = attach(placed, own, [*group, "id"]).withColumn(
-        "bound", F.when(F.size("own") >= k, F.element_at("own", k))
-    )
-    blocks = placed.groupBy(*[col(g) for g in group], "block").agg(
-        F.min("s").alias("s_lo"), F.max("s").alias("s_hi")
-    )
-    slack = 1e-12
-
-    def within_reach(low: str, high: str) -> Column:
-        return F.col("q.bound").isNull() | (
-            (F.col(low) - F.col("q.s") <= F.col("q.bound") + slack)
-            & (F.col("q.s") - F.col(high) <= F.col("q.bound") + slack)
-        )
-
-    # Runs of blocks first, then the blocks of the runs in reach: a row is compared with a
-    # (block_rows * run)-th of its group instead of with every block.
-    run = 256
-    blocks = blocks.withColumn("run", F.floor(F.col("block") / run))
-    runs = blocks.groupBy(*[col(g) for g in group], "run").agg(
-        F.min("s_lo").alias("run_lo"), F.max("s_hi").alias("run_hi")
-    )
-    in_run = (
-        bounded.alias("q")
-        .join(runs.alias("t"), same_group("q", "t") & within_reach("t.run_lo", "t.run_hi"))
-        .select("q.*", F.col("t.run").alias("run"))
-    )
-    visits = (
-        in_run.alias("q")
-        .join(
-            blocks.alias("t"),
-            same_group("q", "t") & (F.col("q.run") == F.col("t.run"))
-            & (F.col("q.block") != F.col("t.block")) & within_reach("t.s_lo", "t.s_hi"),
-        )
-        .select("q.*", F.col("t.block").alias("visit"))
-    )
-    v, r2 = visits.alias("q"), placed.alias("r")
-    cross = v.join(r2, same_group("q", "r") & (F.col("q.visit") == F.col("r.block"))).select(
-        *[F.col(f"q.`{g}`") for g in group], F.col("q.id").alias("id"), F.col("q.visit").alias("visit"),
-        F.col("q.bound").alias("bound"), distance("q", "r").alias("d"),
+    points = _points(rows, F.to_json(F.struct(*[col(g) for g in group])), id_col, xs)
+    near = nearest_distances(points, points, k, True)
+    return rows.join(near.withColumnRenamed("row", "__row"), "__row", "left").select(
+        *[col(g) for g in group], col(id_col),
+        F.when(F.size("nearest") > 0, _middle(F.col("nearest"), metric)).alias("gower_distance"),
     )
-    cross = cross.filter(F.col("bound").isNull() | (F.col("d") <= F.col("bound") + slack))
-    # The best k per visited block (at most its rows), per run (at most its blocks), then overall.
+
+
+def gower_random(
+    df: DataFrame, group: list[str], columns: list[str], id_col: str, k: int = 10, metric: str = "median", seed: int = 42
+) -> DataFrame:
+    """As ``gower_knn_exact``, but to k rows of the group drawn by hash order: linear work."""
+    from ecoframe.operators.ranking import rank_within
+    from ecoframe.operators.sampling import hash_order
+
     names = [col(g) for g in group]
-    best = cross.groupBy(*names, "id", "visit").agg(smallest(F.collect_list("d")).alias("best"))
-    for level in ([F.floor(F.col("visit") / run).alias("run")], []):
-        best = best.groupBy(*names, "id", *level).agg(
-            smallest(F.flatten(F.collect_list("best"))).alias("best"),
-            *([F.first("visit").alias("visit")] if level else []),
-        )
-    merged = best
-    empty = F.array().cast("array<double>")
-    all_best = attach(bounded, merged, [*group, "id"]).withColumn(
-        "nearest",
-        smallest(F.concat(F.coalesce("own", empty), F.coalesce("best", empty))),
-    )
-    return all_best.select(
-        *[col(g) for g in group], F.col("id").alias(id_col),
-        F.when(F.size("nearest") > 0, _middle(F.col("nearest"), metric)).alias("gower_distance"),
+    ends = df.groupBy(*names).agg(F.struct(*_ranges(df, columns)).alias("__width"))
+    rows = df.select(*names, col(id_col), *[col(c) for c in columns])
+    hashed = rows.withColumn("__h", hash_order(seed, col(id_col)))
+    # k + 1 rows per group, as a drawn row is not compared with itself.
+    drawn = rank_within(hashed, group, [F.col("__h"), col(id_col)]).filter(F.col("position") <= k)
+    point = F.struct("position", col(id_col).alias("id"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    drawn = drawn.groupBy(*names).agg(F.sort_array(F.collect_list(point)).alias("__drawn"))
+    joined = attach(attach(rows, ends, group), drawn, group)
+    others = F.slice(F.filter("__drawn", lambda r: r["id"] != col(id_col)), 1, k)
+    place = {c: i for i, c in enumerate(columns)}
+    distances = F.transform(
+        others,
+        lambda r: _gower_terms(lambda c: col(c).cast("double"), lambda c: r[f"x{place[c]}"], lambda c: F.col("__width")[c], columns),
     )
+    nearest = F.array_sort(distances)
+    return joined.select(*names, col(id_col), F.when(F.size(nearest) > 0, _middle(nearest, metric)).alias("gower_distance"))
 
 
 def gower_per_group(
-    df: DataFrame, group: str, columns: list[str], id_col: str, k: int = 10, metric: str = "median"
+    df: DataFrame,
+    group: str,
+    columns: list[str],
+    id_col: str,
+    k: int = 10,
+    metric: str = "median",
+    selection: str = "nearest",
+    seed: int = 42,
 ) -> DataFrame:
-    """Homogeneity of a group: mean, median and spread of its nearest-neighbour distances."""
-    knn = gower_knn_exact(df, [group], columns, id_col, k, metric)
+    """Homogeneity of a group: mean, median and spread of the distances of its rows to k others,
+    the nearest or (``selection="random"``) k drawn ones."""
+    if selection == "nearest":
+        knn = gower_knn_exact(df, [group], columns, id_col, k, metric)
+    elif selection == "random":
+        knn = gower_random(df, [group], columns, id_col, k, metric, seed)
+    else:
+        raise ValueError(f"Unsupported selection: {selection}")
     stats = knn.groupBy(col(group)).agg(
         F.avg("gower_distance").alias("gower_mean"), F.stddev_pop("gower_distance").alias("gower_std")
     )
@@ -654,12 +593,13 @@ def gower_per_group(
 
 
 def gower_train_test(
-    df: DataFrame, columns: list[str], id_col: str, k_folds: int, k: int = 5, max_ref: int = 1000, seed: int = 42
+    df: DataFrame, columns: list[str], id_col: str, k_folds: int, k: int = 5, max_ref: int | None = None, seed: int = 42
 ) -> DataFrame:
     """Per fold: distances of training rows and of test rows to the training set.
 
-    At most ``max_ref`` training points per fold, the same hash order in every fold; ranges are
-    those of query and reference together, per fold and role.
+    All training rows are searched, unless ``max_ref`` asks for the first so many in hash order,
+    the same order in every fold; ranges are those of query and reference together, per fold
+    and role.
     """
     from ecoframe.operators.folds import with_roles
     from ecoframe.operators.ranking import rank_within
@@ -667,37 +607,27 @@ def gower_train_test(
 
     base = df.select(col(id_col).alias("id"), "Fold_id", *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     xs = [f"x{i}" for i in range(len(columns))]
-    rows = with_roles(base, k_folds)
-    train = rows.filter(F.col("role") == "train").withColumn("__h", hash_order(seed, F.col("id")))
-    picks = rank_within(train, ["fold"], [F.col("__h"), F.col("id")]).filter(F.col("position") < max_ref)
-    points = picks.groupBy("fold").agg(
-        F.collect_list(F.struct("id", *xs)).alias("points"),  # at most max_ref per fold
-        *[F.min(x).alias(f"__rlo_{x}") for x in xs], *[F.max(x).alias(f"__rhi_{x}") for x in xs],
-    )
-    query = rows.groupBy("fold", "role").agg(
-        *[F.min(x).alias(f"__qlo_{x}") for x in xs], *[F.max(x).alias(f"__qhi_{x}") for x in xs]
-    )
-    scale = query.join(points, "fold").select(
-        "fold", "role", "points",
-        F.struct(
-            *[
-                _width(
-                    F.least(f"__qlo_{x}", f"__rlo_{x}"), F.greatest(f"__qhi_{x}", f"__rhi_{x}")
-                ).alias(x)
-                for x in xs
-            ]
-        ).alias("width"),
-    )
-    # 2 * k_folds rows of at most max_ref points: bounded by the arguments. A shuffle on so few
-    # keys would put all rows into a handful of tasks.
-    joined = rows.join(F.broadcast(scale), ["fold", "role"])
-    usable = F.filter("points", lambda r: r["id"] != F.col("id"))
-    distances = F.transform(
-        usable, lambda r: _gower_terms(F.col, lambda c: r[c], lambda c: F.col("width")[c], xs)
-    )
-    return joined.select(
-        "fold", "role", F.col("id").alias(id_col),
-        _middle(F.slice(F.array_sort(distances), 1, k), "median").alias("gower_distance"),
+    rows = _numbered(with_roles(base, k_folds))
+    picks = rows.filter(F.col("role") == "train")
+    if max_ref is not None:
+        hashed = picks.withColumn("__h", hash_order(seed, F.col("id")))
+        picks = rank_within(hashed, ["fold"], [F.col("__h"), F.col("id")]).filter(F.col("position") < max_ref)
+    low_high = [f(x).alias(f"__{n}_{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x in xs]
+    used = picks.groupBy("fold").agg(*low_high)
+    asked = rows.groupBy("fold", "role").agg(*[e for e in low_high])
+    asked = asked.toDF("fold", "role", *[f"q{c}" for c in asked.columns[2:]])
+    width = asked.join(used, "fold").select(
+        "fold", "role",
+        F.struct(*[_width(F.least(f"q__lo_{x}", f"__lo_{x}"), F.greatest(f"q__hi_{x}", f"__hi_{x}")).alias(x) for x in xs]).alias("width"),
+    )
+    # 2 * k_folds rows.
+    scaled = rows.join(F.broadcast(width), ["fold", "role"])
+    refs = picks.drop("role").join(F.broadcast(width), "fold")
+    group = F.concat_ws(":", F.col("fold").cast("string"), "role")
+    coordinates = [_scaled(F.col(x), F.col("width")[x]) for x in xs]
+    near = nearest_distances(_points(scaled, group, "id", coordinates), _points(refs, group, "id", coordinates), k, True)
+    return scaled.join(near.withColumnRenamed("row", "__row"), "__row", "left").select(
+        "fold", "role", F.col("id").alias(id_col), _middle(F.col("nearest"), "median").alias("gower_distance")
     )
 
 
@@ -781,38 +711,52 @@ def kde_by_fold(
 ) -> DataFrame:
     """Gaussian density of training and test values per fold on one shared grid.
 
-    Bandwidth n^(-1/5) * sd (sample) * ``adjust``. Equal values are counted first, and each fold's
-    values are added up per bandwidth, so the work is linear in the distinct values.
+    Bandwidth n^(-1/5) * sd (sample) * ``adjust``; the density is null where the spread is zero or
+    unknown. Equal values are counted first; each distinct value then adds to ``points`` sums per
+    fold in one aggregate, so no row is repeated per grid point.
     """
-    counts = df.filter(is_finite(col(column))).groupBy("Fold_id", col(column).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("w")
+    counts = materialise(
+        df.filter(is_finite(col(column))).groupBy("Fold_id", col(column).cast("double").alias("v")).agg(
+            F.count(F.lit(1)).alias("w")
+        ),
+        "kde",
     )
-    by_fold = counts.groupBy("Fold_id").agg(
-        F.sum("w").cast("double").alias("n"),
-        F.sum(F.col("w") * F.col("v")).alias("s1"),
-        F.sum(F.col("w") * F.col("v") * F.col("v")).alias("s2"),
+    means = counts.groupBy("Fold_id").agg(
+        F.sum("w").cast("double").alias("n"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"),
         F.min("v").alias("lo"), F.max("v").alias("hi"),
     )
+    # Squares around each fold's own mean, so that a large mean does not cancel them out.
+    centred = attach(counts, means.select("Fold_id", "m"), ["Fold_id"])
+    squares = centred.groupBy("Fold_id").agg(F.sum(F.col("w") * F.pow(F.col("v") - F.col("m"), F.lit(2.0))).alias("ss"))
+    by_fold = attach(means, squares, ["Fold_id"])
     ends = by_fold.agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
     sized = by_fold.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k_folds - 1)))).withColumn(
         "role", F.when(F.col("fold") == F.col("Fold_id"), F.lit("test")).otherwise(F.lit("train"))
     )
-    bands = sized.groupBy("fold", "role").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-    variance = safe_div(F.col("s2") - safe_div(F.col("s1") * F.col("s1"), F.col("n")), F.col("n") - 1)
-    bands = bands.select(
-        "fold", "role", "n", (F.pow("n", F.lit(-0.2)) * F.sqrt(variance) * adjust).alias("h")
+    joint = sized.groupBy("fold", "role").agg(
+        F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean")
+    )
+    # Parts are merged by their spread and the distance of their means; at most k_folds per row.
+    parts = sized.join(F.broadcast(joint), ["fold", "role"])
+    bands = parts.groupBy("fold", "role").agg(
+        F.first("total").alias("n"),
+        F.sum(F.col("ss") + F.col("n") * F.pow(F.col("m") - F.col("mean"), F.lit(2.0))).alias("ss"),
     )
+    variance = safe_div(F.col("ss"), F.col("n") - 1)
+    width = F.pow("n", F.lit(-0.2)) * F.sqrt(variance) * adjust
+    bands = bands.select("fold", "role", "n", F.when(width > 0, width).alias("h"))
     values = counts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k_folds - 1)))).withColumn(
         "role", F.when(F.col("fold") == F.col("Fold_id"), F.lit("test")).otherwise(F.lit("train"))
     )
     pad = (ends["hi"] - ends["lo"]) * padding
     low, step = ends["lo"] - pad, (ends["hi"] - ends["lo"] + 2 * pad) / (points - 1)
-    # bands has 2 * k_folds rows.
-    on_grid = values.join(F.broadcast(bands), ["fold", "role"]).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    )
-    u = (low + F.col("i") * step - F.col("v")) / F.col("h")
-    kernel = F.exp(-u * u / 2) / (math.sqrt(2 * math.pi) * F.col("h") * F.col("n"))
-    return on_grid.groupBy("fold", "role", "i").agg(
-        F.sum(kernel * F.col("w")).alias("density")
-    ).select("fold", "role", "i", (low + F.col("i") * step).alias("x"), "density")
+    # bands has 2 * k_folds rows, and the grid's ends are one row.
+    banded = values.join(F.broadcast(bands), ["fold", "role"]).withColumn("__low", low).withColumn("__step", step)
+    at = "(__low + {i} * __step - v) / h"
+    sums = [F.expr(f"sum(w * exp(-pow({at.format(i=i)}, 2) / 2)) AS s{i}") for i in range(points)]
+    summed = banded.groupBy("fold", "role").agg(F.first("n").alias("n"), F.first("h").alias("h"), F.first("__low").alias("low"), F.first("__step").alias("step"), *sums)
+    grid = F.expr("inline(array(" + ", ".join(f"struct({i} AS i, s{i} AS s)" for i in range(points)) + "))")
+    return summed.select("fold", "role", "n", "h", "low", "step", grid).select(
+        "fold", "role", "i", (F.col("low") + F.col("i") * F.col("step")).alias("x"),
+        (F.col("s") / (math.sqrt(2 * math.pi) * F.col("h") * F.col("n"))).alias("density"),
+    )

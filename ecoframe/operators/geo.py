@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ecoframe import config
 from ecoframe.functions.nulls import col, is_finite, n_unique, safe_div, sum_of
 from ecoframe.functions.stats import safe_corr
-from ecoframe.operators.ranking import first_per_key
+from ecoframe.operators.ranking import attributes_per_key
 from ecoframe.operators.skew import blocked_join
 
 # --- projection -----------------------------------------------------------------------------
@@ -185,8 +185,8 @@ def project_lines(df: DataFrame, line: str = "line") -> DataFrame:
 def site_points(df: DataFrame, order: list[str], extra: list[str] | None = None) -> DataFrame:
     """One row per site with its coordinates; missing coordinates are an error."""
     extra = extra or []
-    cols = list(dict.fromkeys(["SSBS", *extra, "Longitude", "Latitude", *order]))
-    sites = first_per_key(df.select(*[col(c) for c in cols]), ["SSBS"], order)
+    cols = [c for c in dict.fromkeys([*extra, "Longitude", "Latitude"]) if c != "SSBS"]
+    sites = attributes_per_key(df, ["SSBS"], cols, order)
 
     def required(name: str) -> Column:
         c = col(name).cast("double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ecoframe import config
 from ecoframe.functions.nulls import all_of, col
-from ecoframe.operators.ranking import first_per_key
+from ecoframe.operators.ranking import attributes_per_key
 from ecoframe.operators.skew import attach, blocked_join
 from ecoframe.operators.transforms import align_and_order, sample_year
 from ecoframe.session import materialise
@@ -144,9 +144,8 @@ def attach_pair_features(pairs: DataFrame, sites: DataFrame, continuous: list[st
 
 def join_predictions_site_info(pred: DataFrame, info: DataFrame, columns: list[str], order: list[str], how: str = "left") -> DataFrame:
     """Site information de-duplicated on SSBS, then joined to the predictions."""
-    keep = list(dict.fromkeys(["SSBS", *columns, *order]))
-    site = first_per_key(info.select(*[col(c) for c in keep]), ["SSBS"], order)
-    return pred.join(site.select("SSBS", *[col(c) for c in columns]), "SSBS", how)
+    site = attributes_per_key(info, ["SSBS"], [c for c in dict.fromkeys(columns) if c != "SSBS"], order)
+    return pred.join(site, "SSBS", how)
 
 
 def harmonise_country(df: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -188,3 +188,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         .select(*[col(k) for k in keys], *[F.col("__row").getField(c).alias(c) for c in rest])
         .select(*[col(c) for c in df.columns])
     )
+
+
+def attributes_per_key(df: DataFrame, keys: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """``columns`` of the first row of every key under ``order``, for columns that hardly vary.
+
+    Distinct rows come first: a hash aggregate that combines map-side and leaves about one row per
+    key, where :func:`first_per_key` would sort whole rows. Only keys with differing rows are looked
+    up in ``df`` again, by order.
+    """
+    wanted = [col(c) for c in [*keys, *columns]]
+    rows = materialise(df.select(*wanted).distinct(), "attributes")
+    repeated = rows.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    repeated = materialise(repeated.drop("__n"), "varying")
+    if repeated.isEmpty():
+        return rows
+    names = list(dict.fromkeys([*keys, *columns, *order]))
+    left, right = df.select(*[col(c) for c in names]).alias("l"), repeated.alias("r")
+    firsts = first_per_key(left.join(right, keys_match("l", "r", keys), "left_semi"), keys, order).select(*wanted)
+    single = rows.alias("l").join(right, keys_match("l", "r", keys), "left_anti").select(*wanted)
+    return single.unionByName(firsts)

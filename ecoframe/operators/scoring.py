@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ecoframe import config
 from ecoframe.functions.nulls import clamp, col, safe_div, sum_of
 from ecoframe.functions.stats import inverse_link
 from ecoframe.operators.ranking import average_rank, quantiles
-from ecoframe.operators.skew import attach
+from ecoframe.operators.skew import attach, blocked_join
+from ecoframe.session import materialise
 
 INTERCEPT = "(Intercept)"
 
@@ -19,10 +19,6 @@ def formula_name(name: str) -> str:
     return name.replace(" ", "_")
 
 
-def rename_for_formula(df: DataFrame) -> DataFrame:
-    return df.toDF(*[formula_name(c) for c in df.columns])
-
-
 def score_mixed(
     df: DataFrame,
     coef: dict[str, float],
@@ -61,13 +57,32 @@ def score_mixed(
     )
 
 
-def _per_group(draws: DataFrame) -> DataFrame:
-    """All draws of a group as one array; its length is the number of posterior draws."""
-    return draws.groupBy("level", "group").agg(
-        F.sort_array(F.collect_list(F.struct("chain", "draw", "alpha", "beta"))).alias("draws")
+CHUNK_DRAWS = 64  # draws of a group that travel as one array
+
+
+def _chunks(draws: DataFrame) -> DataFrame:
+    """(level, group, draws): the draws of a group in arrays of about ``CHUNK_DRAWS``."""
+    most = draws.groupBy("level", "group").count().agg(F.max("count")).first()[0] or 1
+    chunk = F.pmod(F.xxhash64("chain", "draw"), F.lit(-(-most // CHUNK_DRAWS)))
+    return draws.groupBy("level", "group", chunk.alias("__chunk")).agg(
+        F.collect_list(F.struct("chain", "draw", "alpha", "beta")).alias("draws")
     )
 
 
+def _with_known_group(df: DataFrame, draws: DataFrame, missing: str) -> DataFrame:
+    """Rows whose group has no draws get the population's (level 0, group 0), or raise an error."""
+    if missing not in ("population", "error"):
+        raise ValueError("Unsupported missing. Allowed: population, error")
+    known = draws.select("level", "group").distinct().withColumn("__known", F.lit(True))
+    marked = attach(df, known, ["level", "group"])
+    absent = F.col("__known").isNull()
+    if missing == "error":
+        absent = absent & F.raise_error(F.lit("A group has no draws")).cast("boolean")
+    return marked.withColumn("level", F.when(absent, F.lit(0)).otherwise(F.col("level"))).withColumn(
+        "group", F.when(absent, F.lit(0)).otherwise(F.col("group"))
+    ).drop("__known")
+
+
 def _linear(alpha: Column, beta: Column, x: Column) -> Column:
     dot = F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return alpha + dot
@@ -88,24 +103,33 @@ def score_hierarchical(
     x_cols: list[str],
     likelihood: str = "beta",
     eps: float = config.EPSILON,
+    missing: str = "population",
 ) -> DataFrame:
     """Posterior mean prediction of every row from the draws of its assigned group.
 
     ``df`` has ``level`` and ``group`` (population rows use level 0); ``draws`` is
-    (chain, draw, level, group, alpha, beta array). The draws of a group travel as one array, so
-    the row count never grows to rows x draws and nothing is shuffled per draw.
+    (chain, draw, level, group, alpha, beta array). A row meets the draws of its group in arrays of
+    bounded length, in cells of bounded size where a group is hot, and the partial sums are added
+    by row. Rows whose group has no draws use the population's, or are an error with
+    ``missing="error"``; without population draws their prediction is null.
     """
     x = F.array(*[col(c).cast("double") for c in x_cols])
-    joined = df.withColumn("__x", x).join(_per_group(draws), ["level", "group"])
+    known = _with_known_group(df.withColumn("__x", x), draws, missing)
+    rows = materialise(known.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    met = blocked_join(rows.select("__row", "__x", "level", "group"), _chunks(draws), ["level", "group"], ["__row"], ["__chunk"])
 
-    def mean_over(value) -> Column:
-        total = F.aggregate("draws", F.lit(0.0), lambda s, d: s + value(d))
-        return safe_div(total, F.size("draws"))
+    def total(value) -> Column:
+        return F.aggregate("draws", F.lit(0.0), lambda s, d: s + value(d))
 
-    predicted = mean_over(lambda d: _on_response(_linear(d["alpha"], d["beta"], F.col("__x")), likelihood, eps))
-    reference = mean_over(lambda d: _on_response(d["alpha"], likelihood, eps))
-    return joined.select(
-        *[col(c) for c in ids], predicted.alias("Predicted"), reference.alias("Reference_pred")
+    sums = met.groupBy("__row").agg(
+        F.sum(total(lambda d: _on_response(_linear(d["alpha"], d["beta"], F.col("__x")), likelihood, eps))).alias("__p"),
+        F.sum(total(lambda d: _on_response(d["alpha"], likelihood, eps))).alias("__r"),
+        F.sum(F.size("draws")).alias("__n"),
+    )
+    return rows.join(sums, "__row", "left").select(
+        *[col(c) for c in ids],
+        safe_div(F.col("__p"), F.col("__n")).alias("Predicted"),
+        safe_div(F.col("__r"), F.col("__n")).alias("Reference_pred"),
     )
 
 
@@ -116,12 +140,15 @@ def predictive_distribution(
     x_cols: list[str],
     likelihood: str = "beta",
     eps: float = config.EPSILON,
-    thin: int = 1,
+    missing: str = "population",
 ) -> DataFrame:
-    """Conditional mean of every row under every draw (optionally each ``thin``-th draw)."""
-    kept = draws.filter(F.col("draw") % thin == 0) if thin > 1 else draws
+    """Conditional mean of every row under every draw of its group (``missing`` as above).
+
+    To use fewer draws, filter ``draws`` first.
+    """
     x = F.array(*[col(c).cast("double") for c in x_cols])
-    joined = df.withColumn("__x", x).join(_per_group(kept), ["level", "group"])
+    known = _with_known_group(df.withColumn("__x", x), draws, missing)
+    joined = blocked_join(known, _chunks(draws), ["level", "group"], ids, ["__chunk"])
     d = F.col("d")
     return joined.withColumn("d", F.explode("draws")).select(
         *[col(c) for c in ids],

@@ -164,7 +164,7 @@ VIEWS: dict[str, str] = {
     """,
 }
 
-COVARIATE_NAMES = [f"v{i}" for i in range(1, 17)]
+COVARIATE_NAMES = [f"v{i}" for i in range(1, 65)]
 
 
 def _covariate_view(dialect: str) -> str:

@@ -261,6 +261,22 @@ def _(v):
     return e.gower_per_group(v("covariates"), "label", COVARIATE_NAMES, "vec_id", 10)
 
 
+PARTS["drawn"] = "SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42' || vec_id), vec_id) AS rk FROM {covariates}"
+
+
+@query(
+    "gower_per_group_random",
+    f"""SELECT label, avg(gd) AS gower_mean, stddev_pop(gd) AS gower_std, median(gd) AS gower_median FROM (
+          SELECT label, vec_id, median(d) AS gd FROM (
+            SELECT a.label, a.vec_id, {distance_sql(COVARIATE_NAMES, 'r')} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY b.rk) AS rn
+            FROM {{covariates}} a JOIN {{drawn}} b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.rk <= 11 JOIN ({_RANGE}) r ON a.label = r.label) t
+          WHERE rn <= 10 GROUP BY label, vec_id) g GROUP BY label""",
+    "gower_mean gower_std gower_median",
+)
+def _(v):
+    return e.gower_per_group(v("covariates"), "label", COVARIATE_NAMES, "vec_id", 10, selection="random")
+
+
 _RANGE_ALL = "SELECT " + ", ".join(f"max({c}) - min({c}) AS {c}" for c in COVARIATE_NAMES) + " FROM {covariates}"
 
 
@@ -268,18 +284,18 @@ _RANGE_ALL = "SELECT " + ", ".join(f"max({c}) - min({c}) AS {c}" for c in COVARI
     "gower_knn",
     f"""SELECT vec_id, median(d) AS gower_distance FROM (
           SELECT a.vec_id, {distance_sql(COVARIATE_NAMES, 'r')} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {distance_sql(COVARIATE_NAMES, 'r')}, b.vec_id) AS rn
-          FROM {{covariates}} a JOIN (SELECT * FROM {{covariates}} ORDER BY md5('42' || vec_id), vec_id LIMIT 300) b ON a.vec_id <> b.vec_id CROSS JOIN ({_RANGE_ALL}) r) t WHERE rn <= 5 GROUP BY vec_id""",
+          FROM {{covariates}} a JOIN {{covariates}} b ON a.vec_id <> b.vec_id CROSS JOIN ({_RANGE_ALL}) r) t WHERE rn <= 5 GROUP BY vec_id""",
     "gower_distance",
 )
 def _(v):
     c = v("covariates")
-    return e.gower_knn(c, c, COVARIATE_NAMES, "vec_id", 5, 300, same=True).select("vec_id", "gower_distance")
+    return e.gower_knn(c, c, COVARIATE_NAMES, "vec_id", 5, same=True).select("vec_id", "gower_distance")
 
 
 _RANGE_ROLE = "SELECT q.fold, q.role, " + ", ".join(f"greatest(q.h_{c}, r.h_{c}) - least(q.l_{c}, r.l_{c}) AS {c}" for c in COVARIATE_NAMES) + " FROM ({0}) q JOIN ({1}) r ON q.fold = r.fold"
 _ENDS = ", ".join(f"max({c}) AS h_{c}, min({c}) AS l_{c}" for c in COVARIATE_NAMES)
 PARTS["cov_roles"] = "SELECT c.*, k.fold, CASE WHEN c.Fold_id = k.fold THEN 'test' ELSE 'train' END AS role FROM {covariates} c CROSS JOIN (SELECT DISTINCT Fold_id AS fold FROM {covariates}) k"
-PARTS["cov_refs"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5('42' || vec_id), vec_id) AS rk FROM {cov_roles} WHERE role = 'train') t WHERE rk <= 200"
+PARTS["cov_refs"] = "SELECT * FROM {cov_roles} WHERE role = 'train'"
 
 
 @query(
@@ -292,7 +308,7 @@ PARTS["cov_refs"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fo
     "gower_distance",
 )
 def _(v):
-    return e.gower_train_test(v("covariates"), COVARIATE_NAMES, "vec_id", 5, 5, 200)
+    return e.gower_train_test(v("covariates"), COVARIATE_NAMES, "vec_id", 5, 5)
 
 
 _GROUP_COV = ["v1", "v2", "v3", "v4"]
