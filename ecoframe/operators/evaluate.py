@@ -17,7 +17,7 @@ from ecoframe.functions.stats import (
     student_t_quantile,
 )
 from ecoframe.operators.joins import reference_condition
-from ecoframe.operators.ranking import average_rank, first_per_key, quantiles, rank_bins
+from ecoframe.operators.ranking import first_per_key, quantiles, rank_bins, running_weight
 from ecoframe.operators.neighbours import nearest_distances
 from ecoframe.operators.skew import attach, blocked_join
 from ecoframe.session import materialise
@@ -98,11 +98,35 @@ def _segments(df: DataFrame, observed: str, tiebreak: list[str], keys: list[str]
     return quarter.withColumn("segment", F.explode(names)).drop("bin")
 
 
+def weighted_average_rank(counts: DataFrame, keys: list[str], column: str, weight: str, name: str) -> DataFrame:
+    """Tie-averaged rank of ``column`` in a table whose rows stand for ``weight`` rows each."""
+    totals = counts.groupBy(*[col(c) for c in [*keys, column]]).agg(F.sum(weight).alias("__tie"))
+    running = running_weight(totals, keys, [col(column)], "__tie")
+    ranks = running.select(*[col(c) for c in [*keys, column]], (F.col("before") + (F.col("__tie") + 1) / 2).alias(name))
+    return attach(counts, ranks, [*keys, column])
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, name: str = "spearman_corr") -> DataFrame:
-    """Rank correlation: equal (x, y) pairs are counted first, then ranked per side."""
-    rx = average_rank(df.select(*[col(k) for k in keys], col(x), col(y)), x, keys, "__rx")
-    both = average_rank(rx, y, keys, "__ry")
-    return both.groupBy(*[col(k) for k in keys]).agg(safe_corr(F.col("__rx"), F.col("__ry")).alias(name))
+    """Rank correlation of complete pairs: equal pairs are counted first, then ranked and weighted."""
+    if not keys:
+        return spearman(df.withColumn("__all", F.lit(1)), ["__all"], x, y, name).drop("__all")
+    counts = materialise(
+        df.filter(col(x).isNotNull() & col(y).isNotNull())
+        .groupBy(*[col(k) for k in keys], col(x), col(y))
+        .agg(F.count(F.lit(1)).alias("__w")),
+        "pairs",
+    )
+    both = weighted_average_rank(weighted_average_rank(counts, keys, x, "__w", "__rx"), keys, y, "__w", "__ry")
+    w, a, b = F.col("__w"), F.col("__rx"), F.col("__ry")
+    # Both mean ranks are (n + 1) / 2.
+    n = both.groupBy(*[col(k) for k in keys]).agg(((F.sum(w) + 1) / 2).alias("__m"))
+    centred = attach(both, n, keys)
+    a, b = a - F.col("__m"), b - F.col("__m")
+    sums = centred.groupBy(*[col(k) for k in keys]).agg(
+        F.sum(w * a * b).alias("__ab"), F.sum(w * a * a).alias("__aa"), F.sum(w * b * b).alias("__bb")
+    )
+    value = F.when((F.col("__aa") > 0) & (F.col("__bb") > 0), F.col("__ab") / F.sqrt(F.col("__aa") * F.col("__bb")))
+    return sums.select(*[col(k) for k in keys], value.alias(name))
 
 
 def performance_metrics(

@@ -131,13 +131,14 @@ PARTS["fold_r"] = f"SELECT model, mode, fold, {_CORR.format('Observed', 'Predict
 
 @query(
     "model_performance_table",
-    f"SELECT a.model, a.mode, a.r AS Mean, b.lo AS Min, b.hi AS Max, b.r1 AS r_fold_1 FROM (SELECT model, mode, {_CORR.format('Observed', 'Predicted_FE')} AS r FROM {{predictions}} GROUP BY model, mode) a "
-    "LEFT JOIN (SELECT model, mode, min(r) AS lo, max(r) AS hi, max(CASE WHEN fold = 1 THEN r END) AS r1 FROM {fold_r} GROUP BY model, mode) b ON a.model = b.model AND a.mode = b.mode",
-    "Mean Min Max r_fold_1",
+    f"SELECT a.model, a.mode, a.r AS Mean, b.lo AS Min, b.hi AS Max, b.r0 AS r_fold_0, b.r1 AS r_fold_1, b.r2 AS r_fold_2, b.r3 AS r_fold_3, b.r4 AS r_fold_4 FROM (SELECT model, mode, {_CORR.format('Observed', 'Predicted_FE')} AS r FROM {{predictions}} GROUP BY model, mode) a "
+    "LEFT JOIN (SELECT model, mode, min(r) AS lo, max(r) AS hi, " + ", ".join(f"max(CASE WHEN fold = {k} THEN r END) AS r{k}" for k in range(5)) + " FROM {fold_r} GROUP BY model, mode) b ON a.model = b.model AND a.mode = b.mode",
+    "Mean Min Max r_fold_0 r_fold_1 r_fold_2 r_fold_3 r_fold_4",
 )
 def _(v):
     out = e.model_performance_table(v("predictions"), predicted="Predicted_FE")
-    return out.select("model", "mode", "Mean", "Min", "Max", F.try_element_at("r_fold", F.lit(1)).alias("r_fold_1"))
+    folds = [F.try_element_at("r_fold", F.lit(k)).alias(f"r_fold_{k}") for k in range(5)]
+    return out.select("model", "mode", "Mean", "Min", "Max", *folds)
 
 
 @query("fold_correlations", "SELECT * FROM {fold_r}", "r")
@@ -343,21 +344,54 @@ PARTS["biome_knn"] = f"""
 
 # --- regressions, countries, intactness -----------------------------------------------------
 
-PARTS["xy"] = "SELECT Predicted AS y, (Latitude - (SELECT avg(Latitude) FROM {pred_sited})) / (SELECT stddev_samp(Latitude) FROM {pred_sited}) AS x FROM {pred_sited}"
+_PRED3 = ["Latitude", "Longitude", "Observed"]
+# Least squares on z-scores: the correlation matrix of up to three predictors is inverted in place.
+_T = "1.959963984540054"
+_QUANTILE = (
+    f"({_T} + (pow({_T}, 3) + {_T}) / (4 * v) + (5 * pow({_T}, 5) + 16 * pow({_T}, 3) + 3 * {_T}) / (96 * v * v)"
+    f" + (3 * pow({_T}, 7) + 19 * pow({_T}, 5) + 17 * pow({_T}, 3) - 15 * {_T}) / (384 * v * v * v))"
+)
 
 
-@query(
-    "ols_standardised",
-    "SELECT 'Intercept' AS term, regr_intercept(y, x) AS estimate FROM {xy} UNION ALL SELECT 'Latitude', regr_slope(y, x) FROM {xy}",
-    "estimate",
-)
+def ols_sql(xs: list[str]) -> str:
+    p = len(xs)
+    c = {(i, j): "1e0" if i == j else f"c{min(i, j)}{max(i, j)}" for i in range(3) for j in range(3)}
+    if p == 1:
+        inverse = {(0, 0): "1e0"}
+    else:
+        det = "(1 + 2 * c01 * c02 * c12 - c01 * c01 - c02 * c02 - c12 * c12)"
+        inverse = {}
+        for i in range(3):
+            for j in range(3):
+                a, b = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+                sign = "" if (i + j) % 2 == 0 else "-"
+                inverse[i, j] = f"({sign}({c[a[0], b[0]]} * {c[a[1], b[1]]} - {c[a[0], b[1]]} * {c[a[1], b[0]]}) / {det})"
+    sums = [f"corr({xs[i]}, {xs[j]}) AS c{i}{j}" for i in range(p) for j in range(i + 1, p)]
+    sums += [f"covar_samp({x}, Predicted) / stddev_samp({x}) AS q{i}" for i, x in enumerate(xs)]
+    slopes = [" + ".join(f"{inverse[i, j]} * q{j}" for j in range(p)) + f" AS b{i}" for i in range(p)]
+    variance = [f"{inverse[i, i]} AS d{i}" for i in range(p)]
+    left = " + ".join(f"b{i} * q{i}" for i in range(p))
+    rows = ["SELECT 'Intercept' AS term, my AS b, sqrt(s2 / n) AS e, v FROM fit"]
+    rows += [f"SELECT '{x}', b{i}, sqrt(d{i} * s2 / (n - 1)), v FROM fit" for i, x in enumerate(xs)]
+    return f"""
+        SELECT term, b AS estimate, e AS std_error, b - t * e AS ci_lower, b + t * e AS ci_upper, CASE WHEN b - t * e > 0 OR b + t * e < 0 THEN '*' ELSE '' END AS significant
+        FROM (WITH sums AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(Predicted) AS my, var_samp(Predicted) AS vy, {', '.join(sums)} FROM {{pred_sited}}),
+          slopes AS (SELECT *, {', '.join(slopes + variance)} FROM sums),
+          fit AS (SELECT *, n - {p + 1} AS v, (n - 1) * (vy - ({left})) / (n - {p + 1}) AS s2 FROM slopes)
+          SELECT *, {_QUANTILE} AS t FROM ({' UNION ALL '.join(rows)}) r) o"""
+
+
+_OLS = "estimate std_error ci_lower ci_upper"
+
+
+@query("ols_standardised", ols_sql(["Latitude"]), _OLS)
 def _(v):
-    return e.ols_standardised(v("pred_sited"), "Predicted", ["Latitude"]).select("term", "estimate")
+    return e.ols_standardised(v("pred_sited"), "Predicted", ["Latitude"])
 
 
-@query("ols_standardised_many")
+@query("ols_standardised_many", ols_sql(_PRED3), _OLS)
 def _(v):
-    return e.ols_standardised(v("pred_sited"), "Predicted", ["Latitude", "Longitude", "Observed"])
+    return e.ols_standardised(v("pred_sited"), "Predicted", _PRED3)
 
 
 @query(
@@ -370,7 +404,23 @@ def _(v):
     return e.polyfit(v("pred_site"), "Observed", "Predicted", 1)
 
 
-@query("polyfit_cubic")
+# A cubic by orthogonal polynomials on the centred and scaled values.
+_P1, _P2 = "(z - a1)", "((z - a2) * (z - a1) - b2)"
+_P3 = f"((z - a3) * {_P2} - b3 * {_P1})"
+PARTS["cubic_ends"] = f"SELECT min(Observed) AS lo, max(Observed) AS hi, {_CORR.format('Observed', 'Predicted')} AS r, avg(abs(Observed - Predicted)) AS mae FROM {{pred_site}}"
+PARTS["cubic_z"] = "SELECT (Observed - (lo + hi) / 2) / ((hi - lo) / 2) AS z, Predicted AS y FROM {pred_site}, {cubic_ends}"
+PARTS["cubic_1"] = "SELECT avg(z) AS a1, avg(y) AS k0 FROM {cubic_z}"
+PARTS["cubic_2"] = f"SELECT a1, k0, sum(z * {_P1} * {_P1}) / sum({_P1} * {_P1}) AS a2, avg({_P1} * {_P1}) AS b2, sum(y * {_P1}) / sum({_P1} * {_P1}) AS k1 FROM {{cubic_z}}, {{cubic_1}} GROUP BY a1, k0"
+PARTS["cubic_3"] = f"SELECT a1, a2, b2, k0, k1, sum(z * {_P2} * {_P2}) / sum({_P2} * {_P2}) AS a3, sum({_P2} * {_P2}) / sum({_P1} * {_P1}) AS b3, sum(y * {_P2}) / sum({_P2} * {_P2}) AS k2 FROM {{cubic_z}}, {{cubic_2}} GROUP BY a1, a2, b2, k0, k1"
+PARTS["cubic_4"] = f"SELECT a1, a2, a3, b2, b3, k0, k1, k2, sum(y * {_P3}) / sum({_P3} * {_P3}) AS k3 FROM {{cubic_z}}, {{cubic_3}} GROUP BY a1, a2, a3, b2, b3, k0, k1, k2"
+
+
+@query(
+    "polyfit_cubic",
+    f"""SELECT i, x, k0 + k1 * {_P1} + k2 * {_P2} + k3 * {_P3} AS y, r AS pearson_r, mae FROM (
+          SELECT CAST(i AS INT) AS i, lo + i * (hi - lo) / 199 AS x, (lo + i * (hi - lo) / 199 - (lo + hi) / 2) / ((hi - lo) / 2) AS z, r, mae FROM {{cubic_ends}}, range(0, 200) g(i)) q, {{cubic_4}}""",
+    "x y pearson_r mae",
+)
 def _(v):
     return e.polyfit(v("pred_site"), "Observed", "Predicted", 3)
 

@@ -141,7 +141,26 @@ def _(v):
     return g.road_density(b.select("SSBS", "radius_km", "epsg_code", "polygon"), v("road_segments"), ["SSBS", "radius_km"], 5000.0)
 
 
-@query("road_density_round")
+# A round buffer is a regular polygon of 32 corners: 32 half-planes n * (p - centre) <= apothem.
+PARTS["planes"] = "SELECT cos(a) AS nx, sin(a) AS ny, cos(pi() / 32) AS ap FROM (SELECT (2 * i + 1) * pi() / 32 AS a FROM range(0, 32) t(i)) q"
+_ALONG, _OUT = "(nx * (x2 - x1) + ny * (y2 - y1))", "(ap * r - nx * (x1 - easting) - ny * (y1 - northing))"
+
+
+@query(
+    "road_density_round",
+    f"""SELECT k.SSBS, k.radius_km, coalesce(sum(greatest(least(leave, 1) - greatest(enter, 0), 0) * len), 0) AS Road_density
+        FROM (SELECT SSBS, radius_km FROM {{road_sites}}, (SELECT unnest([1, 5]) AS radius_km) k) k LEFT JOIN (
+          SELECT SSBS, radius_km, x1, y1, x2, y2, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len,
+            max(CASE WHEN {_ALONG} < 0 THEN {_OUT} / {_ALONG} WHEN {_ALONG} = 0 AND {_OUT} < 0 THEN 2e0 ELSE 0e0 END) AS enter,
+            min(CASE WHEN {_ALONG} > 0 THEN {_OUT} / {_ALONG} ELSE 1e0 END) AS leave
+          FROM (SELECT *, CAST(radius_km * 1000 AS DOUBLE) AS r FROM {{road_sites}}, (SELECT unnest([1, 5]) AS radius_km) k) s
+          JOIN (SELECT DISTINCT epsg_code, x1, y1, x2, y2 FROM {{road_segments}}) t ON t.epsg_code = s.epsg_code
+            AND greatest(x1, x2) >= easting - r AND least(x1, x2) <= easting + r AND greatest(y1, y2) >= northing - r AND least(y1, y2) <= northing + r
+          CROSS JOIN {{planes}} GROUP BY SSBS, radius_km, x1, y1, x2, y2) c ON c.SSBS = k.SSBS AND c.radius_km = k.radius_km
+        GROUP BY k.SSBS, k.radius_km""",
+    "Road_density",
+    digits=3,
+)
 def _(v):
     b = g.buffer_sites(v("road_sites"), [1, 5], "round")
     return g.road_density(b.select("SSBS", "radius_km", "epsg_code", "polygon"), v("road_segments"), ["SSBS", "radius_km"], 5000.0)
@@ -176,7 +195,20 @@ def _(v):
     return _zonal(v, "square", False)
 
 
-@query("zonal_stats_round")
+# A pixel meets the polygon unless one of the polygon's sides or of its own keeps them apart.
+PARTS["met"] = """
+    SELECT SSBS, s.radius, raster_id, value FROM {squares} s JOIN {pixels} p ON ix + 1 > x - radius AND ix < x + radius AND iy + 1 > y - radius AND iy < y + radius
+    CROSS JOIN {planes} GROUP BY SSBS, s.radius, raster_id, ix, iy, value
+    HAVING bool_and((CASE WHEN nx > 0 THEN ix ELSE ix + 1 END - x) * nx + (CASE WHEN ny > 0 THEN iy ELSE iy + 1 END - y) * ny < ap * radius)"""
+
+
+@query(
+    "zonal_stats_round",
+    "SELECT s.SSBS, s.radius, "
+    + ", ".join(f"avg(value) FILTER (raster_id = '{r}') AS \"{r}\"" for r in "ANR")
+    + " FROM {squares} s LEFT JOIN {met} m ON m.SSBS = s.SSBS AND m.radius = s.radius GROUP BY s.SSBS, s.radius",
+    "radius A N R", digits=4,
+)
 def _(v):
     return _zonal(v, "round", True)
 
