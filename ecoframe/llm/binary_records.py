@@ -36,6 +36,7 @@ from ecoframe.session import materialise
 
 FILE_BYTES = 24 << 20  # text per data file
 MAX_BROADCAST = 200_000  # files
+CACHED_CHUNKS = 300_000
 MASK_DELTA = 0xA282EAD8
 NULL_KEY, WIDE = 1, 2
 FRAME = struct.Struct("<QI")
@@ -100,7 +101,7 @@ def worker_encoder(vocabulary: str) -> ChunkEncoder:
             return np.array([i for x in lists for i in x], dtype=np.int64), counts
         return ids, np.bincount(owner, minlength=len(strings))
 
-    return ChunkEncoder(encode)
+    return ChunkEncoder(encode, CACHED_CHUNKS)
 
 
 def write_records(
@@ -124,7 +125,7 @@ def write_records(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             flat, counts = encoder([t or "" for t in batch.column("text").to_pylist()])
             ends = np.cumsum(counts)
             full = np.insert(flat, ends, end_id)

@@ -23,6 +23,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from ecoframe.llm.chunks import ChunkEncoder
 from ecoframe.llm.common import append_columns, fields, gather, ragged
 
+CACHED_CHUNKS = 120_000
 NO_RANK = np.iinfo(np.int64).max
 
 # Fixed value: the split pattern of the byte-level vocabulary, white space spelled out.
@@ -166,7 +167,7 @@ class Vocabulary:
 @functools.lru_cache(maxsize=1)
 def worker_encoder(vocabulary: str) -> ChunkEncoder:
     """One encoder and cache per Python worker, shared by the tasks that run in it."""
-    return ChunkEncoder(Vocabulary(vocabulary).encoder())
+    return ChunkEncoder(Vocabulary(vocabulary).encoder(), CACHED_CHUNKS)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -43,7 +43,7 @@ class ChunkEncoder:
     enough), so memory does not grow with the input.
     """
 
-    def __init__(self, encode: Encoder, limit: int = 300_000):
+    def __init__(self, encode: Encoder, limit: int):
         self.encode, self.limit = encode, limit
         self.queue: list[str] = []
         self._reset({}, {})

@@ -34,7 +34,7 @@ BLOCK_BITS = 64 // BLOCKS
 LENGTH_STEP = 1.06  # lengths of one window length differ by at most this factor, both ways
 ITEMS_PER_PASS = 5_000  # an item takes about 11 kB of index in each task
 BLOCK_PLACES = 16_384
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 TOKEN = re.compile(r"\w+")
 
 MATCH = StructType([

@@ -33,7 +33,7 @@ PRIOR_WEIGHT = 2000.0  # expected counts given to the languages' common distribu
 FLOOR = 1e-7  # probability of a character that no piece covers
 LINEAR_LENGTH = 40  # longer words are summed in logarithms
 BLOCK_CHARS = 200_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 

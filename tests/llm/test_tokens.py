@@ -34,7 +34,7 @@ def split(flat, counts):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=20).map("".join), max_size=6))
 def test_encoding_equals_library(texts):
-    flat, counts = ChunkEncoder(VOCABULARY.encoder())(texts)
+    flat, counts = ChunkEncoder(VOCABULARY.encoder(), 1000)(texts)
     assert split(flat, counts) == [expected(t) for t in texts]
     assert VOCABULARY.decode(flat, counts) == texts
 
