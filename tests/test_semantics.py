@@ -3,12 +3,13 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ecoframe import config
+from ecoframe import config, session
 from ecoframe.functions.stats import safe_corr, student_t_quantile
-from ecoframe.operators import checks, diversity, evaluate, folds, geo, hierarchy, joins, ranking, scope, skew, transforms
+from ecoframe.operators import checks, diversity, evaluate, folds, geo, hierarchy, joins, neighbours, ranking, sampling, scope, scoring, skew, transforms
 from ecoframe.sources import tables
 
 INF, NAN = float("inf"), float("nan")
@@ -190,6 +191,22 @@ def test_blocked_join_equals_plain_join(spark):
     assert got.count() == 60 * 90 + 1
 
 
+def test_attributes_per_key_equal_first_rows(spark):
+    same = [("a", 1, "x", i) for i in range(9)] + [("b", 2, None, i) for i in range(5)] + [(None, 3, "z", 0)]
+    schema = "k string, n int, s string, o int"
+    for extra in ([], [("c", 5, "late", 4), ("c", 4, "first", 1), (None, 9, "w", 7)]):
+        df = spark.createDataFrame(same + extra, schema)
+        want = ranking.first_per_key(df, ["k"], ["o"]).drop("o")
+        got = ranking.attributes_per_key(df, ["k"], ["n", "s"], ["o"])
+        assert sorted(map(repr, got.select("k", "n", "s").collect())) == sorted(map(repr, want.select("k", "n", "s").collect()))
+
+
+def test_outer_widening_keeps_every_site(spark):
+    a = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "SSBS string, one double")
+    b = spark.createDataFrame([("s2", 3.0), ("s3", 4.0)], "SSBS string, ten double")
+    assert rows(joins.widen_by_site([a, b]), "SSBS") == [("s1",), ("s2",), ("s3",)]
+
+
 # --- evaluation -----------------------------------------------------------------------------
 
 
@@ -201,11 +218,13 @@ def test_constant_predictions_have_no_correlation(spark):
 
 
 @pytest.mark.parametrize("block", [4, 16, 512])
-def test_exact_neighbours_against_brute_force(spark, block):
+def test_exact_neighbours_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", block)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 2 * block)
     rnd = random.Random(3)
     data = [("g" if i < 120 else "h", i, rnd.random(), rnd.gauss(0, 2), 1.0) for i in range(130)]
     df = spark.createDataFrame(data, "grp string, id int, x double, y double, c double")
-    got = {r.id: r.gower_distance for r in evaluate.gower_knn_exact(df, ["grp"], ["x", "y", "c"], "id", 5, "median", block).collect()}
+    got = {r.id: r.gower_distance for r in evaluate.gower_knn_exact(df, ["grp"], ["x", "y", "c"], "id", 5, "median").collect()}
     for g in "gh":
         part = [d for d in data if d[0] == g]
         width = [max(d[j] for d in part) - min(d[j] for d in part) for j in (2, 3, 4)]
@@ -260,6 +279,75 @@ def test_a_study_in_two_strata_stays_in_one_fold(spark):
     assert len(report) == 3 and all(r.leak_free and r.overlap_studies == 0 for r in report)
 
 
+def test_small_strata_fill_all_folds(spark):
+    df = spark.createDataFrame([(f"s{i}", f"b{i}") for i in range(20) for _ in range(3)], "SS string, Stratum string")
+    sizes = folds.assign_folds(df, 5, "SS").groupBy("Fold_id").count().collect()
+    assert sorted((r.Fold_id, r["count"]) for r in sizes) == [(k, 12) for k in range(5)]
+
+
+def test_spread_around_a_large_mean(spark):
+    df = spark.range(700).select((F.col("id") % 5).cast("int").alias("Fold_id"), (1e9 + (F.col("id") % 7) * 0.001).alias("x"))
+    scaled = folds.standardise_folds(df, ["x"], 5).filter("role = 'train'")
+    assert all(r.s == pytest.approx(1, abs=1e-3) for r in scaled.groupBy("fold").agg(F.stddev_pop("x").alias("s")).collect())
+    near = df.withColumn("x", 1e8 + (F.col("Fold_id") + 1) * 0.01)
+    assert evaluate.kde_by_fold(near, "x", 5, 20).filter("density IS NULL").select("role").distinct().collect() == [("test",)]
+
+
+def test_rows_without_draws_stay(spark):
+    draws = spark.createDataFrame(
+        [(c, d, lv, g, float(lv + g), [0.5]) for c in range(2) for d in range(90) for lv, g in ((0, 0), (1, 1))],
+        "chain int, draw int, level int, group int, alpha double, beta array<double>",
+    )
+    df = spark.createDataFrame([("a", 1, 1, 2.0), ("b", 1, 9, 2.0), ("c", 0, 0, 2.0)], "SSBS string, level int, group int, x double")
+    got = {r.SSBS: r.Predicted for r in scoring.score_hierarchical(df, draws, ["SSBS"], ["x"], "gaussian").collect()}
+    assert got == pytest.approx({"a": 3.0, "b": 1.0, "c": 1.0})
+    counts = {r.SSBS: r["count"] for r in scoring.predictive_distribution(df, draws, ["SSBS"], ["x"]).groupBy("SSBS").count().collect()}
+    assert counts == {"a": 180, "b": 180, "c": 180}
+    with pytest.raises(Exception, match="no draws"):
+        scoring.score_hierarchical(df, draws, ["SSBS"], ["x"], missing="error").collect()
+    with pytest.raises(ValueError):
+        scoring.score_hierarchical(df, draws, ["SSBS"], ["x"], missing="drop")
+
+
+def test_all_references_are_searched_by_default(spark):
+    query = spark.createDataFrame([(-1, 0.0)], "id int, x double")
+    reference = spark.range(5000).select(F.col("id").cast("int"), (1.0 + F.col("id")).alias("x"))
+    got = evaluate.gower_knn(query, reference, ["x"], "id", 1).first()
+    assert got.gower_distance == pytest.approx(1 / 5000)
+    some = evaluate.gower_knn(query, reference, ["x"], "id", 1, max_ref=10).first()
+    assert some.gower_distance > got.gower_distance
+    with pytest.raises(ValueError):
+        evaluate.gower_knn(query, reference, ["x"], "id", selection="random")
+
+
+def test_empty_bins_and_sections_are_listed(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (1.0,)], "x double")
+    assert rows(evaluate.histogram(df, ["x"], 5), "bin", "n") == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 2)]
+    few = spark.createDataFrame([(1, 1.0, 1.0), (2, 2.0, 2.0)], "i int, Observed double, Predicted double")
+    out = {r.section: r.n for r in evaluate.bias_ratios(few, ["i"]).collect()}
+    assert len(out) == 13 and out["overall"] == 2 and sum(out[f"decile_{k}"] for k in range(1, 11)) == 2
+
+
+def test_spearman_of_ties_against_ranks(spark):
+    rnd = random.Random(5)
+    data = [(g, float(rnd.randint(0, 6)), float(rnd.randint(0, 4))) for g in "ab" for _ in range(80)] + [("a", None, 1.0)]
+    got = {r.g: r.spearman_corr for r in evaluate.spearman(spark.createDataFrame(data, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    for g in "ab":
+        frame = pd.DataFrame([d[1:] for d in data if d[0] == g and d[1] is not None]).rank()
+        assert got[g] == pytest.approx(frame[0].corr(frame[1]), abs=1e-12)
+    assert evaluate.spearman(spark.createDataFrame([(1.0, 1.0)], "x double, y double"), [], "x", "y").first()[0] is None
+
+
+def test_regressions_refuse_degenerate_input(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(9)], "y double, x double")
+    with pytest.raises(ValueError, match="without spread"):
+        evaluate.ols_standardised(df, "y", ["x"])
+    with pytest.raises(ValueError, match="too few"):
+        evaluate.ols_standardised(df.limit(1), "y", ["x"])
+    with pytest.raises(ValueError, match="No finite"):
+        evaluate.polyfit(df.withColumn("x", F.lit(NAN)), "x", "y")
+
+
 def test_zero_spread_scales_with_one(spark):
     train = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     test = spark.createDataFrame([(5.0, 6.0), (NAN, None)], "a double, b double")
@@ -335,6 +423,51 @@ def test_csv_without_schema_and_write_rules(spark, tmp_path):
     tables.write_table(df, str(tmp_path / "t"), overwrite=True)
 
 
+def test_csv_types_come_from_all_rows(spark, tmp_path):
+    """A value of another type far down neither is lost nor breaks the reading."""
+    for name, last in (("a", "7"), ("b", "2.5")):
+        (tmp_path / f"{name}.csv").write_text("x,y\n" + "1,k\n" * 120_000 + f"{last},NA\n")
+    paths = [str(tmp_path / f"{n}.csv") for n in "ab"]
+    df = tables.read_inventory_csv(spark, paths)
+    assert df.schema["x"].dataType.simpleString() == "double"
+    assert df.filter("x = 2.5").count() == 1 and df.filter("x IS NULL").count() == 0 and df.filter("y IS NULL").count() == 2
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        tables.read_inventory_csv(spark, paths, "x int, y string").agg(F.sum("x")).collect()
+
+
+def test_training_predictions_are_read(spark, tmp_path):
+    rows_ = spark.createDataFrame([("s", 1.0)], "SSBS string, Predicted double")
+    rows_.write.parquet(str(tmp_path / "key_output" / "train_predictions.parquet"))
+    assert rows(tables.read_predictions(spark, str(tmp_path), "training")) == [("s", 1.0, "Training")]
+
+
+def test_scratch_folder_is_shared_and_freed(spark):
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Cluster()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.scratch_root(Session())
+    stage = session.materialise(spark.range(5))
+    path = stage.inputFiles()[0]
+    assert stage.count() == 5
+    session.release(stage)
+    with pytest.raises(Exception, match="does not exist|PATH_NOT_FOUND|FAILED_READ"):
+        spark.read.parquet(path).count()
+    with pytest.raises(ValueError):
+        session.release(stage)
+
+
 # --- plans ----------------------------------------------------------------------------------
 
 
@@ -349,6 +482,14 @@ def test_plans_have_no_cartesian_product_or_python(spark, name):
         assert node not in plan
 
 
+@pytest.mark.parametrize("name", ["alpha_diversity", "site_info", "join_many_to_one", "site_points", "join_predictions_site_info"])
+def test_whole_rows_are_not_sorted_to_pick_one(spark, name):
+    import __spark_entry__ as contract
+    from tests.conftest import SF
+
+    assert "SortAggregate" not in contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_row_operators_accept_a_stream(spark, tmp_path):
     df = spark.createDataFrame([("Cropland", "Light use")], "Predominant_land_use string, Use_intensity string")
     df.write.parquet(str(tmp_path / "in"))
