@@ -16,7 +16,7 @@ from ecoframe.functions.stats import (
     safe_corr,
     student_t_quantile,
 )
-from ecoframe.operators.joins import reference_condition
+from ecoframe.operators.joins import harmonise_country, reference_condition
 from ecoframe.operators.ranking import first_per_key, quantiles, rank_bins, running_weight
 from ecoframe.operators.neighbours import nearest_distances
 from ecoframe.operators.skew import attach, blocked_join
@@ -168,14 +168,18 @@ def bias_ratio(y: Column, p: Column) -> Column:
     return F.when(F.abs(mean) > 1e-8, safe_div(F.avg(p), mean))
 
 
-def bias_ratios(pred: DataFrame, tiebreak: list[str], predicted: str = "Predicted", observed: str = "Observed") -> DataFrame:
+def bias_ratios(
+    pred: DataFrame, tiebreak: list[str], predicted: str = "Predicted", observed: str = "Observed", keys: list[str] | None = None
+) -> DataFrame:
     """Bias overall, in the outer quarters and per tenth of the observed values.
 
-    All sections are listed; one without rows has n = 0 and no bias.
+    All sections are listed; one without rows has n = 0 and no bias. With ``keys`` (for example
+    model and mode) the sections are those of each key, all in one plan.
     """
-    base = pred.select(*[col(c) for c in dict.fromkeys([*tiebreak, observed, predicted])])
-    tenths = rank_bins(base, observed, 10, tiebreak).withColumnRenamed("bin", "__tenth")
-    rows = rank_bins(tenths, observed, 4, tiebreak).withColumn(
+    keys = keys or []
+    base = pred.select(*[col(c) for c in dict.fromkeys([*keys, *tiebreak, observed, predicted])])
+    tenths = rank_bins(base, observed, 10, tiebreak, keys).withColumnRenamed("bin", "__tenth")
+    rows = rank_bins(tenths, observed, 4, tiebreak, keys).withColumn(
         "section",
         F.explode(
             F.array_compact(
@@ -189,13 +193,17 @@ def bias_ratios(pred: DataFrame, tiebreak: list[str], predicted: str = "Predicte
             )
         ),
     )
-    counted = rows.groupBy("section").agg(
+    counted = rows.groupBy(*[col(k) for k in keys], "section").agg(
         F.count(F.lit(1)).alias("n"), bias_ratio(col(observed), col(predicted)).alias("bias_ratio")
     )
     names = ["overall", "bottom_quartile", "top_quartile", *[f"decile_{i}" for i in range(1, 11)]]
-    every = pred.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in names])).alias("section"))
-    return every.join(counted, "section", "left").select(
-        "section", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "bias_ratio"
+    sections = F.explode(F.array(*[F.lit(x) for x in names])).alias("section")
+    if keys:
+        every = base.select(*[col(k) for k in keys]).distinct().select(*[col(k) for k in keys], sections)
+    else:
+        every = pred.sparkSession.range(1).select(sections)
+    return attach(every, counted, [*keys, "section"]).select(
+        *[col(k) for k in keys], "section", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "bias_ratio"
     )
 
 
@@ -248,8 +256,9 @@ def delta_predictions(
     predicted: str,
     ref_only: bool = False,
     taxon: str | None = None,
+    keys: list[str] | None = None,
 ) -> DataFrame:
-    """Differences between the sites of a study or block, each pair once.
+    """Differences between the sites of a study or block, each pair once (per taxon and key).
 
     The pair list is the result itself. Sites with more than one row (per taxon) are left out.
     ``ref_only`` compares baseline sites, always listed first, with the others. Large groups are
@@ -258,7 +267,7 @@ def delta_predictions(
     join_cols = [level, "Predominant_land_use", "Use_intensity"]
     sites = first_per_key(info.select("SSBS", *join_cols), ["SSBS"], join_cols)
     merged = pred.join(sites, "SSBS", "left")
-    unit = [level, *([taxon] if taxon else [])]
+    unit = [*(keys or []), level, *([taxon] if taxon else [])]
     per_site = merged.groupBy(*[col(u) for u in unit], "SSBS").agg(
         F.count(F.lit(1)).alias("__n"),
         F.max("Observed").alias("__o"),
@@ -320,11 +329,14 @@ def bayesian_r2(draws_pred: DataFrame, observed: str = "Observed", predicted: st
     return draws_pred.groupBy("Chain", "Draw").agg(r2_variance(y, p).alias("bayesian_r2"))
 
 
-def calibration_by_group(pred: DataFrame, group: str, observed: str = "Observed", predicted: str = "Predicted") -> DataFrame:
-    """Fit per group, largest group first."""
+def calibration_by_group(
+    pred: DataFrame, group: str, observed: str = "Observed", predicted: str = "Predicted", keys: list[str] | None = None
+) -> DataFrame:
+    """Fit per group (and key), largest group first."""
+    by = [col(c) for c in [*(keys or []), group]]
     y, p = col(observed), col(predicted)
     return (
-        pred.groupBy(col(group))
+        pred.groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("n"),
             r2_standard(y, p).alias("r2_std"),
@@ -332,28 +344,25 @@ def calibration_by_group(pred: DataFrame, group: str, observed: str = "Observed"
             F.avg(p - y).alias("mean_residual"),
             F.stddev_pop(p - y).alias("sd_residual"),
         )
-        .orderBy(F.desc("n"), col(group))
+        .orderBy(F.desc("n"), *by)
     )
 
 
-def residuals(pred: DataFrame, observed: str = "Observed", predicted: str = "Predicted") -> DataFrame:
-    return pred.withColumn("residual", col(predicted) - col(observed))
-
-
 # --- groups ---------------------------------------------------------------------------------
 
 
-def outlier_share(df: DataFrame, group: str, column: str) -> DataFrame:
+def outlier_share(df: DataFrame, group: str, column: str, keys: list[str] | None = None) -> DataFrame:
     """Share and number of rows outside the quartiles by more than 1 and 1.5 ranges."""
-    q = quantiles(df, [group], column, {"q1": 0.25, "q3": 0.75}, "nearest")
-    joined = attach(df.select(col(group), col(column)), q, [group])
+    by = [*(keys or []), group]
+    q = quantiles(df, by, column, {"q1": 0.25, "q3": 0.75}, "nearest")
+    joined = attach(df.select(*[col(c) for c in [*by, column]]), q, by)
     iqr = F.col("q3") - F.col("q1")
 
     def flag(m: float) -> Column:
         outside = (col(column) < F.col("q1") - m * iqr) | (col(column) > F.col("q3") + m * iqr)
         return F.when(outside, 1).when(~outside, 0)
 
-    return joined.groupBy(col(group)).agg(
+    return joined.groupBy(*[col(c) for c in by]).agg(
         F.avg(flag(1.5)).alias("prop_outliers_1_5"),
         F.sum(flag(1.5)).cast("long").alias("n_outliers_1_5"),
         F.avg(flag(1.0)).alias("prop_outliers_1"),
@@ -400,21 +409,32 @@ def group_summary(
 
 
 def country_stats(
-    pred: DataFrame, observed: str = "Observed", predicted: str = "Predicted", clip: tuple[float, float] | None = None
+    pred: DataFrame,
+    observed: str = "Observed",
+    predicted: str = "Predicted",
+    clip: tuple[float, float] | None = None,
+    keys: list[str] | None = None,
+    lookup: DataFrame | None = None,
 ) -> DataFrame:
-    """Studies, sites and accuracy per country, largest first."""
+    """Studies, sites and accuracy per country (and key), largest first.
+
+    With a ``lookup`` (country_std, iso_a3) names are harmonised and ISO codes added.
+    """
+    by = [*(keys or []), "Country"]
     r = safe_corr(col(observed), col(predicted))
     if clip:
         r = clamp(r, clip[0], clip[1])
-    return (
-        pred.groupBy("Country")
+    stats = (
+        pred.groupBy(*[col(c) for c in by])
         .agg(
             n_unique(F.col("SS")).cast("int").alias("Nb_of_studies"),
             n_unique(F.col("SSBS")).cast("int").alias("Nb_of_sites"),
             r.alias("Average_r"),
         )
-        .orderBy(F.desc("Nb_of_sites"), "Country")
     )
+    if lookup is not None:
+        stats = harmonise_country(stats, lookup)
+    return stats.orderBy(F.desc("Nb_of_sites"), *[col(c) for c in by])
 
 
 def country_filter_percentiles(
@@ -425,8 +445,12 @@ def country_filter_percentiles(
     return quantiles(kept, [], value, {"perc_5": 0.05, "perc_95": 0.95}, "linear")
 
 
-def intactness(pred: DataFrame, info: DataFrame, min_n: int = 5) -> DataFrame:
-    """Predictions and observations relative to the reference sites of the study."""
+def intactness(pred: DataFrame, info: DataFrame, min_n: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Predictions and observations relative to the reference sites of the study.
+
+    With ``keys`` the observed reference means are those of each key.
+    """
+    by = [*(keys or []), "SS"]
     reference = info.filter(reference_condition())
     enough = reference.groupBy("SS").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_n)
     data = pred.join(
@@ -434,8 +458,8 @@ def intactness(pred: DataFrame, info: DataFrame, min_n: int = 5) -> DataFrame:
     ).join(enough.select("SS"), "SS", "left_semi")
     if "Predicted_FE" in data.columns:
         data = data.withColumnsRenamed({"Predicted_FE": "Predicted", "Reference_pred_FE": "Reference_pred"})
-    means = data.filter(reference_condition()).groupBy("SS").agg(F.avg("Observed").alias("Observed_ref_mean"))
-    data = attach(data, means, ["SS"], null_safe=False)
+    means = data.filter(reference_condition()).groupBy(*[col(c) for c in by]).agg(F.avg("Observed").alias("Observed_ref_mean"))
+    data = attach(data, means, by, null_safe=False)
 
     def ratio(a: str, b: str, top: float) -> Column:
         x, y = F.col(a), F.col(b)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ecoframe.operators import checks as c, diversity as d, joins as j
+from ecoframe.operators import checks as c, joins as j
 from registry.base import PARTS, query
 
 
@@ -38,37 +38,75 @@ def _(v):
     return c.check_ranges(v("predictions"), rules)
 
 
+# Diversity results with planted faults: scaled values over 1, a negative value and NaN.
+PARTS["faulty_alpha"] = """
+    SELECT SSBS, CASE c_custkey % 11 WHEN 0 THEN -1e0 WHEN 1 THEN CAST('NaN' AS DOUBLE) ELSE c_custkey % 5 * 1e0 END AS Total_abundance,
+      CASE c_custkey % 13 WHEN 0 THEN 1.5e0 WHEN 1 THEN CAST('NaN' AS DOUBLE) ELSE 5e-1 END AS Scaled_Total_abundance,
+      CASE c_custkey % 17 WHEN 0 THEN -2e0 ELSE 4e0 END AS Study_max_Total_abundance FROM {site_base}"""
+
+
+def _faulty_alpha(v):
+    k, nan = F.col("c_custkey"), F.lit(float("nan"))
+    return v("site_base").select(
+        "SSBS", F.when(k % 11 == 0, -1.0).when(k % 11 == 1, nan).otherwise((k % 5).cast("double")).alias("Total_abundance"),
+        F.when(k % 13 == 0, 1.5).when(k % 13 == 1, nan).otherwise(0.5).alias("Scaled_Total_abundance"),
+        F.when(k % 17 == 0, -2.0).otherwise(4.0).alias("Study_max_Total_abundance"),
+    )
+
+
+_ALPHA_RULES = [
+    ("Total_abundance", "no_nan", "isnan({c})"), ("Scaled_Total_abundance", "no_nan", "isnan({c})"), ("Study_max_Total_abundance", "no_nan", "isnan({c})"),
+    ("Total_abundance", "non_negative", "{c} < 0"), ("Study_max_Total_abundance", "non_negative", "{c} < 0"),
+    ("Scaled_Total_abundance", "within_0_1", "{c} < 0 OR {c} > 1"),  # NaN is above all numbers in both engines
+]
+
+
 @query(
     "check_alpha",
     " UNION ALL ".join(
-        f"SELECT '{col}' AS \"column\", '{rule}' AS rule, CAST(0 AS BIGINT) AS violations"
-        for col, rule in [
-            ("Total_abundance", "no_nan"), ("Scaled_Total_abundance", "no_nan"), ("Study_max_Total_abundance", "no_nan"),
-        ]
-    )
-    + """ UNION ALL SELECT 'Total_abundance', 'non_negative', count(*) FILTER (Total_abundance < 0) FROM {alpha_Total_abundance}
-          UNION ALL SELECT 'Study_max_Total_abundance', 'non_negative', count(*) FILTER (Study_max_Total_abundance < 0) FROM {alpha_Total_abundance}
-          UNION ALL SELECT 'Scaled_Total_abundance', 'within_0_1', count(*) FILTER (Scaled_Total_abundance < 0 OR Scaled_Total_abundance > 1) FROM {alpha_Total_abundance}""",
+        f"SELECT '{c}' AS \"column\", '{rule}' AS rule, count(*) FILTER ({test.format(c=c)}) AS violations FROM {{faulty_alpha}}" for c, rule, test in _ALPHA_RULES
+    ),
 )
 def _(v):
-    return c.check_alpha(d.total_abundance(v("obs_groups"), ["SS", "SSB", "SSBS", "Custom_taxonomic_group"]), "Total_abundance")
+    return c.check_alpha(_faulty_alpha(v), "Total_abundance")
 
 
 _COLUMNS = ["SSBS", "Taxon_name_entered", "Measurement"]
 
 
-@query("check_concat", "SELECT true AS columns_match, CAST(0 AS BIGINT) AS n_duplicates, count(*) - (SELECT count(*) FROM {inventory_a}) - (SELECT count(*) FROM {inventory_b}) AS row_difference, count(DISTINCT SSBS) - (SELECT count(DISTINCT SSBS) FROM {inventory_a}) - (SELECT count(DISTINCT SSBS) FROM {inventory_b}) AS site_difference FROM {site_obs}")
+# The second release repeats some rows of the first.
+PARTS["release_b"] = "SELECT SSBS, Taxon_name_entered, Measurement FROM {inventory_b} UNION ALL SELECT SSBS, Taxon_name_entered, Measurement FROM {inventory_a} WHERE c_custkey % 9 = 0"
+PARTS["released"] = "SELECT SSBS, Taxon_name_entered, Measurement FROM {inventory_a} UNION ALL SELECT * FROM {release_b}"
+
+
+@query(
+    "check_concat",
+    """SELECT true AS columns_match, (SELECT CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) FROM (SELECT count(*) AS n FROM {released} GROUP BY SSBS, Taxon_name_entered, Measurement) g) AS n_duplicates,
+         count(*) - (SELECT count(*) FROM {inventory_a}) - (SELECT count(*) FROM {release_b}) AS row_difference,
+         count(DISTINCT SSBS) - (SELECT count(DISTINCT SSBS) FROM {inventory_a}) - (SELECT count(DISTINCT SSBS) FROM {release_b}) AS site_difference FROM {released}""",
+)
 def _(v):
-    a, b = v("inventory_a").select(*_COLUMNS, "only_in_a"), v("inventory_b").select(*_COLUMNS, "only_in_b")
+    a = v("inventory_a").select(*_COLUMNS, "only_in_a")
+    repeated = v("inventory_a").filter("c_custkey % 9 = 0").select(*_COLUMNS)
+    b = v("inventory_b").select(*_COLUMNS).unionByName(repeated).withColumn("only_in_b", F.lit("new"))
     return c.check_concat(a, b, j.concat_releases(a, b, _COLUMNS))
 
 
+PARTS["faulty_sites"] = """
+    SELECT CASE WHEN c_custkey % 7 = 0 THEN 'S0' ELSE SSBS END AS SSBS, CASE WHEN c_custkey % 10 <> 3 THEN Longitude END AS Longitude,
+      CASE WHEN c_custkey % 15 = 0 THEN CAST('NaN' AS DOUBLE) ELSE Latitude END AS Latitude FROM {site_base}"""
+
+
 @query(
     "check_site_coordinates",
-    "SELECT count(*) AS n_sites, count(*) FILTER (Longitude IS NULL OR Latitude IS NULL) AS missing_coordinates, count(*) - count(DISTINCT SSBS) AS repeated_sites, true AS crs_ok FROM {site_base}",
+    "SELECT count(*) AS n_sites, count(*) FILTER (Longitude IS NULL OR isnan(Latitude)) AS missing_coordinates, count(*) - count(DISTINCT SSBS) AS repeated_sites, true AS crs_ok FROM {faulty_sites}",
 )
 def _(v):
-    return c.check_site_coordinates(v("site_base"))
+    k = F.col("c_custkey")
+    return c.check_site_coordinates(v("site_base").select(
+        F.when(k % 7 == 0, "S0").otherwise(F.col("SSBS")).alias("SSBS"), F.when(k % 10 != 3, F.col("Longitude")).alias("Longitude"),
+        F.when(k % 15 == 0, float("nan")).otherwise(F.col("Latitude")).alias("Latitude"),
+    ))
 
 
 PARTS["fold_rows"] = "SELECT SSBS, split_part(SSBS, '_', 1) AS SS, fold, CAST(l_partkey % 7 AS VARCHAR) AS taxon FROM {predictions}"
@@ -109,7 +147,7 @@ def _(v):
     return validate_folds(df, ["SSBS"], ["taxon"], 5)
 
 
-@query("check_beta_scores", "SELECT CAST(0 AS BIGINT) AS n_nan, count(*) FILTER (Bray_Curtis_score IS NULL) AS n_null FROM {bray}")
+@query("check_beta_scores", "SELECT count(*) FILTER (l_orderkey % 6 = 0 AND l_partkey % 4 <> 0) AS n_nan, count(*) FILTER (l_partkey % 4 = 0) AS n_null FROM {predictions}")
 def _(v):
-    obs = v("site_obs")
-    return c.check_beta_scores(d.bray_curtis(j.site_pairs_with_reference(obs), obs))
+    score = F.when(F.col("l_partkey") % 4 == 0, None).when(F.col("l_orderkey") % 6 == 0, float("nan")).otherwise(F.col("Observed"))
+    return c.check_beta_scores(v("predictions").select(score.alias("Bray_Curtis_score")))

@@ -468,3 +468,103 @@ _REF = "Predominant_land_use = 'Primary vegetation' AND Use_intensity = 'Minimal
 def _(v):
     out = e.intactness(v("pred_site"), v("site_base"), 5)
     return out.select("SSBS", "SS", "Predicted_scaled", "Observed_scaled", "Predicted_scaled_capped")
+
+
+# --- several runs in one plan ---------------------------------------------------------------
+
+_RUN = ["model", "mode"]
+_RUNS = "model, mode"
+PARTS["run_sites"] = """
+    SELECT model, mode, SSBS, avg(Observed) AS Observed, avg(Predicted_FE) AS Predicted, avg(Reference_pred_FE) AS Reference_pred
+    FROM {predictions} GROUP BY model, mode, SSBS"""
+PARTS["run_sited"] = "SELECT r.*, b.SS, b.SSB, b.Biome, b.Country, b.Predominant_land_use, b.Use_intensity FROM {run_sites} r JOIN {site_base} b ON r.SSBS = b.SSBS"
+
+
+def _run_sites(v):
+    means = [F.avg("Observed").alias("Observed"), F.avg("Predicted_FE").alias("Predicted"), F.avg("Reference_pred_FE").alias("Reference_pred")]
+    return v("predictions").groupBy(*_RUN, "SSBS").agg(*means)
+
+
+def _run_sited(v):
+    site = v("site_base").select("SSBS", "SS", "SSB", "Biome", "Country", "Predominant_land_use", "Use_intensity")
+    return _run_sites(v).join(site, "SSBS")
+
+
+_RUN_TENTH = f"CAST(ceil(10 * row_number() OVER (PARTITION BY {_RUNS} ORDER BY Observed, {_BY}) / count(*) OVER (PARTITION BY {_RUNS})) AS INT)"
+_RUN_QUARTER = f"ceil(4 * row_number() OVER (PARTITION BY {_RUNS} ORDER BY Observed, {_BY}) / count(*) OVER (PARTITION BY {_RUNS})) - 1"
+_SECTIONS = ", ".join(f"'{x}'" for x in ["overall", "bottom_quartile", "top_quartile", *[f"decile_{i}" for i in range(1, 11)]])
+
+
+@query(
+    "bias_ratios_runs",
+    f"""SELECT k.model, k.mode, k.section, coalesce(n, 0) AS n, bias_ratio FROM (SELECT * FROM (SELECT DISTINCT {_RUNS} FROM {{predictions}}) r CROSS JOIN (SELECT unnest([{_SECTIONS}]) AS section) x) k LEFT JOIN (
+        SELECT {_RUNS}, section, count(*) AS n, {_BIAS} FROM (
+          SELECT {_RUNS}, 'overall' AS section, Observed, Predicted_FE FROM {{predictions}}
+          UNION ALL SELECT {_RUNS}, CASE q WHEN 0 THEN 'bottom_quartile' ELSE 'top_quartile' END, Observed, Predicted_FE FROM (SELECT *, {_RUN_QUARTER} AS q FROM {{predictions}}) a WHERE q IN (0, 3)
+          UNION ALL SELECT {_RUNS}, 'decile_' || {_RUN_TENTH}, Observed, Predicted_FE FROM {{predictions}}) u GROUP BY {_RUNS}, section) c
+        ON k.model = c.model AND k.mode = c.mode AND k.section = c.section""",
+    "bias_ratio",
+)
+def _(v):
+    return e.bias_ratios(v("predictions"), _TIES, "Predicted_FE", keys=_RUN)
+
+
+@query(
+    "calibration_by_group_runs",
+    f"SELECT {_RUNS}, Biome, count(*) AS n, CASE WHEN var_pop(Observed) > 0 THEN 1 - avg((Observed - Predicted) * (Observed - Predicted)) / var_pop(Observed) END AS r2_std, var_pop(Predicted) / (var_pop(Predicted) + var_pop(Observed - Predicted)) AS r2_var, avg(Predicted - Observed) AS mean_residual, stddev_pop(Predicted - Observed) AS sd_residual FROM {{run_sited}} GROUP BY {_RUNS}, Biome",
+    "r2_std r2_var mean_residual sd_residual",
+)
+def _(v):
+    return e.calibration_by_group(_run_sited(v), "Biome", keys=_RUN)
+
+
+@query("outlier_share_runs", outlier_sql("{run_sited}", f"{_RUNS}, SS", "Observed"), "prop_outliers_1_5 prop_outliers_1")
+def _(v):
+    return e.outlier_share(_run_sited(v), "SS", "Observed", keys=_RUN)
+
+
+@query(
+    "country_stats_runs",
+    f"""SELECT c.*, CASE WHEN l.iso_a3 <> '-99' THEN l.iso_a3 END AS iso_a3, l.country_std FROM (
+          SELECT {_RUNS}, Country, CAST(count(DISTINCT SS) AS INT) AS Nb_of_studies, CAST(count(DISTINCT SSBS) AS INT) AS Nb_of_sites, CASE WHEN true THEN greatest(least({_CORR.format('Observed', 'Predicted')}, 1e0), 0e0) END AS Average_r
+          FROM {{run_sited}} GROUP BY {_RUNS}, Country) c LEFT JOIN {{country_lookup}} l ON c.Country = l.country_std""",
+    "Average_r",
+)
+def _(v):
+    return e.country_stats(_run_sited(v), clip=(0.0, 1.0), keys=_RUN, lookup=v("country_lookup"))
+
+
+@query(
+    "intactness_runs",
+    f"""SELECT p.model, p.mode, p.SSBS, CASE WHEN Predicted = 0 OR Reference_pred = 0 THEN 0 ELSE least(Predicted / Reference_pred, 3) END AS Predicted_scaled,
+          CASE WHEN Observed = 0 OR m = 0 THEN 0 ELSE least(Observed / m, 3) END AS Observed_scaled
+        FROM {{run_sited}} p JOIN (SELECT SS FROM {{site_base}} WHERE {_REF} GROUP BY SS HAVING count(*) >= 5) k ON p.SS = k.SS
+        LEFT JOIN (SELECT {_RUNS}, SS, avg(Observed) AS m FROM {{run_sited}} WHERE {_REF} GROUP BY {_RUNS}, SS) r ON p.model = r.model AND p.mode = r.mode AND p.SS = r.SS""",
+    "Predicted_scaled Observed_scaled",
+)
+def _(v):
+    return e.intactness(_run_sites(v), v("site_base"), 5, keys=_RUN).select(*_RUN, "SSBS", "Predicted_scaled", "Observed_scaled")
+
+
+@query(
+    "delta_predictions_runs",
+    f"SELECT a.model, a.mode, a.SSB, {_PAIR} FROM {{run_sited}} a JOIN {{run_sited}} b ON a.model = b.model AND a.mode = b.mode AND a.SSB = b.SSB AND a.SSBS < b.SSBS",
+    "Observed Predicted residual",
+)
+def _(v):
+    return e.delta_predictions(_run_sites(v), v("site_base"), "SSB", "Predicted", keys=_RUN)
+
+
+PARTS["taxon_sites"] = "SELECT SSBS, 'T' || l_partkey % 3 AS taxon, avg(Observed) AS Observed, avg(Predicted_FE) AS Predicted FROM {predictions} GROUP BY SSBS, l_partkey % 3"
+PARTS["taxon_sited"] = "SELECT t.*, b.SSB, b.Predominant_land_use, b.Use_intensity FROM {taxon_sites} t JOIN {site_base} b ON t.SSBS = b.SSBS"
+
+
+@query(
+    "delta_predictions_taxon",
+    f"SELECT a.SSB, a.taxon, {_PAIR} FROM {{taxon_sited}} a JOIN {{taxon_sited}} b ON a.taxon = b.taxon AND a.SSB = b.SSB AND a.SSBS < b.SSBS",
+    "Observed Predicted residual",
+)
+def _(v):
+    taxon = F.concat(F.lit("T"), F.col("l_partkey") % 3).alias("taxon")
+    rows = v("predictions").groupBy("SSBS", taxon).agg(F.avg("Observed").alias("Observed"), F.avg("Predicted_FE").alias("Predicted"))
+    return e.delta_predictions(rows, v("site_base"), "SSB", "Predicted", taxon="taxon")
