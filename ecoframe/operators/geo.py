@@ -221,9 +221,14 @@ def buffer_polygon(x: Column, y: Column, radius_m: Column, shape: str) -> Column
 
 
 def buffer_sites(df: DataFrame, radii_km: list[int] | None = None, shape: str = "round") -> DataFrame:
-    """Site polygons per radius, in local UTM metres and in degrees."""
+    """Site polygons per radius, in local UTM metres and in degrees.
+
+    A table of sites is small in bytes and may come in one partition, but every row costs a few
+    hundred series terms: rows are dealt to all cores first.
+    """
     radii = radii_km or config.BUFFER_RADII_KM
     base = df if "easting" in df.columns else project_utm(df)
+    base = base.repartition(df.sparkSession.sparkContext.defaultParallelism)
     per_radius = base.withColumn("radius_km", F.explode(F.array(*[F.lit(r) for r in radii])))
     ring = buffer_polygon(F.col("easting"), F.col("northing"), F.col("radius_km") * 1000.0, shape)
     return per_radius.withColumn("polygon", ring).withColumn(
