@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 SLICE_BYTES = 3 << 20
+BATCH_ROWS = 1_000  # of an Arrow batch; texts are a few kB
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold few rows, as buffers are held on both sides of every
+    Python worker and a row of text is large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +52,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def append_columns(

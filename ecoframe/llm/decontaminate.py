@@ -33,7 +33,7 @@ BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
 LENGTH_STEP = 1.06  # lengths of one window length differ by at most this factor, both ways
 ITEMS_PER_PASS = 5_000  # an item takes about 11 kB of index in each task
-BLOCK_PLACES = 16_384
+BLOCK_PLACES = 8_192
 CACHED_WORDS = 100_000
 TOKEN = re.compile(r"\w+")
 
@@ -105,7 +105,7 @@ class BlockIndex:
             item = np.repeat(np.arange(len(prints)), len(flips))
             order = np.argsort(listed, kind="stable")
             self.items.append(item[order])
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(listed, minlength=size))]))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(listed, minlength=size))]).astype(np.int32))
         self.listed = [np.diff(s) > 0 for s in self.starts]
 
     def near(self, prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecoframe.llm import binary_records, bpe, decontaminate, html_extract, language_id, line_dedup, onebit_search, simhash, toxicity, url_reputation
-from ecoframe.llm.common import held_out, table
+from ecoframe.llm.common import held_out, small_batches, table
 from ecoframe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,8 +20,13 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
