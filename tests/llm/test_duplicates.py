@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ecoframe.llm import decontaminate, line_dedup, perfect_hash, simhash
+from ecoframe.llm import decontaminate, line_dedup, near_copies, perfect_hash, simhash
 from ecoframe.llm.graph import components
 from ecoframe.llm.queries import ORACLES, QUERIES
 from tests import oracle
@@ -121,6 +121,64 @@ def test_simhash_of_edge_rows(spark, edges):
     assert simhash.near_duplicates(edges.limit(0)).count() == 0
 
 
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    size = min(5, len(words))
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+
+
+def plain_similar(texts, least=0.8):
+    sets = [plain_shingles(t) for t in texts]
+    parent = list(range(len(sets)))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both and both >= least * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return [root(a) for a in range(len(sets))]
+
+
+def test_similar_texts_against_brute_force(spark):
+    """One or two words changed, chains whose ends are unlike, texts at 0.6 to 0.8, short texts."""
+    rng = np.random.default_rng(3)
+    texts = [None, "", " ", "one two", "One  TWO", "one two three"]
+    for n in (25, 40, 60, 100, 240, 850):
+        base = [f"w{k}" for k in rng.integers(0, 5000, n)]
+        texts.append(" ".join(base))
+        for changes in (1, 1, 1, 2, 2, 3, n // 25, n // 20):
+            words = list(base)
+            for at in rng.integers(5, n - 5, changes):
+                words[at] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(words))
+        chain = list(base)
+        for at in range(5, min(n, 100), 12):
+            chain[at] = f"step{at}"
+            texts.append(" ".join(chain))
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, words=5, min_similarity=0.8).collect()}
+    assert found == dict(enumerate(plain_similar(texts)))
+    assert simhash.near_duplicates(frame.limit(0), words=5, min_similarity=0.8).count() == 0
+
+
+def test_recall_of_bands():
+    rng = np.random.default_rng(4)
+    shared = 0
+    for _ in range(2000):
+        pool = rng.integers(0, 1 << 63, 100, dtype=np.uint64) * np.uint64(2)
+        a, b = near_copies.band_keys(pool[:90]), near_copies.band_keys(pool[10:])
+        shared += bool((a == b).any())
+    assert shared >= 1999  # similarity 0.8
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).selectExpr("(id * 37) % 61 AS a", "((id + 1) * 37) % 61 AS b")
     found = components(edges).collect()

@@ -52,3 +52,12 @@ def test_stages_call_the_operators():
     for (_, stage), module in zip(corpus_pipeline.STAGES, (language_id, line_dedup, simhash, decontaminate, bpe)):
         assert module.__name__.rpartition(".")[2] + "." in inspect.getsource(stage)
     assert BYTE_BPE.endswith("byte_bpe_50k.json")
+
+
+def test_edited_copies_leave(spark):
+    """Texts with a few words changed: five-word similarity 0.8 or more, fingerprints mostly beyond two bits."""
+    base = [" ".join(f"w{d}x{k}" for k in range(240)) for d in range(12)]
+    edited = [b.replace(f"w{d}x100 ", "new ").replace(f"w{d}x150 ", "new ") for d, b in enumerate(base)]
+    docs = spark.createDataFrame(list(enumerate(base + edited)), "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()
+    assert {r.doc_id for r in kept} == set(range(12))
