@@ -1,13 +1,11 @@
-"""Benchmark passages in documents, found by SimHash over item-sized windows.
+"""Benchmark passages in documents, found by the shingles that they must share.
 
-Every window of a document that is as long as a benchmark item gets a 64-bit SimHash of its word
-shingles, from running sums of bits. Four blocks of 16 bits index the items' fingerprints: two
-fingerprints within the radius of 12 differ by at most three bits in the first block or at most
-two in another (or they would differ by 4 + 3 + 3 + 3), and each block lists its items under every
-value within that reach, so no item within the radius is missed.
+A similarity of 0.8 takes eight ninths of an item's shingles in a window of its length (four fifths
+in a shorter document), so every window that could match holds that many places whose shingle is
+one of the item's. An index of all shingles of the items gives these places; windows without enough
+of them are left out, and none that matches is.
 Candidates are then verified on the texts by weighted shingle similarity: the sum of smaller over
-the sum of larger shingle counts. Item lengths within a few percent share one window length;
-verification tries all places of the item's own length in such a window.
+the sum of larger shingle counts.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from ecoframe.llm.common import append_columns, fields
+from ecoframe.llm.common import append_columns, fields, gather
 from ecoframe.llm.toxicity import word_hash
 
 WORDS = 5
@@ -31,9 +29,7 @@ SIMILARITY = 0.8
 RADIUS = 12
 BLOCKS = 4
 BLOCK_BITS = 64 // BLOCKS
-LENGTH_STEP = 1.06  # lengths of one window length differ by at most this factor, both ways
-ITEMS_PER_PASS = 5_000  # an item takes about 11 kB of index in each task
-BLOCK_PLACES = 8_192
+ITEMS_PER_PASS = 5_000  # the index holds each shingle of an item in each task
 CACHED_WORDS = 100_000
 TOKEN = re.compile(r"\w+")
 
@@ -60,31 +56,11 @@ def shingle_hashes(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return (mixed * np.uint64(0xBF58476D1CE4E5B9)) ^ (mixed >> np.uint64(32))
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-
-
-def simhash(hashes: np.ndarray) -> int:
-    """Bits set in more than half of the shingles."""
-    return int(np.packbits(2 * _bits(hashes).sum(axis=0, dtype=np.int64) > len(hashes)).view(np.uint64)[0])
-
-
 def weighted_similarity(a: Counter, b: Counter) -> float:
     both = sum(min(n, b[s]) for s, n in a.items() if s in b)
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
-def window_lengths(lengths: list[int]) -> dict[int, int]:
-    """The window length of each item length."""
-    found: dict[int, int] = {}
-    window = 0
-    for n in sorted(set(lengths)):
-        if n > window * LENGTH_STEP:
-            window = int(n * LENGTH_STEP)
-        found[n] = window
-    return found
-
-
 class BlockIndex:
     """Items by window length and the values of their blocks.
 
@@ -135,8 +111,10 @@ class Items:
     ids: list[int]
     lengths: list[int]  # in shingles
     counts: list[Counter]
-    windows: list[int]
-    index: BlockIndex
+    keys: np.ndarray  # distinct shingles of all items, sorted
+    first: np.ndarray  # where the items of each key start in ``holders``, and where the last end
+    holders: np.ndarray
+    listed: np.ndarray  # whether a key has these lowest bits
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -147,61 +125,54 @@ class Items:
                 ids.append(number)
                 shingles.append(shingle_hashes(words))
         lengths = [len(s) for s in shingles]
-        window = window_lengths(lengths)
-        windows = sorted(set(window.values()))
-        group = np.array([windows.index(window[n]) for n in lengths], dtype=np.int64)
-        prints = np.array([simhash(s) for s in shingles], dtype=np.uint64)
-        return cls(ids, lengths, [Counter(s.tolist()) for s in shingles], windows, BlockIndex(prints, group))
-
-
-def candidates(shingles: np.ndarray, doc_of: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """(place, window length, item) of windows within the radius of an item, over many documents."""
+        of = np.repeat(np.arange(len(ids)), lengths)
+        flat = np.concatenate(shingles) if shingles else np.zeros(0, dtype=np.uint64)
+        order = np.lexsort((of, flat))
+        flat, of = flat[order], of[order]
+        fresh = np.ones(len(flat), dtype=bool)
+        fresh[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+        flat, of = flat[fresh], of[fresh]
+        keys, first = np.unique(flat, return_index=True)
+        listed = np.zeros(1 << 22, dtype=bool)
+        listed[keys & np.uint64(len(listed) - 1)] = True
+        return cls(ids, lengths, [Counter(s.tolist()) for s in shingles], keys, np.append(first, len(flat)), of, listed)
+
+
+def candidates(shingles: np.ndarray, starts: np.ndarray, counts: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """(place, length, item) of all windows that hold enough of an item's shingles, over many
+    documents; ``length`` is the item's own, or the document's if that is shorter."""
+    maybe = np.flatnonzero(items.listed.take(shingles & np.uint64(len(items.listed) - 1)))
+    at = np.minimum(np.searchsorted(items.keys, shingles[maybe]), len(items.keys) - 1)
+    known = items.keys[at] == shingles[maybe]
+    place, at = maybe[known], at[known]
+    n = items.first[at + 1] - items.first[at]
+    item = gather(items.holders, items.first[at], n)
+    place = place.repeat(n)
+    doc = np.searchsorted(starts, place, side="right") - 1
+    pair, inverse, hits = np.unique(doc * len(items.ids) + item, return_inverse=True, return_counts=True)
+    own = np.array(items.lengths)[pair % len(items.ids)]
+    length = np.minimum(own, counts[pair // len(items.ids)])
+    # A similarity s of n and m shingles takes s (n + m) / (1 + s) common ones.
+    needed = np.ceil(SIMILARITY * (own + length) / (1 + SIMILARITY) - 1e-9).astype(np.int64)
+    place = place[np.argsort(inverse, kind="stable")]
+    ends = np.cumsum(hits)
     found: list[tuple[int, int, int]] = []
-    longest, windows = max(items.windows), np.array(items.windows)
-    step = max(BLOCK_PLACES, 4 * longest)
-    small = np.uint8 if longest <= 255 else np.uint32
-    # Windows that reach over the end lie in no document.
-    docs = np.concatenate([doc_of, np.full(longest, -1)])
-    sums = np.zeros((step + longest + 1, 64), dtype=small)
-    ones, set_bits = np.empty((step, 64), dtype=small), np.empty((step, 64), dtype=bool)
-    prints = np.empty((len(windows), step), dtype=np.uint64)
-    group = np.repeat(np.arange(len(windows)), step)
-    for begin in range(0, len(shingles), step):
-        part = shingles[begin : begin + step + longest]
-        np.cumsum(_bits(part), axis=0, dtype=small, out=sums[1 : len(part) + 1])
-        sums[len(part) + 1 :] = sums[len(part)]
-        for row, window in zip(prints, items.windows):
-            np.subtract(sums[window : window + step], sums[:step], out=ones)
-            np.greater(ones, window // 2, out=set_bits)
-            row[:] = np.packbits(set_bits.reshape(-1)).view(np.uint64)
-        at, item = items.index.near(prints.ravel(), group)
-        window, place = windows[at // step], at % step + begin
-        inside = (place < len(shingles)) & (docs.take(place, mode="clip") == docs.take(place + window - 1, mode="clip"))
-        found.extend(zip(place[inside].tolist(), window[inside].tolist(), item[inside].tolist()))
-    return found
-
-
-def short_documents(shingles: np.ndarray, starts: np.ndarray, counts: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """The same for documents that are shorter than a window, taken whole."""
-    found = []
-    for group, window in enumerate(items.windows):
-        for doc in np.flatnonzero((counts > 0) & (counts < window) & (counts >= SIMILARITY * window / LENGTH_STEP)).tolist():
-            part = shingles[starts[doc] : starts[doc] + counts[doc]]
-            _, item = items.index.near(np.array([simhash(part)], dtype=np.uint64), np.array([group]))
-            found.extend((int(starts[doc]), int(counts[doc]), k) for k in item.tolist())
+    for k in np.flatnonzero(hits >= needed).tolist():
+        d, number = divmod(int(pair[k]), len(items.ids))
+        size, need, last = int(length[k]), int(needed[k]), int(starts[d] + counts[d] - length[k])
+        places = place[ends[k] - hits[k] : ends[k]]
+        low = np.maximum(places[need - 1 :] - size + 1, starts[d])
+        high = np.minimum(places[: len(places) - need + 1], last)
+        windows = {w for a, b in zip(low.tolist(), high.tolist()) for w in range(a, b + 1)}
+        found.extend((w, size, number) for w in sorted(windows))
     return found
 
 
 def verify(shingles: np.ndarray, first: int, end: int, found: list[tuple[int, int, int]], items: Items) -> list[dict]:
     """Matches of one document, each item at its best places that do not overlap."""
     tried: dict[tuple[int, int], float] = {}
-    for place, window, item in found:
-        own = items.lengths[item]
-        low = max(first, min(place, place + window - own))
-        high = max(low, min(max(place, place + window - own), end - own))
-        for at in range(low, high + 1):
-            if (item, at) not in tried:
-                tried[item, at] = weighted_similarity(items.counts[item], Counter(shingles[at : min(at + own, end)].tolist()))
+    for place, length, item in found:
+        tried[item, place] = weighted_similarity(items.counts[item], Counter(shingles[place : place + length].tolist()))
     matches: list[dict] = []
     taken: dict[int, list[int]] = defaultdict(list)
     for (item, at), similarity in sorted(tried.items(), key=lambda x: (-x[1], x[0])):
@@ -255,7 +226,7 @@ def _one_pass(df: DataFrame, rows: list[tuple[int, str]], text: str, out: str) -
             by_doc = defaultdict(list)
             if items.ids and len(flat):
                 doc_of = np.repeat(np.arange(len(counts)), counts)
-                for hit in candidates(flat, doc_of, items) + short_documents(flat, starts, counts, items):
+                for hit in candidates(flat, starts, counts, items):
                     by_doc[int(doc_of[hit[0]])].append(hit)
             matches = [
                 verify(flat, int(starts[d]), int(starts[d] + counts[d]), by_doc[d], items) if d in by_doc else [] for d in range(len(texts))

@@ -230,6 +230,25 @@ def test_passages_against_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+def test_recall_of_edited_passages():
+    """Items with one inner word changed, similarity 0.8 to 0.85, inside a longer text."""
+    rng = np.random.default_rng(11)
+    items = [(k, " ".join(f"i{k}w{w}" for w in range(n))) for k, n in enumerate(rng.integers(49, 63, 400).tolist())]
+    index = decontaminate.Items.of(items)
+    missed = 0
+    for k, text in items:
+        words = text.split()
+        words[int(rng.integers(4, len(words) - 4))] = "changed"
+        words = [f"a{x}" for x in rng.integers(0, 999, 40)] + words + [f"b{x}" for x in rng.integers(0, 999, 40)]
+        hashes = np.array([decontaminate.word_hash(w) for w in words], dtype=np.uint64)
+        shingles = decontaminate.shingle_hashes(hashes)
+        found = decontaminate.candidates(shingles, np.array([0]), np.array([len(shingles)]), index)
+        matches = decontaminate.verify(shingles, 0, len(shingles), found, index)
+        want = {i for _, i in passages([(0, " ".join(words))], [items[k]])}
+        missed += {m["item_id"] for m in matches} != want or not want
+    assert missed == 0
+
+
 def test_passages_of_edge_rows(spark, edges):
     item = spark.createDataFrame([(1, "the cat sat on the mat again"), (2, "a b")], "item_id long, text string")
     rows = decontaminate.find_passages(edges, item).collect()
