@@ -18,7 +18,13 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea noscript template iframe object svg math select".split())
+RAW = frozenset("script style textarea iframe".split())
+# Formulas are part of the sentence that they stand in.
+MATH = frozenset(
+    "math maction annotation merror mfenced menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+# Elements that may stand inside a sentence, with blocks of their own.
+ISLAND = frozenset("noscript template object svg select".split())
 # A start tag closes an open element of these kinds, up to the nearest other container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -33,7 +39,9 @@ class Leaf:
 def leaves(page: str) -> list[Leaf]:
     """Blocks with text, in page order; character references decoded, white space single.
 
-    Scripts, styles and comments hold no text. Missing and stray end tags are tolerated.
+    Scripts, styles, text areas, frames and comments hold no text. Missing and stray end tags are
+    tolerated. Blocks inside an object, svg, select, template or noscript come before the block
+    that it interrupts.
     """
     found: list[Leaf] = []
     tags: list[str] = []
@@ -41,6 +49,7 @@ def leaves(page: str) -> list[Leaf]:
     path: tuple[str, ...] = ()
     pieces: list[str] = []
     linked, in_link = 0, False
+    held: list[tuple[int, tuple[str, ...], list[str], int, bool]] = []  # blocks interrupted by open islands
 
     def close_block() -> None:
         nonlocal pieces, linked
@@ -51,7 +60,11 @@ def leaves(page: str) -> list[Leaf]:
         pieces, linked = [], 0
 
     def pop_to(depth: int) -> None:
-        nonlocal path
+        nonlocal path, pieces, linked, in_link
+        while held and held[-1][0] >= depth:
+            own, path, pieces, linked, in_link = held.pop()
+            if own > depth:
+                close_block()
         del tags[depth:], labels[depth:]
         path = tuple(x for label in labels for x in label)
 
@@ -72,10 +85,10 @@ def leaves(page: str) -> list[Leaf]:
         if match["end"]:
             if tag == "a":
                 in_link = False
-            elif tag not in INLINE and tag in tags:
+            elif tag not in INLINE and tag not in MATH and tag in tags:
                 close_block()
-                pop_to(len(tags) - 1 - tags[::-1].index(tag))
                 in_link = False
+                pop_to(len(tags) - 1 - tags[::-1].index(tag))
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -87,11 +100,17 @@ def leaves(page: str) -> list[Leaf]:
             elif tag == "br":
                 pieces.append(" ")
             continue
-        close_block()
-        in_link = False
+        if tag in MATH or (tag == "svg" or "svg" in tags) and match["attrs"].rstrip().endswith("/"):
+            continue
+        if tag in ISLAND:
+            held.append((len(tags), path, pieces, linked, in_link))
+            pieces, linked = [], 0
+        else:
+            close_block()
+            in_link = False
         if tag in VOID:
             continue
-        if "p" in tags[-1:]:
+        if "p" in tags[-1:] and tag not in ISLAND:
             pop_to(len(tags) - 1)
         while tags and tags[-1] in CLOSES.get(tag, ()):
             pop_to(len(tags) - 1)
@@ -101,4 +120,6 @@ def leaves(page: str) -> list[Leaf]:
         labels.append(label)
         path = path + label
     close_block()
+    pop_to(0)
+    close_block()
     return found

@@ -147,6 +147,23 @@ def test_blocks_of_a_page():
     assert [b.text for b in html_blocks.leaves("a < b <p>c</q>d <div")] == ["a < b", "cd"]
 
 
+def test_blocks_around_islands():
+    def texts(page):
+        return [b.text for b in html_blocks.leaves(page)]
+
+    assert texts("<p>a <svg class=icon/> b</p><p>c</p>") == ["a b", "c"]
+    assert texts('<p>a</p><svg class=icon/><p>b</p><svg><path d="M"/><text>t</text></svg><p>c</p>') == ["a", "b", "t", "c"]
+    assert texts("<p>a <svg><g><path d=M></svg> b</p>") == ["a b"]
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["where x=1 holds"]
+    assert texts("<article><object data=x><p>fallback</p></object><p>more</p></article>") == ["fallback", "more"]
+    assert texts("<p>a <select><option>1<option>2</select> b") == ["1", "2", "a b"]
+    for tag in ("svg", "math", "object", "template", "noscript", "select"):
+        assert texts(f"<div><p>a <{tag}>b</p></div><p>c</p>")[-1] == "c"
+        assert " ".join(sorted(" ".join(texts(f"<p>a <{tag}>b")).split())) == "a b"
+    assert [b.path[-1] for b in html_blocks.leaves("<p>a <noscript>b</noscript> c</p>")] == ["t:noscript", "t:p"]
+    assert texts("<p>a<textarea><p>no</p></textarea>b<iframe>no</iframe>c<style>no</style>") == ["abc"]
+
+
 def test_gradients_of_the_labeller():
     rng = np.random.default_rng(2)
     size = html_extract.PATH_SIZE + html_extract.WORD_SIZE + html_extract.MEASURES
