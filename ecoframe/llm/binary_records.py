@@ -19,24 +19,26 @@ from __future__ import annotations
 
 import functools
 import math
-import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType
 
-from ecoframe.llm.chunks import ChunkEncoder
+from ecoframe.llm.bpe import PATTERN
+from ecoframe.llm.chunks import ChunkEncoder, PieceCache, library_encoder
 from ecoframe.llm.common import fields, slices
 from ecoframe.session import materialise
 
 FILE_BYTES = 24 << 20  # text per data file
 MAX_BROADCAST = 200_000  # files
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS, CACHED_PIECES = 300_000, 200_000
+SPLIT = regex.compile(PATTERN)
 MASK_DELTA = 0xA282EAD8
 NULL_KEY, WIDE = 1, 2
 FRAME = struct.Struct("<QI")
@@ -84,24 +86,7 @@ def frames(content: bytes) -> Iterator[tuple[int | None, np.ndarray, int, int]]:
 @functools.lru_cache(maxsize=1)
 def worker_encoder(vocabulary: str) -> ChunkEncoder:
     """The tokenizer library behind a chunk cache; one per Python worker."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = tokenizer.encode(strings, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, dtype=np.int64)
-        owner = np.array([-1 if w is None else w for w in found.word_ids], dtype=np.int64)
-        if (owner < 0).any():  # a special token is no one's word: encode one by one
-            lists = [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            counts = np.array([len(x) for x in lists], dtype=np.int64)
-            return np.array([i for x in lists for i in x], dtype=np.int64), counts
-        return ids, np.bincount(owner, minlength=len(strings))
-
-    return ChunkEncoder(encode, CACHED_CHUNKS)
+    return ChunkEncoder(PieceCache(library_encoder(vocabulary), SPLIT, CACHED_PIECES), CACHED_CHUNKS)
 
 
 def write_records(

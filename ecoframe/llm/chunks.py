@@ -8,9 +8,11 @@ generation. Other texts (runs of white space, a space beside a line end) are enc
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
+import regex
 
 from ecoframe.llm.common import gather
 
@@ -101,6 +103,10 @@ class ChunkEncoder:
                         del codes[begin:]
                         codes.append(self.first[text])
             ends.append(len(codes))
+        return self._collect(codes, ends)
+
+    def _collect(self, codes: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of coded chunks; ``ends`` closes the chunks of each text."""
         self._encode_new()
         chosen = np.array(codes, dtype=np.int64)
         self.hits += np.bincount(chosen, minlength=self.done)
@@ -109,3 +115,97 @@ class ChunkEncoder:
         totals = np.concatenate([[0], np.cumsum(lengths)])
         per_text = np.diff(totals[np.concatenate([[0], np.array(ends, dtype=np.int64)])])
         return gather(self.flat, begins[chosen], lengths), per_text
+
+
+class PieceCache:
+    """An encoder of strings through a bounded cache of the pieces its split pattern makes.
+
+    No token crosses a piece, so a ``PLAIN`` string is the concatenation of its pieces, of which there
+    are fewer than strings. Any other string is encoded whole.
+    """
+
+    def __init__(self, encode: Encoder, split: regex.Pattern, limit: int, lower: bool = False):
+        self.encode, self.split, self.limit, self.lower = encode, split, limit, lower
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.flat = np.zeros(0, dtype=np.int64)
+        self.counts = np.zeros(0, dtype=np.int64)
+
+    def __call__(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.codes) > self.limit:
+            self._clear()
+        known, new = self.codes, []
+        cuts, whole = self.split.findall, PLAIN.fullmatch
+        codes, ends = [], []
+        for string in strings:
+            pieces = cuts(string.lower() if self.lower else string) if whole(string) else [string]
+            for piece in pieces:
+                code = known.get(piece)
+                if code is None:
+                    code = known[piece] = len(known)
+                    new.append(piece)
+                codes.append(code)
+            ends.append(len(codes))
+        if new:
+            ids, counts = self.encode(new)
+            self.flat = np.concatenate([self.flat, ids])
+            self.counts = np.concatenate([self.counts, counts])
+        chosen = np.array(codes, dtype=np.int64)
+        begins = np.cumsum(self.counts) - self.counts
+        lengths = self.counts[chosen]
+        totals = np.concatenate([[0], np.cumsum(lengths)])
+        return gather(self.flat, begins[chosen], lengths), np.diff(totals[np.concatenate([[0], np.array(ends, dtype=np.int64)])])
+
+
+class WordEncoder(ChunkEncoder):
+    """Texts to ids for vocabularies that drop white space: blanks and line feeds only part words."""
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.done > self.limit:
+            self._shrink()
+        codes: list[int] = []
+        ends: list[int] = []
+        word = self.first.__getitem__
+        for text in texts:
+            codes.extend(map(word, text.replace("\n", " ").split(" ")))
+            ends.append(len(codes))
+        return self._collect(codes, ends)
+
+
+# The alphabet that a byte-level vocabulary is written in.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_ALPHABET = {b: chr(b) if b in _VISIBLE else chr(256 + b - sum(v < b for v in _VISIBLE)) for b in range(256)}
+
+# Characters that normal form, case and the classes of the split patterns treat alike in every Unicode
+# version; a string with others, or with what could be a special token, goes to the library whole.
+PLAIN = regex.compile(r"(?!.*<\|)[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027]*+", regex.DOTALL)
+
+
+def library_encoder(vocabulary: str) -> Encoder:
+    """Strings to ids by the tokenizers library: a plain piece by its model alone, any other string by all of it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    merge, whole = tokenizer.model.tokenize, PLAIN.fullmatch
+
+    def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists: list[list[int]] = []
+        odd = []
+        for place, string in enumerate(strings):
+            if whole(string):
+                lists.append([t.id for t in merge(string.encode().decode("latin-1").translate(BYTE_ALPHABET))])
+            else:
+                lists.append([])
+                odd.append(place)
+        if odd:
+            for place, found in zip(odd, tokenizer.encode_batch_fast([strings[p] for p in odd], add_special_tokens=False)):
+                lists[place] = found.ids
+        counts = np.array([len(x) for x in lists], dtype=np.int64)
+        return np.array([i for x in lists for i in x], dtype=np.int64), counts
+
+    return encode

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ecoframe.llm import binary_records, bpe, decontaminate, html_extract, language_id, line_dedup, onebit_search, simhash, toxicity, url_reputation
+from ecoframe.llm import binary_records, bpe, decontaminate, html_extract, language_id, line_dedup, onebit_search, packing, simhash, spelling, toxicity, url_reputation, whitening
 from ecoframe.llm.common import held_out, small_batches, table
 from ecoframe.session import scratch_path
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -201,3 +202,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, BYTE_BPE).select("doc_id", "ids")
     return bpe.decode(ids, BYTE_BPE).select("doc_id", *bpe.token_digest())
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    pieces = packing.cut(table(spark, sf_dir, "documents"), WORD_BPE)
+    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(digest)
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, frequent form and root of every repeated word."""
+    counts = spelling.count_words(table(spark, sf_dir, "documents"), damage=spelling.DAMAGE)
+    return spelling.group_variants(counts.where(F.col("n") >= spelling.MIN_COUNT))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened coordinates of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
