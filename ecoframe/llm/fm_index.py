@@ -173,11 +173,12 @@ class WordIndex:
             at = self.extend(at, symbol, side)
             alive = at.size > 0
             who, at = who[alive], at.pick(alive)
+        none = np.zeros(0, dtype=np.int64)
         if not erring:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            return none, none
         who, place = np.concatenate([e[0] for e in erring]), np.concatenate([e[1] for e in erring])
         at = Interval(tuple(np.concatenate([e[2].start[k] for e in erring]) for k in (0, 1)), np.concatenate([e[2].size for e in erring]))
-        found_who, found_word = [], []
+        found_who, found_word = [none], [none]
         while len(who):
             at = self.extend(at, rest.symbol(who, place), side)
             place = place + 1

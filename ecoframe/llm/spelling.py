@@ -107,7 +107,7 @@ def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS, hot_words: int
     # A pattern visits all cuts of its half; the word itself is indexed in one of them.
     visits = F.when(F.col("asked"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(own))
     rows = dealt.withColumn("own", own).withColumn("cut", F.explode(visits)).select(
-        "word", "n", "side", "asked", (F.col("cut") == F.col("own")).alias("indexed"),
+        "word", "n", "side", F.length("half").alias("size"), "asked", (F.col("cut") == F.col("own")).alias("indexed"),
         F.pmod(F.xxhash64("side", "half", "cut"), F.lit(shards)).cast("int").alias("shard"),
     )
     schema = fields(word=StringType(), n_near=LongType(), near=StringType(), near_n=LongType())
@@ -123,18 +123,23 @@ def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS, hot_words: int
 
 
 def _search_side(table: pa.Table, side: int) -> tuple[list, list, list, list]:
-    counts = dict(zip(*[table.filter(table["indexed"])[c].to_pylist() for c in ("word", "n")]))
+    indexed = table.filter(table["indexed"])
+    counts = dict(zip(*[indexed[c].to_pylist() for c in ("word", "n")]))
     # In code-point order, so that the first of the largest counts is the wanted one.
     words = sorted(counts)
     patterns = sorted(set(table.filter(table["asked"])["word"].to_pylist()))
     if not words or not patterns:
         return [], [], [], []
     who, word = near_words(words, patterns, side)
-    if side == 0:
-        # Pairs that agree in the first half too are found there.
-        other = [words[w].startswith(patterns[p][: len(patterns[p]) // 2]) for p, w in zip(who.tolist(), word.tolist())]
-        keep = ~np.array(other, dtype=bool)
-        who, word = who[keep], word[keep]
+    # A pair counts where the word is indexed under the pattern's half, which is in one shard only. Pairs
+    # that agree in both halves count as agreeing in the first.
+    listed = set(zip(*[indexed[c].to_pylist() for c in ("word", "size")]))
+    keep = np.zeros(len(who), dtype=bool)
+    for k, (p, w) in enumerate(zip(who.tolist(), word.tolist())):
+        pattern, found = patterns[p], words[w]
+        half = len(pattern) // 2
+        keep[k] = (found, half if side else len(pattern) - half) in listed and not (side == 0 and found.startswith(pattern[:half]))
+    who, word = who[keep], word[keep]
     n = np.array([counts[w] for w in words], dtype=np.int64)
     order = np.lexsort((word, -n[word], who))
     who, word = who[order], word[order]
