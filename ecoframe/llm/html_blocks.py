@@ -39,7 +39,8 @@ class Leaf:
 def leaves(page: str) -> list[Leaf]:
     """Blocks with text, in page order; character references decoded, white space single.
 
-    Scripts, styles, text areas, frames and comments hold no text. Missing and stray end tags are
+    Scripts, styles, text areas, frames and comments hold no text; without an end tag, a text area or
+    frame is left out itself, and a script or style up to the next tag. Missing and stray end tags are
     tolerated. Blocks inside an object, svg, select, template or noscript come before the block
     that it interrupts.
     """
@@ -92,7 +93,12 @@ def leaves(page: str) -> list[Leaf]:
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            if close:
+                at = close.end()
+            elif tag in ("script", "style"):
+                # Cut off: its own text goes, later tags are read.
+                later = TOKEN.search(page, at)
+                at = later.start() if later else size
             continue
         if tag in INLINE:
             if tag == "a":

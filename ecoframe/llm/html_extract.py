@@ -34,7 +34,7 @@ BATCH_CELLS = 20_000
 # Element names that mark an article, and those that mark what is not part of it.
 ARTICLE = ("article", "main")
 ARTICLE_NAMES = ("content", "post", "entry", "story", "body", "text", "main", "article")
-OTHER_TAGS = ("nav", "aside", "footer", "header", "form", "menu", "dialog")
+OTHER_TAGS = ("nav", "aside", "footer", "header", "form", "menu", "dialog", "select", "option", "button", "label", "fieldset", "template", "svg")
 OTHER_NAMES = (
     "ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner", "comment", "comments", "reply", "respond", "disqus",
     "sidebar", "widget", "related", "recommended", "share", "social", "newsletter", "subscribe", "signup", "login", "form",
@@ -194,7 +194,12 @@ def _padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
 def _varied(blocks: list[tuple[Leaf, bool]], pool: list[str], rng: np.random.Generator) -> list[tuple[Leaf, bool]]:
     """The page with another wrapper around its article and foreign blocks put in."""
-    wrapper = ("t:div", f"c:{rng.choice(ARTICLE_NAMES)}") if rng.random() < 0.6 else (f"t:{rng.choice(ARTICLE)}",)
+
+    def one_of(items):
+        # By place: an array of all texts would take the longest one's room for each.
+        return items[int(rng.integers(len(items)))]
+
+    wrapper = ("t:div", f"c:{one_of(ARTICLE_NAMES)}") if rng.random() < 0.6 else (f"t:{one_of(ARTICLE)}",)
     changed: list[tuple[Leaf, bool]] = []
     inside: list[int] = []
     for block, label in blocks:
@@ -208,13 +213,13 @@ def _varied(blocks: list[tuple[Leaf, bool]], pool: list[str], rng: np.random.Gen
     for _ in range(int(rng.integers(0, 4))):
         # Next to, below or within the article, one to four blocks of one kind.
         within = inside and rng.random() < 0.7
-        at = int(rng.choice(inside)) if within else int(rng.integers(0, len(changed) + 1))
+        at = one_of(inside) if within else int(rng.integers(0, len(changed) + 1))
         base = outer if within else ("t:html", "t:body")
-        kind = (f"t:{rng.choice(OTHER_TAGS)}",) if rng.random() < 0.3 else (str(rng.choice(["t:div", "t:section", "t:ul", "t:p"])), f"c:{rng.choice(OTHER_NAMES)}")
-        leaf = (str(rng.choice(["t:p", "t:div", "t:li", "t:span"])),) if rng.random() < 0.7 else ()
+        kind = (f"t:{one_of(OTHER_TAGS)}",) if rng.random() < 0.3 else (one_of(["t:div", "t:section", "t:ul", "t:p"]), f"c:{one_of(OTHER_NAMES)}")
+        leaf = (one_of(["t:p", "t:div", "t:li", "t:span"]),) if rng.random() < 0.7 else ()
         new = []
         for _ in range(int(rng.integers(1, 5))):
-            text = str(rng.choice(pool))
+            text = one_of(pool)
             linked = len(text) if rng.random() < 0.2 else 0
             new.append((Leaf(base + kind + leaf, text, linked), False))
         changed[at:at] = new
@@ -233,7 +238,9 @@ def train_on(pages: list[str]) -> Labeller | None:
     sequences = []
     for page in parsed:
         for blocks in [page] + [_varied(page, pool, rng) for _ in range(VARIATIONS)]:
-            cut = blocks[:TRAINED_LEAVES]
+            # A window anywhere on the page, so that what ends long pages is learned too.
+            begin = int(rng.integers(max(0, len(blocks) - TRAINED_LEAVES) + 1))
+            cut = blocks[begin : begin + TRAINED_LEAVES]
             vectors = np.hstack([np.array([path_vector(b.path) for b, _ in cut]), block_vectors([b for b, _ in cut], words)])
             sequences.append((vectors.astype(np.float32), np.array([label for _, label in cut], dtype=np.float32)))
     labeller = Labeller()

@@ -1,6 +1,8 @@
 """Language, toxicity, page, url and vector operators against brute force or held-out rows."""
 
+
 import math
+import time
 
 import numpy as np
 import pytest
@@ -302,3 +304,20 @@ def test_error_bound_holds():
     assert np.allclose(turn @ turn.T, np.eye(64))
     upper = onebit_search.bounds(*onebit_search.encode(vectors, turn), queries @ turn)
     assert (queries @ vectors.T > upper).mean() < 2e-4
+
+
+def test_raw_elements_without_end_tags():
+    def texts(page):
+        return [b.text for b in html_blocks.leaves(page)]
+
+    assert texts("<article><p>a</p><iframe src=x /><p>b</p></article>") == ["a", "b"]
+    assert texts("<p>a<script>var x = 1;<p>b") == ["a", "b"]
+
+
+def test_training_time_does_not_follow_the_longest_block():
+    page = "<html><body><nav>menu here</nav><article>{}</article><footer>end of page</footer></body></html>"
+    pages = [page.format("".join(f"<p>words of paragraph {i} {j}</p>" for j in range(20))) for i in range(60)]
+    pages.append(page.format(f"<p>{'long text ' * 10_000}</p>"))
+    begin = time.process_time()
+    assert html_extract.train_on(pages) is not None
+    assert time.process_time() - begin < 30
