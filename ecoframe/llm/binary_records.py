@@ -19,26 +19,26 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType
 
-from ecoframe.llm.bpe import PATTERN
-from ecoframe.llm.chunks import ChunkEncoder, PieceCache, library_encoder
+from ecoframe.llm.chunks import LETTERS, NUMBERS, ChunkEncoder, PieceEncoder, library, piece_encoder, string_encoder
 from ecoframe.llm.common import fields, slices
 from ecoframe.session import materialise
 
 FILE_BYTES = 24 << 20  # text per data file
 MAX_BROADCAST = 200_000  # files
-CACHED_CHUNKS, CACHED_PIECES = 300_000, 200_000
-SPLIT = regex.compile(PATTERN)
+CACHED_PIECES = 400_000
+# Fixed value: the split pattern of the byte-level vocabulary, for plain texts.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 MASK_DELTA = 0xA282EAD8
 NULL_KEY, WIDE = 1, 2
 FRAME = struct.Struct("<QI")
@@ -84,9 +84,11 @@ def frames(content: bytes) -> Iterator[tuple[int | None, np.ndarray, int, int]]:
 
 
 @functools.lru_cache(maxsize=1)
-def worker_encoder(vocabulary: str) -> ChunkEncoder:
-    """The tokenizer library behind a chunk cache; one per Python worker."""
-    return ChunkEncoder(PieceCache(library_encoder(vocabulary), SPLIT, CACHED_PIECES), CACHED_CHUNKS)
+def worker_encoder(vocabulary: str) -> PieceEncoder:
+    """One per Python worker."""
+    tokenizer = library(vocabulary)
+    odd = ChunkEncoder(string_encoder(tokenizer), CACHED_PIECES)
+    return PieceEncoder(piece_encoder(tokenizer), SPLIT, CACHED_PIECES, odd)
 
 
 def write_records(

@@ -8,11 +8,13 @@ generation. Other texts (runs of white space, a space beside a line end) are enc
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-import regex
 
 from ecoframe.llm.common import gather
 
@@ -117,48 +119,6 @@ class ChunkEncoder:
         return gather(self.flat, begins[chosen], lengths), per_text
 
 
-class PieceCache:
-    """An encoder of strings through a bounded cache of the pieces its split pattern makes.
-
-    No token crosses a piece, so a ``PLAIN`` string is the concatenation of its pieces, of which there
-    are fewer than strings. Any other string is encoded whole.
-    """
-
-    def __init__(self, encode: Encoder, split: regex.Pattern, limit: int, lower: bool = False):
-        self.encode, self.split, self.limit, self.lower = encode, split, limit, lower
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.flat = np.zeros(0, dtype=np.int64)
-        self.counts = np.zeros(0, dtype=np.int64)
-
-    def __call__(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.codes) > self.limit:
-            self._clear()
-        known, new = self.codes, []
-        cuts, whole = self.split.findall, PLAIN.fullmatch
-        codes, ends = [], []
-        for string in strings:
-            pieces = cuts(string.lower() if self.lower else string) if whole(string) else [string]
-            for piece in pieces:
-                code = known.get(piece)
-                if code is None:
-                    code = known[piece] = len(known)
-                    new.append(piece)
-                codes.append(code)
-            ends.append(len(codes))
-        if new:
-            ids, counts = self.encode(new)
-            self.flat = np.concatenate([self.flat, ids])
-            self.counts = np.concatenate([self.counts, counts])
-        chosen = np.array(codes, dtype=np.int64)
-        begins = np.cumsum(self.counts) - self.counts
-        lengths = self.counts[chosen]
-        totals = np.concatenate([[0], np.cumsum(lengths)])
-        return gather(self.flat, begins[chosen], lengths), np.diff(totals[np.concatenate([[0], np.array(ends, dtype=np.int64)])])
-
-
 class WordEncoder(ChunkEncoder):
     """Texts to ids for vocabularies that drop white space: blanks and line feeds only part words."""
 
@@ -174,38 +134,93 @@ class WordEncoder(ChunkEncoder):
         return self._collect(codes, ends)
 
 
+class PieceEncoder(ChunkEncoder):
+    """Texts to ids through the pieces that the split pattern makes, which no token crosses.
+
+    There are far fewer distinct pieces than chunks. ``odd`` encodes texts that are not plain.
+    """
+
+    def __init__(self, encode: Encoder, split: re.Pattern, limit: int, odd: Encoder, lower: bool = False):
+        super().__init__(encode, limit)
+        self.split, self.odd, self.lower = split, odd, lower
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.done > self.limit:
+            self._shrink()
+        codes: list[int] = []
+        ends: list[int] = []
+        odd: list[str] = []
+        places = []
+        piece, cuts = self.first.__getitem__, self.split.findall
+        for place, text in enumerate(texts):
+            if is_plain(text):
+                codes.extend(map(piece, cuts(text.lower() if self.lower else text)))
+            else:
+                odd.append(text)
+                places.append(place)
+            ends.append(len(codes))
+        flat, counts = self._collect(codes, ends)
+        if not odd:
+            return flat, counts
+        odd_flat, odd_counts = self.odd(odd)
+        starts = np.cumsum(counts) - counts
+        starts[places], counts[places] = len(flat) + np.cumsum(odd_counts) - odd_counts, odd_counts
+        return gather(np.concatenate([flat, odd_flat]), starts, counts), counts
+
+
 # The alphabet that a byte-level vocabulary is written in.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_ALPHABET = {b: chr(b) if b in _VISIBLE else chr(256 + b - sum(v < b for v in _VISIBLE)) for b in range(256)}
 
 # Characters that normal form, case and the classes of the split patterns treat alike in every Unicode
-# version; a string with others, or with what could be a special token, goes to the library whole.
-PLAIN = regex.compile(r"(?!.*<\|)[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027]*+", regex.DOTALL)
+# version; texts with others, or with what could be a special token, take all steps of the library.
+_PLAIN = [*range(0x20, 0x7F), *range(0xA0, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028)]
+LETTERS, NUMBERS = (re.escape("".join(chr(c) for c in _PLAIN if unicodedata.category(chr(c))[0] == kind)) for kind in "LN")
+PLAIN = re.compile(f"[\t\n\r{re.escape(''.join(map(chr, _PLAIN)))}]*")
+
+
+def is_plain(text: str) -> bool:
+    return "<|" not in text and PLAIN.fullmatch(text) is not None
 
 
-def library_encoder(vocabulary: str) -> Encoder:
-    """Strings to ids by the tokenizers library: a plain piece by its model alone, any other string by all of it."""
+def library(vocabulary: str):
+    """The tokenizer itself, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    merge, whole = tokenizer.model.tokenize, PLAIN.fullmatch
+    return tokenizer
+
+
+def string_encoder(tokenizer) -> Encoder:
+    """Any strings to ids by all steps of the library."""
 
     def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists: list[list[int]] = []
-        odd = []
-        for place, string in enumerate(strings):
-            if whole(string):
-                lists.append([t.id for t in merge(string.encode().decode("latin-1").translate(BYTE_ALPHABET))])
+        lists = [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return _flat(lists)
+
+    return encode
+
+
+def piece_encoder(tokenizer) -> Encoder:
+    """Pieces of plain strings to ids by the library's model alone: the other steps leave them as they are."""
+    merge = tokenizer.model.tokenize
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = []
+        for piece in pieces:
+            if piece.isascii() and piece.isprintable():
+                written = piece.replace(" ", BYTE_ALPHABET[32])
             else:
-                lists.append([])
-                odd.append(place)
-        if odd:
-            for place, found in zip(odd, tokenizer.encode_batch_fast([strings[p] for p in odd], add_special_tokens=False)):
-                lists[place] = found.ids
-        counts = np.array([len(x) for x in lists], dtype=np.int64)
-        return np.array([i for x in lists for i in x], dtype=np.int64), counts
+                written = piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
+            lists.append([t.id for t in merge(written)])
+        return _flat(lists)
 
     return encode
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(counts.sum())), counts

@@ -11,25 +11,25 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from ecoframe.llm.chunks import PieceCache, WordEncoder, library_encoder
+from ecoframe.llm.chunks import LETTERS, NUMBERS, PieceEncoder, WordEncoder, library, piece_encoder, string_encoder
 from ecoframe.llm.common import fields, slices
 from ecoframe.session import materialise
 
 CAPACITY = 2048
-CACHED_CHUNKS, CACHED_PIECES = 300_000, 200_000
-# Fixed value: the split pattern of the word vocabulary.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+CACHED_PIECES = 400_000
+# Fixed value: the split pattern of the word vocabulary, for plain texts.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
 class Slots(NamedTuple):
@@ -107,10 +107,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Slots:
 
 
 @functools.lru_cache(maxsize=1)
-def worker_encoder(vocabulary: str) -> WordEncoder:
-    """One per Python worker: words between blanks, their pieces, then the library."""
-    pieces = PieceCache(library_encoder(vocabulary), SPLIT, CACHED_PIECES, lower=True)
-    return WordEncoder(pieces, CACHED_CHUNKS)
+def worker_encoder(vocabulary: str) -> PieceEncoder:
+    """One per Python worker."""
+    tokenizer = library(vocabulary)
+    odd = WordEncoder(string_encoder(tokenizer), CACHED_PIECES)
+    return PieceEncoder(piece_encoder(tokenizer), SPLIT, CACHED_PIECES, odd, lower=True)
 
 
 def cut(
