@@ -7,7 +7,7 @@ from ecoframe.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from ecoframe.llm.queries import BYTE_BPE
 from ecoframe.session import materialise
 from tests.conftest import SF
-from tests.llm.test_duplicates import passages, plain_fingerprint, plain_groups
+from tests.llm.test_duplicates import passages, plain_similar
 from tests.llm.test_tokens import expected
 
 
@@ -29,7 +29,7 @@ def test_stages_in_order(spark):
     assert all(r.n_chars == len(r.text) for r in new)
     old, new = steps["near_dedup"]
     rows = sorted(old)
-    groups = plain_groups([plain_fingerprint(r.text) for r in rows])
+    groups = plain_similar([r.text for r in rows])
     assert {r.doc_id for r in new} == {rows[g].doc_id for g in groups}
     old, new = steps["decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
