@@ -10,7 +10,6 @@ from ecoframe import config
 from ecoframe.functions.nulls import col, is_finite, n_unique, safe_div, sum_of
 from ecoframe.functions.stats import safe_corr
 from ecoframe.operators.ranking import attributes_per_key
-from ecoframe.operators.skew import blocked_join
 
 # --- projection -----------------------------------------------------------------------------
 # WGS84 ellipsoid, UTM scale and offsets, and the published coefficients of the
@@ -282,44 +281,30 @@ def edges(ring: Column) -> Column:
     )
 
 
+COMPILED_EDGES = 3
+
+
 def clipped_length(sides: str) -> Column:
     """Length of the segment (x1, y1)-(x2, y2) inside the polygon of ``edges``.
 
-    Parametric clipping: the segment enters at the largest parameter over edges it crosses
-    inwards and leaves at the smallest over those it crosses outwards. Segments wholly inside the
-    inscribed circle or outside the circumscribed one (columns of ``_circle``) are settled by
-    compiled arithmetic; with short road segments only the few at the rim go through the edges.
+    Parametric clipping: the segment enters at the largest parameter over edges it crosses inwards and
+    leaves at the smallest over those it crosses outwards. Up to ``COMPILED_EDGES`` edges are plain
+    arithmetic, which Spark compiles; longer lists go through array functions.
     """
     length = "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"
-    slope = "(e.nx * (x2 - x1) + e.ny * (y2 - y1))"
-    side = "(e.nx * x1 + e.ny * y1 - e.c)"
-    enter = f"array_max(transform({sides}, e -> CASE WHEN {slope} > 0 THEN -{side} / {slope} END))"
-    leave = f"array_min(transform({sides}, e -> CASE WHEN {slope} < 0 THEN -{side} / {slope} END))"
-    outside = f"exists({sides}, e -> {slope} = 0 AND {side} < 0)"
-    at_rim = (
-        f"CASE WHEN {outside} THEN 0D ELSE greatest(least(1D, {leave}) - greatest(0D, {enter}), 0D) * {length} END"
-    )
-
-    def square(x: str, y: str) -> str:
-        return f"(({x} - __mx) * ({x} - __mx) + ({y} - __my) * ({y} - __my))"
-
-    inside = f"greatest({square('x1', 'y1')}, {square('x2', 'y2')}) <= __in2"
-    # A segment farther from the centre than the rim: its nearest end is, by more than its length.
-    beyond = f"sqrt(least({square('x1', 'y1')}, {square('x2', 'y2')})) > sqrt(__out2) + {length}"
-    return F.expr(f"CASE WHEN {inside} THEN {length} WHEN {beyond} THEN 0D ELSE {at_rim} END")
-
 
-_CIRCLE = ["__mx", "__my", "__in2", "__out2"]
+    def terms(e: str) -> tuple[str, str, str]:
+        slope, side = f"({e}.nx * (x2 - x1) + {e}.ny * (y2 - y1))", f"({e}.nx * x1 + {e}.ny * y1 - {e}.c)"
+        return f"CASE WHEN {slope} > 0 THEN -{side} / {slope} END", f"CASE WHEN {slope} < 0 THEN -{side} / {slope} END", f"{slope} = 0 AND {side} < 0"
 
+    def inside(enter: str, leave: str, outside: str) -> str:
+        return f"CASE WHEN {outside} THEN 0D ELSE greatest(least(1D, {leave}) - greatest(0D, {enter}), 0D) * {length} END"
 
-def _circle(sides: str, ring: str) -> list[Column]:
-    """Vertex mean, and squared radii of the circles around it inside and around the polygon."""
-    n = f"(size({ring}) - 1)"
-    mean = [f"aggregate(slice({ring}, 1, {n}), 0D, (s, v) -> s + v.{a}) / {n}" for a in ("x", "y")]
-    gap = f"transform({sides}, e -> (e.nx * ({mean[0]}) + e.ny * ({mean[1]}) - e.c) / sqrt(e.nx * e.nx + e.ny * e.ny))"
-    reach = f"transform({ring}, v -> (v.x - ({mean[0]})) * (v.x - ({mean[0]})) + (v.y - ({mean[1]})) * (v.y - ({mean[1]})))"
-    values = [*mean, f"pow(greatest(array_min({gap}), 0D), 2)", f"array_max({reach})"]
-    return [F.expr(v).alias(name) for v, name in zip(values, _CIRCLE)]
+    few = [terms(f"get({sides}, {i})") for i in range(COMPILED_EDGES)]
+    compiled = inside(*[", ".join(t[k] for t in few) for k in (0, 1)], " OR ".join(f"({t[2]})" for t in few))
+    enter, leave, outside = terms("e")
+    listed = inside(f"array_max(transform({sides}, e -> {enter}))", f"array_min(transform({sides}, e -> {leave}))", f"exists({sides}, e -> {outside})")
+    return F.expr(f"CASE WHEN size({sides}) <= {COMPILED_EDGES} THEN {compiled} ELSE {listed} END")
 
 
 _BOX = ["__x_lo", "__y_lo", "__x_hi", "__y_hi"]
@@ -332,73 +317,6 @@ def _box(ring: Column) -> list[Column]:
     return [e.alias(n) for e, n in zip(ends, _BOX)]
 
 
-def road_density(
-    polygons: DataFrame,
-    segments: DataFrame,
-    keys: list[str],
-    cell_m: float = 10_000.0,
-    match_zone: bool = True,
-) -> DataFrame:
-    """Length of roads inside every polygon; each distinct segment counts once.
-
-    Both sides are listed per grid cell they may touch and meet in an equi-join on the cell. A
-    pair that shares several cells is kept only in the first common one, which replaces a
-    distinct over all pairs. Crowded cells are split by ``blocked_join``.
-    """
-    zone = [F.col("epsg_code")] if match_zone else [F.lit(0).alias("epsg_code")]
-    # Direction does not matter for "the same segment".
-    swap = (F.col("x1") > F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") > F.col("y2")))
-    ends = [
-        F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a)
-        for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))
-    ]
-    roads = segments.select(*zone, *ends).distinct()
-
-    def cell(c: Column) -> Column:
-        return F.floor(c / cell_m).cast("long")
-
-    def listed(df: DataFrame, keep: list, lows, highs, tag: str) -> DataFrame:
-        out = df.select(
-            *keep,
-            cell(lows[0]).alias(f"__{tag}x"), cell(lows[1]).alias(f"__{tag}y"),
-            cell(highs[0]).alias("__hx"), cell(highs[1]).alias("__hy"),
-        )
-        out = out.withColumn("__cx", F.explode(F.sequence(F.col(f"__{tag}x"), F.col("__hx"))))
-        out = out.withColumn("__cy", F.explode(F.sequence(F.col(f"__{tag}y"), F.col("__hy"))))
-        return out.drop("__hx", "__hy")
-
-    boxed = polygons.select(
-        *zone, *[col(k) for k in keys], "polygon", edges(F.col("polygon")).alias("__edges"), *_box(F.col("polygon"))
-    )
-    box = [F.col(n) for n in _BOX]
-    left = listed(
-        boxed,
-        [F.col("epsg_code"), *[col(k) for k in keys], F.col("__edges"), *box, *_circle("__edges", "polygon")],
-        box[:2], box[2:], "p",
-    )
-    xs, ys = (F.least("x1", "x2"), F.greatest("x1", "x2")), (F.least("y1", "y2"), F.greatest("y1", "y2"))
-    right = listed(
-        roads, [F.col("epsg_code"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]],
-        (xs[0], ys[0]), (xs[1], ys[1]), "s",
-    )
-    met = blocked_join(left, right, ["epsg_code", "__cx", "__cy"], keys, ["x1", "y1", "x2", "y2"])
-    first = (F.col("__cx") == F.greatest("__px", "__sx")) & (F.col("__cy") == F.greatest("__py", "__sy"))
-    near = (
-        (xs[1] >= F.col("__x_lo")) & (xs[0] <= F.col("__x_hi"))
-        & (ys[1] >= F.col("__y_lo")) & (ys[0] <= F.col("__y_hi"))
-    )
-    length = clipped_length("__edges")
-    inside = (
-        met.filter(first & near)
-        .select(*[col(k) for k in keys], length.alias("__len"))
-        .groupBy(*[col(k) for k in keys])
-        .agg(F.sum("__len").alias("Road_density"))
-    )
-    return polygons.select(*[col(k) for k in keys]).join(inside, keys, "left").withColumn(
-        "Road_density", F.coalesce("Road_density", F.lit(0.0))
-    )
-
-
 # --- rasters --------------------------------------------------------------------------------
 
 

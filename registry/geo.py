@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ecoframe.operators import geo as g
+from ecoframe.operators import geo as g, roads
 from registry.base import PARTS, query
 
 _ZONE = "CAST(floor((Longitude + 180) / 6) + 1 AS INT)"
@@ -138,7 +138,7 @@ _ey, _ly = _slab("y", "northing")
 )
 def _(v):
     b = g.buffer_sites(v("road_sites"), [1, 5], "square")
-    return g.road_density(b.select("SSBS", "radius_km", "epsg_code", "polygon"), v("road_segments"), ["SSBS", "radius_km"], 5000.0)
+    return roads.road_density(b.select("SSBS", "radius_km", "epsg_code", "polygon"), v("road_segments"), ["SSBS", "radius_km"])
 
 
 # A round buffer is a regular polygon of 32 corners: 32 half-planes n * (p - centre) <= apothem.
@@ -163,7 +163,113 @@ _ALONG, _OUT = "(nx * (x2 - x1) + ny * (y2 - y1))", "(ap * r - nx * (x1 - eastin
 )
 def _(v):
     b = g.buffer_sites(v("road_sites"), [1, 5], "round")
-    return g.road_density(b.select("SSBS", "radius_km", "epsg_code", "polygon"), v("road_segments"), ["SSBS", "radius_km"], 5000.0)
+    return roads.road_density(b.select("SSBS", "radius_km", "epsg_code", "polygon"), v("road_segments"), ["SSBS", "radius_km"])
+
+
+# Roads of which a second one runs over half of the first and on, a third one back over it.
+PARTS["overlapping"] = """
+    SELECT epsg_code, x1, y1, x2, y2 FROM {road_segments}
+    UNION ALL SELECT epsg_code, (x1 + x2) / 2, (y1 + y2) / 2, x2 + (x2 - x1) / 2, y2 + (y2 - y1) / 2 FROM {road_segments} WHERE segment_id % 3 = 0
+    UNION ALL SELECT epsg_code, x2 + (x2 - x1), y2 + (y2 - y1), x1 - (x2 - x1) / 4, y1 - (y2 - y1) / 4 FROM {road_segments} WHERE segment_id % 5 = 0"""
+# Lines by reduced direction and offset in whole millimetres, then gaps and islands along each.
+PARTS["exact_lines"] = """
+    SELECT epsg_code, dx // g AS ux, dy // g AS uy, (dx // g)::HUGEINT * y - (dy // g)::HUGEINT * x AS c, t, t + greatest(dx, abs(dy)) AS u FROM (
+      SELECT *, gcd(dx, dy) AS g, CASE WHEN dx >= abs(dy) THEN x ELSE least(y, y + dy) END AS t FROM (
+        SELECT epsg_code, CASE WHEN turned THEN xb ELSE xa END AS x, CASE WHEN turned THEN yb ELSE ya END AS y,
+          CASE WHEN turned THEN xa - xb ELSE xb - xa END AS dx, CASE WHEN turned THEN ya - yb ELSE yb - ya END AS dy FROM (
+          SELECT *, xa > xb OR (xa = xb AND ya > yb) AS turned FROM (
+            SELECT epsg_code, round(x1 * 1000)::BIGINT AS xa, round(y1 * 1000)::BIGINT AS ya, round(x2 * 1000)::BIGINT AS xb, round(y2 * 1000)::BIGINT AS yb FROM {overlapping}) a) b) d
+      WHERE dx <> 0 OR dy <> 0) e"""
+PARTS["islands"] = """
+    SELECT epsg_code, ux, uy, c, min(t) AS t, max(u) AS u FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY epsg_code, ux, uy, c ORDER BY t, u ROWS UNBOUNDED PRECEDING) AS island FROM (
+        SELECT *, CASE WHEN t <= max(u) OVER (PARTITION BY epsg_code, ux, uy, c ORDER BY t, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM {exact_lines}) f) i
+    GROUP BY epsg_code, ux, uy, c, island"""
+_AT = [f"(CASE WHEN ux >= abs(uy) THEN {m}::DOUBLE ELSE (ux * {m} - c)::DOUBLE / uy END) / 1000 AS x{n}, (CASE WHEN ux >= abs(uy) THEN (c + uy * {m})::DOUBLE / ux ELSE {m}::DOUBLE END) / 1000 AS y{n}" for n, m in ((1, "t"), (2, "u"))]
+PARTS["united"] = f"SELECT epsg_code, {', '.join(_AT)} FROM {{islands}}"
+
+
+def _overlapping(v):
+    s, half = v("road_segments"), ((F.col("x2") - F.col("x1")) / 2, (F.col("y2") - F.col("y1")) / 2)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+
+    def road(*ends):
+        return [F.col("epsg_code"), *[e.alias(n) for e, n in zip(ends, ("x1", "y1", "x2", "y2"))]]
+
+    on = s.where("segment_id % 3 = 0").select(*road((x1 + x2) / 2, (y1 + y2) / 2, x2 + half[0], y2 + half[1]))
+    back = s.where("segment_id % 5 = 0").select(*road(x2 + half[0] * 2, y2 + half[1] * 2, x1 - half[0] / 2, y1 - half[1] / 2))
+    return s.select(*road(x1, y1, x2, y2)).unionByName(on).unionByName(back)
+
+
+@query(
+    "union_segments",
+    "SELECT epsg_code, ux, uy, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS length FROM "
+    "(SELECT CAST(sign(round(x2 - x1, 3)) AS INT) AS ux, CAST(sign(round(y2 - y1, 3)) AS INT) AS uy, * FROM {united}) q GROUP BY epsg_code, ux, uy",
+    "length", digits=3,
+)
+def _(v):
+    u = roads.union_segments(_overlapping(v), ["epsg_code"])
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x1"), F.lit(2)) + F.pow(F.col("y2") - F.col("y1"), F.lit(2)))
+    signs = [F.signum(F.round(F.col(f"{a}2") - F.col(f"{a}1"), 3)).cast("int").alias(f"u{a}") for a in "xy"]
+    return u.select("epsg_code", *signs, length.alias("length")).groupBy("epsg_code", "ux", "uy").agg(F.sum("length").alias("length"))
+
+
+@query(
+    "road_density_overlapping",
+    f"""SELECT s.SSBS, s.radius_km, coalesce(sum(len), 0) AS Road_density FROM (SELECT *, CAST(radius_km * 1000 AS DOUBLE) AS r FROM {{road_sites}}, (SELECT unnest([1, 5]) AS radius_km) k) s
+        LEFT JOIN LATERAL (SELECT greatest(least(least({_lx}, {_ly}), 1) - greatest(greatest({_ex}, {_ey}), 0), 0) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len
+          FROM {{united}} t WHERE t.epsg_code = s.epsg_code
+            AND greatest(x1, x2) >= easting - r AND least(x1, x2) <= easting + r AND greatest(y1, y2) >= northing - r AND least(y1, y2) <= northing + r) l ON true
+        GROUP BY s.SSBS, s.radius_km""",
+    "Road_density",
+    digits=2,
+)
+def _(v):
+    b = g.buffer_sites(v("road_sites"), [1, 5], "square")
+    return roads.road_density(b.select("SSBS", "radius_km", "epsg_code", "polygon"), _overlapping(v), ["SSBS", "radius_km"])
+
+
+def _degrees(v):
+    """Roads near the sites as multi-lines in degrees: one of two lines of two vertices each per site."""
+    s = v("site_base").select("Longitude", "Latitude")
+    lon, lat = F.col("Longitude"), F.col("Latitude")
+    first = F.array(g.point(lon - 0.004, lat - 0.002), g.point(lon + 0.006, lat + 0.003))
+    second = F.array(g.point(lon + 0.001, lat + 0.02), g.point(lon + 0.001, lat - 0.03))
+    return s.select(F.array(first, second).alias("parts"))
+
+
+_ENDS = [("Longitude - 4e-3", "Latitude - 2e-3"), ("Longitude + 6e-3", "Latitude + 3e-3"), ("Longitude + 1e-3", "Latitude + 2e-2"), ("Longitude + 1e-3", "Latitude - 3e-2")]
+for _i, (_lon, _lat) in enumerate(_ENDS):
+    _first = _ENDS[_i - _i % 2]
+    _zone_of_first = f"CAST(CASE WHEN {_first[1]} < 0 THEN 32700 ELSE 32600 END + CAST(floor(({_first[0]} + 180) / 6) + 1 AS INT) AS INT)"
+    PARTS[f"end_{_i}"] = forward_sql(f"({_lon})", f"({_lat})", _zone_of_first, "{site_base}", "c_custkey, Longitude, Latitude")
+PARTS["near_roads"] = " UNION ALL ".join(
+    f"SELECT a.epsg_code, a.easting AS x1, a.northing AS y1, b.easting AS x2, b.northing AS y2 FROM {{end_{i}}} a JOIN {{end_{i + 1}}} b ON a.c_custkey = b.c_custkey" for i in (0, 2)
+)
+
+
+@query(
+    "project_lines",
+    "SELECT epsg_code, x1, y1, x2, y2 FROM {near_roads}",
+    "x1 y1 x2 y2", digits=3,
+)
+def _(v):
+    return g.line_segments(g.project_lines(g.split_multilines(_degrees(v)))).select("epsg_code", "x1", "y1", "x2", "y2")
+
+
+@query(
+    "road_density_of_lines",
+    f"""SELECT s.SSBS, s.radius_km, coalesce(sum(len), 0) AS Road_density
+        FROM (SELECT *, CAST(radius_km * 1000 AS DOUBLE) AS r FROM {{projected}}, (SELECT unnest([1, 5]) AS radius_km) k) s
+        LEFT JOIN LATERAL (SELECT greatest(least(least({_lx}, {_ly}), 1) - greatest(greatest({_ex}, {_ey}), 0), 0) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len
+          FROM (SELECT DISTINCT epsg_code, round(x1 * 1000) / 1000 AS x1, round(y1 * 1000) / 1000 AS y1, round(x2 * 1000) / 1000 AS x2, round(y2 * 1000) / 1000 AS y2 FROM {{near_roads}}) t WHERE t.epsg_code = s.epsg_code
+            AND greatest(x1, x2) >= easting - r AND least(x1, x2) <= easting + r AND greatest(y1, y2) >= northing - r AND least(y1, y2) <= northing + r) l ON true
+        GROUP BY s.SSBS, s.radius_km""",
+    "Road_density",
+    digits=1,
+)
+def _(v):
+    return roads.road_density_of_lines(v("site_base").select("SSBS", "Longitude", "Latitude"), _degrees(v), [1, 5], "square")
 
 
 def _zonal(v, shape: str, all_touched: bool):

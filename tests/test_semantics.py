@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ecoframe import config, session
 from ecoframe.functions.stats import safe_corr, student_t_quantile
-from ecoframe.operators import checks, diversity, evaluate, folds, geo, hierarchy, joins, neighbours, ranking, sampling, scope, scoring, skew, transforms
+from ecoframe.operators import checks, diversity, evaluate, folds, geo, hierarchy, joins, neighbours, ranking, roads, sampling, scope, scoring, skew, transforms
 from ecoframe.sources import tables
 
 INF, NAN = float("inf"), float("nan")
@@ -380,7 +380,7 @@ def test_buffers_and_road_length_of_a_chord(spark):
     lines = [(32631, -9000.0, 5600.0, 19000.0, 5600.0), (32631, 19000.0, 5600.0, -9000.0, 5600.0), (32632, 0.0, 5000.0, 9000.0, 5000.0), (32631, 4900.0, 5000.0, 5100.0, 5000.0)]
     segs = spark.createDataFrame(lines, "epsg_code int, x1 double, y1 double, x2 double, y2 double")
     round_buffer = geo.buffer_sites(site, [1], "round").select("SSBS", "epsg_code", "polygon")
-    length = geo.road_density(round_buffer, segs, ["SSBS"], 700.0).first().Road_density
+    length = roads.road_density(round_buffer, segs, ["SSBS"], 7.0).first().Road_density
     # The reversed copy and the other zone do not count.
     assert length == pytest.approx(2 * math.sqrt(1000**2 - 600**2) + 200, rel=0.01)
 
