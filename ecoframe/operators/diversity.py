@@ -150,6 +150,65 @@ def alpha_diversity(df: DataFrame, level: int, order: list[str], taxonomic_level
     return scaled.join(attributes, "SSBS", "left")
 
 
+def _abundance_states() -> dict[str, Column]:
+    """Sums from which all alpha metrics follow; those of several groups add up to those of their union."""
+    y = F.col("Effort_corrected_measurement").cast("double")
+    in_scope = F.col("Diversity_metric_type") == "Abundance"
+    positive, counted = F.when(y > 0, y), F.when(in_scope, y)
+    return {
+        "__total": F.sum(counted), "__n_known": F.count(counted), "__n_abundance": F.sum(F.when(in_scope, 1).otherwise(0)),
+        "__logs": F.sum(F.log1p(y)), "__n_logs": F.count(y), "__rich": F.sum(F.when(in_scope & (y > 0), 1).otherwise(0)),
+        "__positive": F.sum(positive), "__y_ln_y": F.sum(positive * F.ln(positive)),
+    }
+
+
+def _metrics_of_states() -> dict[str, Column]:
+    total, richness = F.coalesce("__total", F.lit(0.0)), F.col("__rich")
+    entropy = (F.ln(total) * F.coalesce("__positive", F.lit(0.0)) - F.coalesce("__y_ln_y", F.lit(0.0))) / total
+    shannon = F.when((richness == 1) | (total == 0), F.lit(0.0)).otherwise(F.when(total > 0, entropy))
+    return {
+        "Total_abundance": total,
+        "Mean_abundance": safe_div(F.col("__total"), F.col("__n_known")),
+        "Geometric_mean_abundance": F.exp(safe_div(F.col("__logs"), F.col("__n_logs"))) - 1,
+        "Species_richness": richness.cast("long"),
+        "Shannon_index": shannon,
+        "Modified_Shannon_index": F.ln(total + 1) * shannon,
+    }
+
+
+def alpha_diversity_levels(df: DataFrame, levels: list[int], order: list[str], taxonomic_levels: list[str] | None = None) -> DataFrame:
+    """:func:`alpha_diversity` of several taxonomic levels at once, told apart by ``level``.
+
+    The rows are aggregated once, at the deepest level; grouping sets over the taxon path add those
+    sums up for the others, so observations are read and shuffled once however many levels are asked for.
+    Taxon columns below a row's level are null.
+    """
+    known = taxonomic_levels or [t for t in config.TAXONOMIC_LEVELS if t in df.columns]
+    tax = known[: max(levels)]
+    states = _abundance_states()
+    base = df.groupBy(*[col(k) for k in config.SITE_KEYS + tax]).agg(*[e.alias(n) for n, e in states.items()])
+    site = [col(k) for k in config.SITE_KEYS]
+    sets = [site + [col(t) for t in tax[:level]] for level in sorted(set(levels))]
+    level = sum_of([F.lit(len(tax)), *[-F.grouping(col(t)) for t in tax]]).cast("int")
+    rolled = base.groupingSets(sets, *site, *[col(t) for t in tax]).agg(level.alias("level"), *[F.sum(n).alias(n) for n in states])
+    in_scope = F.col("__n_abundance") > 0
+    metrics = _metrics_of_states()
+    limited = rolled.select(
+        "level", *site, *[col(t) for t in tax],
+        *[(e if m == "Geometric_mean_abundance" else F.when(in_scope, e)).alias(m) for m, e in metrics.items()],
+        in_scope.alias("__kept"),
+    )
+    complete = all_of([F.lit(True), *[(F.col("level") <= i) | col(t).isNotNull() for i, t in enumerate(tax)]])
+    # Units with an unknown taxon have no study maximum; columns below the level are null on both sides.
+    unit = F.when(complete, F.struct("level", *[col(t) for t in tax]))
+    scaled = scale_by_study_max(limited.withColumn("__unit", unit), ALPHA_METRICS, ["__unit"]).filter("__kept").drop("__kept", "__unit")
+    always = {"level", *config.SITE_KEYS, *tax, "Total_abundance", "Study_max_Total_abundance", "Scaled_Total_abundance"}
+    scaled = scaled.select(*[col(c) if c in always else F.when(complete, col(c)).alias(c) for c in scaled.columns])
+    dropped = {"Taxon_name_entered", "Measurement", "Effort_corrected_measurement", *known, *config.SITE_KEYS}
+    attributes = attributes_per_key(df, ["SSBS"], [c for c in df.columns if c not in dropped], order)
+    return scaled.join(attributes, "SSBS", "left")
+
+
 def study_mean_table(df: DataFrame, variables: list[str]) -> DataFrame:
     """Mean of the density columns (and their transforms) per study, as ``Mean_<lower name>``."""
     targets = [v for v in variables if "pop_density" in v.lower() or "road_density" in v.lower()]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ecoframe import config
@@ -329,15 +331,15 @@ def zonal_stats(
     cell: tuple[float, float] = (1.0, 1.0),
     all_touched: bool = True,
     nodata: float | None = None,
-    metric=F.avg,
+    metric=None,
 ) -> DataFrame:
     """A statistic (the mean by default) of the pixels under every polygon, a column per raster.
 
-    Polygons are convex counter-clockwise rings in the coordinates of the grid. Candidate pixels
-    come from the bounding box, are tested against the edges (with ``all_touched``: any overlap
-    with the pixel square, else the pixel centre), and meet the pixel table in an equi-join. A
-    pixel under very many polygons is a hot key on the polygon side, which AQE splits because the
-    following aggregate shuffles on the polygon keys.
+    Polygons are convex counter-clockwise rings in the coordinates of the grid; a pixel counts if its centre
+    lies inside, or with ``all_touched`` if its square overlaps. A convex ring covers one run of pixels in
+    every row of the grid, whose ends follow from its edges. For the mean, rows of pixels are kept as
+    running sums and counts in strips, and a run costs two look-ups in each strip it crosses, however many
+    pixels it has. Any other aggregate function as ``metric`` is given the pixels themselves.
     """
     (x0, y0), (w, h) = origin, (abs(cell[0]), abs(cell[1]))
     # A negative row height (north-up rasters) flips the row number, not the geometry.
@@ -351,33 +353,101 @@ def zonal_stats(
         low, high = F.floor(F.least(a, b)).cast("int"), (F.ceil(F.greatest(a, b)) - 1).cast("int")
         return F.sequence(low, F.greatest(low, high))
 
-    boxed = polygons.select(
-        *[col(k) for k in keys], edges(F.col("polygon")).alias("__edges"), *_box(F.col("polygon"))
-    )
-    columns = span(column_of(F.col("__x_lo")), column_of(F.col("__x_hi")))
-    rows = span(row_of(F.col("__y_lo")), row_of(F.col("__y_hi")))
-    boxes = boxed.select(*[col(k) for k in keys], "__edges", rows.alias("__rows"), F.explode(columns).alias("ix"))
-    boxes = boxes.select(*[col(k) for k in keys], "__edges", "ix", F.explode("__rows").alias("iy"))
-    cx = x0 + (F.col("ix") + 0.5) * cell[0]
-    cy = y0 + (F.col("iy") + 0.5) * cell[1]
-
-    def keeps(e):
-        centre = e["nx"] * cx + e["ny"] * cy - e["c"]
-        if not all_touched:
-            return centre >= 0
-        return centre + F.abs(e["nx"]) * (w / 2) + F.abs(e["ny"]) * (h / 2) > 0
-
-    covered = boxes.filter(F.forall("__edges", keeps)).select(*[col(k) for k in keys], "ix", "iy")
     valid = is_finite(F.col("value"))
     if nodata is not None:
         valid = valid & (F.col("value") != nodata)
-    hit = covered.join(pixels.filter(valid & F.col("raster_id").isin(rasters)), ["ix", "iy"])
-    wide = hit.groupBy(*[col(k) for k in keys]).agg(
-        *[metric(F.when(F.col("raster_id") == r, F.col("value"))).alias(r) for r in rasters]
+    wanted = pixels.filter(valid & F.col("raster_id").isin(rasters))
+    runs = _row_runs(polygons, keys, span, column_of, row_of, origin, cell, all_touched)
+    if metric is not None:
+        covered = runs.select(*[col(k) for k in keys], "iy", F.explode(F.sequence("__first", "__last")).alias("ix"))
+        wide = covered.join(wanted, ["ix", "iy"]).groupBy(*[col(k) for k in keys]).agg(
+            *[metric(F.when(F.col("raster_id") == r, F.col("value"))).alias(r) for r in rasters]
+        )
+        return polygons.select(*[col(k) for k in keys]).join(wide, keys, "left")
+    strips = _strips(wanted, rasters)
+    strip = [F.floor(F.col(c) / STRIP).cast("int") for c in ("__first", "__last")]
+    crossed = runs.withColumn("strip", F.explode(F.sequence(*strip)))
+    begin = F.greatest(F.col("__first") - F.col("strip") * STRIP, F.lit(0)).cast("int")
+    end = F.least(F.col("__last") - F.col("strip") * STRIP, F.lit(STRIP - 1)).cast("int")
+    met = crossed.select(*[col(k) for k in keys], "iy", "strip", begin.alias("__from"), end.alias("__to")).join(strips, ["iy", "strip"])
+
+    def between(c: str) -> Column:
+        # Element k of a running column is the sum of the strip's first k pixels.
+        return F.get(F.col(c), F.col("__to") + 1) - F.get(F.col(c), F.col("__from"))
+
+    sums = met.groupBy(*[col(k) for k in keys]).agg(
+        *[F.sum(between(f"__{kind}{i}")).alias(f"__{kind}{i}") for i in range(len(rasters)) for kind in "sn"]
     )
+    wide = sums.select(*[col(k) for k in keys], *[safe_div(F.col(f"__s{i}"), F.col(f"__n{i}")).alias(r) for i, r in enumerate(rasters)])
     return polygons.select(*[col(k) for k in keys]).join(wide, keys, "left")
 
 
+STRIP = 512  # pixels of a row whose running sums are one array
+
+
+def _row_runs(polygons: DataFrame, keys: list[str], span, column_of, row_of, origin, cell, all_touched: bool) -> DataFrame:
+    """(keys, iy, __first, __last): the run of pixel columns under each polygon in each row.
+
+    Along a row every edge is a bound for the column. The bound is computed, then the columns next to it
+    are tested by the edge itself, so rounding decides as it would pixel by pixel.
+    """
+    (x0, y0), (w, h) = origin, (abs(cell[0]), abs(cell[1]))
+    boxed = polygons.where(F.size("polygon") >= 4).select(
+        *[col(k) for k in keys], edges(F.col("polygon")).alias("__edges"), *_box(F.col("polygon"))
+    )
+    columns = span(column_of(F.col("__x_lo")), column_of(F.col("__x_hi")))
+    rows = span(row_of(F.col("__y_lo")), row_of(F.col("__y_hi")))
+    lined = boxed.select(*[col(k) for k in keys], "__edges", F.get(columns, F.lit(0)).alias("__low"), F.element_at(columns, -1).alias("__high"), F.explode(rows).alias("iy"))
+    cy = f"({y0!r}D + (iy + 0.5D) * {cell[1]!r}D)"
+    slack = f"(abs(e.nx) * {w / 2!r}D + abs(e.ny) * {h / 2!r}D)" if all_touched else "0D"
+
+    def holds(ix: str) -> str:
+        value = f"(e.nx * ({x0!r}D + ({ix} + 0.5D) * {cell[0]!r}D) + e.ny * {cy} - e.c)"
+        return f"{value} + {slack} > 0" if all_touched else f"{value} >= 0"
+
+    # Where the edge's function is 0, as a column number; far-off ones are cut to the bounding box.
+    root = f"least(greatest(floor(((e.c - e.ny * {cy} - {slack}) / e.nx - {x0!r}D) / {cell[0]!r}D - 0.5D), __low - 2D), __high + 2D)"
+    rising = f"e.nx * {cell[0]!r}D > 0"
+    steps = [-1, 0, 1, 2]
+    lowest = "CASE " + " ".join(f"WHEN {holds(f'(r + {k})')} THEN r + {k}" for k in steps) + " ELSE r + 3 END"
+    highest = "CASE " + " ".join(f"WHEN {holds(f'(r + {k})')} THEN r + {k}" for k in reversed(steps)) + " ELSE r - 2 END"
+
+    def bound(side: str, found: str) -> str:
+        return f"transform(filter(__edges, e -> e.nx <> 0 AND {side}), e -> aggregate(array({root}), 0D, (s, r) -> {found}))"
+
+    low = f"cast(greatest(__low, coalesce(array_max({bound(rising, lowest)}), __low)) AS int)"
+    high = f"cast(least(__high, coalesce(array_min({bound(f'NOT ({rising})', highest)}), __high)) AS int)"
+    level = f"forall(__edges, e -> e.nx <> 0 OR ({holds('0')}))"
+    runs = lined.where(F.expr(level)).select(*[col(k) for k in keys], "iy", F.expr(low).alias("__first"), F.expr(high).alias("__last"))
+    return runs.where("__first <= __last")
+
+
+def _strips(pixels: DataFrame, rasters: list[str]) -> DataFrame:
+    """(iy, strip, __s0, __n0, ...): running sums and counts of each raster along strips of a row.
+
+    Pixels given more than once are added up first, so a group has at most ``STRIP`` rows a raster.
+    """
+    single = pixels.groupBy("iy", "ix", "raster_id").agg(F.sum(F.col("value").cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    dealt = single.select(
+        F.col("iy").cast("int").alias("iy"), F.floor(F.col("ix") / STRIP).cast("int").alias("strip"), "raster_id", "s", "n",
+        F.pmod(F.col("ix"), F.lit(STRIP)).cast("int").alias("place"),
+    )
+    number = {r: i for i, r in enumerate(rasters)}
+    names = [f"__{kind}{i}" for i in range(len(rasters)) for kind in "sn"]
+
+    def running(table: pa.Table) -> pa.Table:
+        which = np.array([number[r] for r in table["raster_id"].to_pylist()])
+        place = np.asarray(table["place"])
+        out = np.zeros((len(rasters), 2, STRIP + 1))
+        for kind, name in enumerate(("s", "n")):
+            out[which, kind, place + 1] = np.asarray(table[name])
+        totals = np.cumsum(out, axis=2).reshape(len(names), STRIP + 1)
+        return pa.table([table["iy"][:1], table["strip"][:1], *[pa.array([row]) for row in totals]], names=["iy", "strip", *names])
+
+    schema = "iy int, strip int, " + ", ".join(f"{n} array<double>" for n in names)
+    return dealt.groupBy("iy", "strip").applyInArrow(running, schema)
+
+
 # --- aggregation over grid cells ------------------------------------------------------------
 
 

@@ -162,6 +162,48 @@ def _(v):
     return alpha(v).drop("Diversity_metric_type")
 
 
+_PATH = ["Kingdom", "Phylum", "Class"]
+
+
+def level_sql(level: int) -> str:
+    """All alpha metrics of one level, from the observations."""
+    tax = _PATH[:level]
+    listed, complete = "".join(f", {t}" for t in tax), " AND ".join(["true", *[f"b.{t} IS NOT NULL" for t in tax]])
+    y, ab = "Effort_corrected_measurement", "Diversity_metric_type = 'Abundance'"
+    base = f"""SELECT SS, SSB, SSBS{listed}, coalesce(sum({y}) FILTER ({ab}), 0) AS Total_abundance, avg({y}) FILTER ({ab}) AS Mean_abundance,
+        exp(avg(ln(1 + {y}))) - 1 AS Geometric_mean_abundance, count(*) FILTER ({ab} AND {y} > 0) AS Species_richness,
+        coalesce(sum({y}) FILTER ({y} > 0), 0) AS pos, coalesce(sum({y} * ln({y})) FILTER ({y} > 0), 0) AS ylny, count(*) FILTER ({ab}) AS nab
+      FROM {{site_obs}} GROUP BY SS, SSB, SSBS{listed}"""
+    shannon = f"SELECT *, CASE WHEN Species_richness = 1 OR Total_abundance = 0 THEN 0 WHEN Total_abundance > 0 THEN (ln(Total_abundance) * pos - ylny) / Total_abundance END AS Shannon_index FROM ({base}) s0"
+    both = f"SELECT *, ln(Total_abundance + 1) * Shannon_index AS Modified_Shannon_index FROM ({shannon}) s1"
+    maxima = ", ".join(f"max({m}){'' if m == 'Geometric_mean_abundance' else ' FILTER (nab > 0)'} AS Study_max_{m}" for m in d.ALPHA_METRICS)
+    using = " AND ".join(["b.SS = m.SS", *[f"b.{t} = m.{t}" for t in tax]])
+    columns = []
+    for m in d.ALPHA_METRICS:
+        three = [f"b.{m}", f"m.Study_max_{m}", f"CASE WHEN m.Study_max_{m} = 0 THEN 0e0 ELSE b.{m} / m.Study_max_{m} END"]
+        names = [m, f"Study_max_{m}", f"Scaled_{m}"]
+        columns += [f"{e if m == 'Total_abundance' else f'CASE WHEN {complete} THEN {e} END'} AS {n}" for e, n in zip(three, names)]
+    path = ", ".join(f"b.{t}" if t in tax else f"CAST(NULL AS VARCHAR) AS {t}" for t in _PATH)
+    return (
+        f"SELECT {level} AS level, b.SS, b.SSB, b.SSBS, {path}, {', '.join(columns)} FROM ({both}) b "
+        f"LEFT JOIN (SELECT SS{listed}, {maxima} FROM ({both}) x GROUP BY SS{listed}) m ON {using} WHERE b.nab > 0"
+    )
+
+
+for _level in range(4):
+    PARTS[f"alpha_level_{_level}"] = level_sql(_level)
+
+
+@query(
+    "alpha_diversity_levels",
+    f"SELECT l.*, a.Biome, a.Longitude FROM ({' UNION ALL '.join(f'SELECT * FROM {{alpha_level_{n}}}' for n in range(4))}) l LEFT JOIN {{site_base}} a USING (SSBS)",
+    [*ALPHA_DOUBLES, "Longitude"],
+)
+def _(v):
+    obs = v("site_obs").select(*config.SITE_KEYS, "Biome", "Longitude", "Diversity_metric_type", "Taxon_name_entered", "Measurement", _Y, *_PATH)
+    return d.alpha_diversity_levels(obs, [0, 1, 2, 3], ["Taxon_name_entered"], _PATH).drop("Diversity_metric_type")
+
+
 @query("site_attributes", "SELECT SSBS, SS, Biome, Max_linear_extent_metres FROM {site_base} WHERE SSBS IN (SELECT SSBS FROM {site_obs})", "Max_linear_extent_metres")
 def _(v):
     return d.site_attributes(

@@ -312,7 +312,7 @@ def _(v):
     return e.gower_train_test(v("covariates"), COVARIATE_NAMES, "vec_id", 5, 5)
 
 
-_GROUP_COV = ["v1", "v2", "v3", "v4"]
+_GROUP_COV = COVARIATE_NAMES
 
 
 @query(

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+import functools
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ecoframe.operators.ranking import dense_index
 from ecoframe.session import scratch_path
@@ -59,14 +61,18 @@ def _(v):
 
 @query(
     "write_folds",
-    "SELECT l_orderkey, SSBS, Observed, fold AS Fold_id FROM {predictions} WHERE fold <> 0",
+    "SELECT CAST(k AS INT) AS held_out, CASE WHEN fold = k THEN 'test' ELSE 'train' END AS side, l_orderkey, SSBS, Observed, fold AS Fold_id FROM {predictions}, range(5) r(k)",
     "Observed",
 )
 def _(v):
     path = scratch_path(v.spark, "folds")
     df = v("predictions").withColumnRenamed("fold", "Fold_id")
     tables.write_folds(df, path, ["l_orderkey", "SSBS", "Observed"])
-    return tables.read_folds(v.spark, path, 0, "train")
+    sides = [
+        tables.read_folds(v.spark, path, k, side).select(F.lit(k).alias("held_out"), F.lit(side).alias("side"), "l_orderkey", "SSBS", "Observed", "Fold_id")
+        for k in range(5) for side in ("train", "test")
+    ]
+    return functools.reduce(DataFrame.unionByName, sides)
 
 
 @query(
