@@ -168,9 +168,11 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
 
 
 def file_starts(index: DataFrame) -> DataFrame:
-    """(file, file_start): ids before each file. Files are in name order, which is key order."""
+    """(file, file_start): ids before each file. Key order is the order of the numbers in the names, which
+    are wider than five digits beyond 100 000 files."""
     per_file = index.groupBy("file").agg(F.sum("n_ids").alias("n"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     return per_file.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("file_start"))
 
 

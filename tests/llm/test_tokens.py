@@ -113,3 +113,10 @@ def test_wide_and_narrow_ids():
     for ids in ([1, 2], [1, 70_000], []):
         ((key, found, _, _),) = binary_records.frames(binary_records.frame(None, np.array(ids, dtype=np.int64)) + b"\n")
         assert key is None and found.tolist() == ids
+
+
+def test_files_beyond_five_digits_stay_in_order(spark):
+    names = [f"file:/x/part-{n:05d}-ab-c000.txt" for n in (99_999, 100_000, 100_001, 10_001, 2)]
+    index = spark.createDataFrame([(name, n) for name, n in zip(names, (1, 10, 100, 1000, 10_000))], "file string, n_ids long")
+    starts = {r.file: r.file_start for r in binary_records.file_starts(index).collect()}
+    assert [starts[n] for n in names] == [11_000, 11_001, 11_011, 10_000, 0]
