@@ -3,9 +3,16 @@
 Candidates share a band of MinHash values: at a similarity of 0.8 two texts share none of the
 ``BANDS`` bands with a probability of (1 - 0.8^5)^28 = 1.5e-5, whatever their length. Each candidate
 pair is then compared exactly. Texts with equal shingle sets are one node, so copies cost nothing.
-A band held by many nodes is first compared with its least node only; all other pairs of the band
-are compared only where that leaves it in more than one component, so a group of near copies is
-linear in its size and no candidate is dropped.
+
+The nodes of a band are first compared with one of them, the hub: the node whose bands are the
+most common, as the text that others were made from keeps the bands which an edit changes. That
+joins a group of near copies with a number of comparisons linear in its size. Bands of more than
+two nodes that it leaves in several components mostly hold texts with a long passage in common
+that are not similar. Their nodes meet a second time by an exact test: of two sets with the
+similarity, each has a shingle of the other among its few rarest (all but 80 % of the set, and one
+more), and behind the first such shingle both are long enough to reach the overlap. Only pairs that
+pass and lie in different components are compared. No candidate is dropped; what stays square is
+the number of pairs of texts that pass both tests without being linked.
 """
 
 from __future__ import annotations
@@ -119,6 +126,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float, label: str) -> Da
     return materialise(near.select("a", "b"), f"{label}-links")
 
 
+def _alike_in_rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of ``nodes`` (node, size, root) with different roots that can have a
+    similarity of ``least``.
+
+    Shingles are put in one order, the rarest among ``nodes`` first. Two sets with that similarity
+    share an element of their first ``size - ceil(least * size) + 1``, and from the first shared
+    element on neither has fewer elements left than they need in common.
+    """
+    every = sets.join(nodes, "node").select("node", F.explode("shingles").alias("shingle"))
+    common = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    # A shingle of one node alone only moves the others back.
+    ordered = every.join(common, "shingle").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ordered")
+    )
+    alone = F.col("size") - F.size("ordered")
+    taken = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - alone
+    entries = (
+        ordered.join(nodes, "node").where(taken > 0)
+        .select("node", "size", "root", alone.alias("alone"), F.posexplode(F.slice("ordered", F.lit(1), taken.cast("int"))))
+        .select("node", "size", "root", F.col("col.shingle").alias("shingle"), (F.col("size") - F.col("alone") - F.col("pos")).alias("left"))
+    )
+    entries = materialise(entries, "rare")
+    # Of each shingle, the nodes outside its largest component meet all others.
+    shares = entries.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    main = shares.groupBy("shingle").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    split = materialise(entries.join(main.select("shingle", "main"), "shingle"), "rare-split")
+    outside = split.where("root <> main").select("shingle", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("p"), F.col("left").alias("i"))
+    others = split.select("shingle", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("q"), F.col("left").alias("j"))
+    enough = F.least("i", "j") * (1 + least) >= (F.col("m") + F.col("n")) * least - 1e-6
+    like_size = F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
+    return outside.join(others, "shingle").where("p <> q").where(enough & like_size).select("a", "b")
+
+
 def groups(df: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
     """(key, node, component_id): the group of each row, named by its least key.
 
@@ -130,32 +170,26 @@ def groups(df: DataFrame, key: str, text: str, words: int, least: float) -> Data
         rows.groupBy("node").agg(F.min(key).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes"
     )
     entries = nodes.select("node", "size", F.explode("keys").alias("key"))
-    hubs = entries.groupBy("key").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    kept = materialise(entries.join(hubs.select("key", "hub"), "key"), "bands")
-    involved = materialise(kept.select("node").distinct(), "involved")
-    few = involved.count() <= SETS_BROADCAST
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    kept = materialise(entries.join(shared, "key"), "bands")
+    weights = materialise(kept.groupBy("node").agg(F.sum("n").alias("weight")), "involved")
+    few = weights.count() <= SETS_BROADCAST
+    involved = weights.select("node")
     sets = _sets(df, text, words).join(F.broadcast(involved) if few else involved, "node", "left_semi")
     sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
-    def of_like_size(a: str, b: str) -> F.Column:
-        return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
-
-    starred = kept.where("node <> hub.node").where(of_like_size("size", "hub.size"))
-    links = _verified(starred.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), sets, least, "hub")
+    hubs = kept.join(weights, "node").groupBy("key").agg(F.max_by("node", "weight").alias("hub"))
+    starred = kept.join(hubs, "key").where("node <> hub")
+    links = _verified(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, least, "hub")
     linked = components(links, "groups").withColumnRenamed("node", "_node")
-    # What the hubs leave apart: in each band, those outside its largest component meet all others.
-    rooted = kept.join(linked, F.col("node") == F.col("_node"), "left").select(
-        "key", "node", "size", F.col("hub.node").alias("hub"), F.coalesce("root", "node").alias("root")
+    # What the hubs leave apart, where a band has more pairs than those with its hub.
+    rooted = kept.where("n > 2").join(linked, F.col("node") == F.col("_node"), "left").select(
+        "key", "node", "size", F.coalesce("root", "node").alias("root")
     )
     rooted = materialise(rooted, "rooted")
-    shares = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = shares.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    split = rooted.join(main.select("key", F.col("main.root").alias("main")), "key")
-    split = materialise(split, "split")
-    apart = split.where("root <> main").select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("p"))
-    others = split.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("q"), "hub")
-    met = apart.join(others, "key").where("p <> q and a <> hub and b <> hub").where(of_like_size("m", "n"))
-    links = links.unionByName(_verified(met.select("a", "b"), sets, least, "rest"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
+    apart = materialise(rooted.join(several, "key", "left_semi").select("node", "size", "root").distinct(), "apart")
+    links = links.unionByName(_verified(_alike_in_rare_shingles(apart, sets, least), sets, least, "rest"))
 
     linked = components(links, "groups").join(nodes, "node").select("root", "node", "least")
     group = linked.groupBy("root").agg(F.min("least").alias("component"))

@@ -278,3 +278,46 @@ def test_block_index_misses_nothing():
     near = np.array(near, dtype=np.uint64)
     want = {(a, b) for a, b in zip(*np.nonzero(np.bitwise_count(near[:, None] ^ prints) <= decontaminate.RADIUS))}
     assert set(zip(*(x.tolist() for x in index.near(near, np.zeros(len(near), dtype=np.int64))))) == want
+
+
+def _met(spark, monkeypatch, texts):
+    """Groups of the texts, and the number of pairs that were compared."""
+    compared = []
+    verified = near_copies._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_copies.groups(frame, "doc_id", "text", 5, 0.8).collect()}
+    return found, sum(compared)
+
+
+def test_group_of_near_copies_is_linear(spark, monkeypatch):
+    """2 000 copies with up to five words changed: most are unlike each other, and like the text they come from."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for d in range(2000):
+        words = list(base)
+        for at in rng.choice(np.arange(5, 145, 7), rng.integers(1, 6), replace=False):
+            words[at] = f"new{d}x{at}"
+        texts.append(" ".join(words))
+    found, compared = _met(spark, monkeypatch, texts)
+    near = {d for d, t in enumerate(texts) if len(plain_shingles(t) & plain_shingles(texts[0])) >= 131}
+    assert all(found[d] == 0 for d in near) and len(near) > 1000
+    assert compared < 28 * len(texts)
+
+
+def test_texts_with_a_common_passage_stay_apart(spark, monkeypatch):
+    """600 texts of which two thirds are one passage share bands; a few of them are near copies."""
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"p{k}" for k in range(120))
+    texts = [passage + " " + " ".join(f"o{d}x{k}" for k in range(60)) for d in range(600)]
+    for d in range(5):
+        texts.append(texts[100 * d].replace(f"o{100 * d}x{int(rng.integers(10, 50))} ", "changed "))
+    found, compared = _met(spark, monkeypatch, texts)
+    assert found == {d: d for d in range(600)} | {600 + d: 100 * d for d in range(5)}
+    assert compared < 28 * len(texts)
