@@ -10,14 +10,17 @@ joins a group of near copies with a number of comparisons linear in its size. Ba
 two nodes that it leaves in several components mostly hold texts with a long passage in common
 that are not similar. Their nodes meet a second time by an exact test: of two sets with the
 similarity, each has a shingle of the other among its few rarest (all but 80 % of the set, and one
-more), and behind the first such shingle both are long enough to reach the overlap. Only pairs that
-pass and lie in different components are compared. No candidate is dropped; what stays square is
-the number of pairs of texts that pass both tests without being linked.
+more), and behind the first such shingle both are long enough to reach the overlap. The
+parities of their shingles in ``PARITIES`` classes differ in no more classes than there are shingles
+in one set alone. Only pairs that pass and lie in different components are compared. No candidate is dropped; what stays square is
+the number of pairs of texts that pass these tests without being linked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ BANDS, ROWS = 28, 5
 FACTORS = np.random.default_rng(42).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 BLOCK = 512  # shingles hashed at a time
 CACHED_WORDS = 100_000
+PARITIES = 512  # a multiple of 64
 SETS_BROADCAST = 2_000_000  # nodes with a candidate
 
 
@@ -84,6 +88,12 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """A bit per class of shingles, set if the class holds an odd number of them."""
+    counts = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(df: DataFrame, text: str, words: int) -> DataFrame:
     """``df`` with node (a hash of the shingle set), size (of the set) and keys (of the bands)."""
 
@@ -102,7 +112,7 @@ def signatures(df: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, text: str, words: int) -> DataFrame:
-    """(node, shingles) of every row."""
+    """(node, shingles, parities) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -110,9 +120,11 @@ def _sets(df: DataFrame, text: str, words: int) -> DataFrame:
             sets = [shingles(t or "") for t in batch.column(text).to_pylist()]
             nodes = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
             flat = ragged(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), flat], names=["node", "shingles"])
+            bits = ragged(np.concatenate([_parities(s) for s in sets]), np.full(len(sets), PARITIES // 64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), flat, bits], names=["node", "shingles", "parities"])
 
-    return df.select(text).mapInArrow(run, fields(node=LongType(), shingles=ArrayType(LongType())))
+    schema = fields(node=LongType(), shingles=ArrayType(LongType()), parities=ArrayType(LongType()))
+    return df.select(text).mapInArrow(run, schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, label: str) -> DataFrame:
@@ -132,7 +144,8 @@ def _alike_in_rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) ->
 
     Shingles are put in one order, the rarest among ``nodes`` first. Two sets with that similarity
     share an element of their first ``size - ceil(least * size) + 1``, and from the first shared
-    element on neither has fewer elements left than they need in common.
+    element on neither has fewer elements left than they need in common. A class of different
+    parity holds an element of one set alone, of which both sizes leave room for few.
     """
     every = sets.join(nodes, "node").select("node", F.explode("shingles").alias("shingle"))
     common = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
@@ -143,20 +156,31 @@ def _alike_in_rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) ->
     alone = F.col("size") - F.size("ordered")
     taken = F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1 - alone
     entries = (
-        ordered.join(nodes, "node").where(taken > 0)
-        .select("node", "size", "root", alone.alias("alone"), F.posexplode(F.slice("ordered", F.lit(1), taken.cast("int"))))
-        .select("node", "size", "root", F.col("col.shingle").alias("shingle"), (F.col("size") - F.col("alone") - F.col("pos")).alias("left"))
+        ordered.join(nodes, "node").where(taken > 0).join(sets.select("node", "parities"), "node")
+        .select("node", "size", "root", "parities", alone.alias("alone"), F.posexplode(F.slice("ordered", F.lit(1), taken.cast("int"))))
+        .select("node", "size", "root", "parities", F.col("col.shingle").alias("shingle"), (F.col("size") - F.col("alone") - F.col("pos")).alias("left"))
     )
     entries = materialise(entries, "rare")
     # Of each shingle, the nodes outside its largest component meet all others.
     shares = entries.groupBy("shingle", "root").agg(F.count("*").alias("n"))
     main = shares.groupBy("shingle").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).where("roots > 1")
     split = materialise(entries.join(main.select("shingle", "main"), "shingle"), "rare-split")
-    outside = split.where("root <> main").select("shingle", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("p"), F.col("left").alias("i"))
-    others = split.select("shingle", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("q"), F.col("left").alias("j"))
-    enough = F.least("i", "j") * (1 + least) >= (F.col("m") + F.col("n")) * least - 1e-6
+    words = range(PARITIES // 64)
+    outside = split.where("root <> main").select(
+        "shingle", F.col("node").alias("a"), F.col("size").alias("m"), F.col("root").alias("p"), F.col("left").alias("i"),
+        *[F.col("parities")[k].alias(f"u{k}") for k in words],
+    )
+    others = split.select(
+        "shingle", F.col("node").alias("b"), F.col("size").alias("n"), F.col("root").alias("q"), F.col("left").alias("j"),
+        (F.col("root") == F.col("main")).alias("in_main"), *[F.col("parities")[k].alias(f"v{k}") for k in words],
+    )
+    once = F.col("in_main") | (F.col("a") < F.col("b"))
+    total = F.col("m") + F.col("n")
     like_size = F.least("m", "n") >= F.greatest("m", "n") * least - 1e-9
-    return outside.join(others, "shingle").where("p <> q").where(enough & like_size).select("a", "b")
+    enough = F.least("i", "j") * (1 + least) >= total * least - 1e-6
+    differ = reduce(add, [F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in words])
+    room = differ * (1 + least) <= total * (1 - least) + 1e-6
+    return outside.join(others, "shingle").where(F.col("p") != F.col("q")).where(once & like_size & enough & room).select("a", "b")
 
 
 def groups(df: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
@@ -176,7 +200,7 @@ def groups(df: DataFrame, key: str, text: str, words: int, least: float) -> Data
     few = weights.count() <= SETS_BROADCAST
     involved = weights.select("node")
     sets = _sets(df, text, words).join(F.broadcast(involved) if few else involved, "node", "left_semi")
-    sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("parities").alias("parities")), "sets")
 
     hubs = kept.join(weights, "node").groupBy("key").agg(F.max_by("node", "weight").alias("hub"))
     starred = kept.join(hubs, "key").where("node <> hub")
