@@ -13,9 +13,9 @@ from ecoframe.functions.nulls import (
     sum_of,
     sum_or_zero,
 )
-from ecoframe.operators import joins
+from ecoframe.operators import composition, joins
 from ecoframe.operators.ranking import attributes_per_key, first_per_key, quantiles
-from ecoframe.operators.skew import attach, blocked_join
+from ecoframe.operators.skew import attach
 from ecoframe.session import materialise
 
 ALPHA_METRICS = [
@@ -295,66 +295,28 @@ def median_extent(sites: DataFrame) -> DataFrame:
 def _score(pairs: DataFrame, obs: DataFrame, tax_cols: list[str]) -> DataFrame:
     """2 * sum(min(a, b)) / (sum(a) + sum(b)) for given pairs, per taxon unit if asked for.
 
-    Measurements are never negative, so rows of 0 add nothing to the minimum and the taxa of only
-    one site add min(a, 0) = 0: an inner join on the taxon is enough. Repeated taxon names multiply
-    in that join; equal (site, taxon, value) rows are therefore counted first and weighted.
+    Measurements are never negative, so rows of 0 add nothing to the minimum and neither do the taxa
+    of only one site. Repeated taxon names meet all rows of that name at the other site; equal
+    (site, taxon, value) rows are therefore counted first and weighted.
     """
     unit = ["SS", *tax_cols]
     value = F.coalesce(F.col("Measurement").cast("double"), F.lit(0.0))
-    # Read by both join sides, their key counts and the totals, hence written once.
+    # Read for the dictionary, the sizes and the packed sites, hence written once.
     counted = materialise(
         obs.groupBy("SSBS", *[col(t) for t in unit], "Taxon_name_entered", value.alias("v")).agg(
             F.count(F.lit(1)).alias("w")
         ),
         "taxa",
     )
-    totals = counted.groupBy("SSBS", *[col(t) for t in unit]).agg(
-        F.sum(F.col("v") * F.col("w")).alias("total")
-    )
-    taxa = counted.filter((F.col("v") > 0) & F.col("Taxon_name_entered").isNotNull())
-    refs = pairs.select("SS", "Primary_minimal_site").distinct()
-    left = taxa.join(
-        refs.withColumnRenamed("Primary_minimal_site", "SSBS"), ["SS", "SSBS"], "left_semi"
-    ).select(
-        F.col("SSBS").alias("Primary_minimal_site"),
-        *[col(t) for t in unit],
-        "Taxon_name_entered",
-        F.col("v").alias("v1"),
-        F.col("w").alias("w1"),
-    )
-    right = taxa.select(
-        F.col("SSBS").alias("Other_site"),
-        *[col(t) for t in unit],
-        "Taxon_name_entered",
-        F.col("v").alias("v2"),
-        F.col("w").alias("w2"),
-    )
-    overlap = (
-        blocked_join(
-            left, right, [*unit, "Taxon_name_entered"],
-            ["Primary_minimal_site", "v1"], ["Other_site", "v2"],
-        )
-        .filter(F.col("Primary_minimal_site") != F.col("Other_site"))
-        .groupBy(*[col(t) for t in unit], "Primary_minimal_site", "Other_site")
-        .agg(F.sum(F.least("v1", "v2") * F.col("w1") * F.col("w2")).alias("overlap"))
-    )
-    keyed = unit + ["Primary_minimal_site", "Other_site"]
-    total_1 = totals.select(
-        *[col(t) for t in unit], F.col("SSBS").alias("Primary_minimal_site"), F.col("total").alias("total_1")
-    )
-    total_2 = totals.select(
-        *[col(t) for t in unit], F.col("SSBS").alias("Other_site"), F.col("total").alias("total_2")
-    )
-    scored = (
-        pairs.join(total_1, ["SS", "Primary_minimal_site"])
-        .join(total_2, unit + ["Other_site"])
-        .join(overlap, keyed, "left")
-    )
+    if tax_cols:
+        units = counted.select("SS", "SSBS", *[col(t) for t in tax_cols]).distinct()
+        pairs = composition.shared_units(pairs, units, tax_cols)
+    scored = composition.overlaps(pairs, counted, unit)
     a, b = F.col("total_1"), F.col("total_2")
     score = (
         F.when((a == 0) & (b == 0), F.lit(None).cast("double"))
         .when((a == 0) | (b == 0), F.lit(0.0))
-        .otherwise(safe_div(2 * F.coalesce(F.col("overlap"), F.lit(0.0)), a + b))
+        .otherwise(safe_div(2 * F.col("overlap"), a + b))
     )
     return scored.select(
         "SS", "Primary_minimal_site", "Other_site", *[col(t) for t in tax_cols],

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ecoframe import config
 from ecoframe.functions.nulls import all_of, col
+from ecoframe.operators import composition
 from ecoframe.operators.ranking import attributes_per_key
 from ecoframe.operators.skew import attach, blocked_join
 from ecoframe.operators.transforms import align_and_order, sample_year
@@ -117,12 +118,7 @@ def site_taxa(obs: DataFrame, taxon_cols: list[str]) -> DataFrame:
 
 def shared_taxa(pairs: DataFrame, obs: DataFrame, taxon_cols: list[str]) -> DataFrame:
     """Taxon units present at both sites of a pair; pairs without any vanish."""
-    units = site_taxa(obs, taxon_cols)
-    first = units.withColumnRenamed("SSBS", "Primary_minimal_site")
-    second = units.withColumnRenamed("SSBS", "Other_site")
-    return pairs.join(first, ["SS", "Primary_minimal_site"]).join(
-        second, ["SS", "Other_site", *taxon_cols]
-    ).select("SS", "Primary_minimal_site", "Other_site", *[col(t) for t in taxon_cols])
+    return composition.shared_units(pairs, site_taxa(obs, taxon_cols), taxon_cols)
 
 
 def attach_pair_features(pairs: DataFrame, sites: DataFrame, continuous: list[str]) -> DataFrame:
