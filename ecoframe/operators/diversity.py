@@ -299,19 +299,15 @@ def _score(pairs: DataFrame, obs: DataFrame, tax_cols: list[str]) -> DataFrame:
     of only one site. Repeated taxon names meet all rows of that name at the other site; equal
     (site, taxon, value) rows are therefore counted first and weighted.
     """
-    unit = ["SS", *tax_cols]
     value = F.coalesce(F.col("Measurement").cast("double"), F.lit(0.0))
     # Read for the dictionary, the sizes and the packed sites, hence written once.
     counted = materialise(
-        obs.groupBy("SSBS", *[col(t) for t in unit], "Taxon_name_entered", value.alias("v")).agg(
+        obs.groupBy("SS", "SSBS", *[col(t) for t in tax_cols], "Taxon_name_entered", value.alias("v")).agg(
             F.count(F.lit(1)).alias("w")
         ),
         "taxa",
     )
-    if tax_cols:
-        units = counted.select("SS", "SSBS", *[col(t) for t in tax_cols]).distinct()
-        pairs = composition.shared_units(pairs, units, tax_cols)
-    scored = composition.overlaps(pairs, counted, unit)
+    scored = composition.overlaps(pairs, counted, tax_cols)
     a, b = F.col("total_1"), F.col("total_2")
     score = (
         F.when((a == 0) & (b == 0), F.lit(None).cast("double"))

@@ -49,7 +49,7 @@ def plain(rows, by_family):
 @pytest.mark.parametrize("by_family", [False, True])
 def test_scores_of_all_pairs(spark, monkeypatch, small, by_family):
     if small:  # several cells per study, sites in parts, dictionaries in buckets, units in words
-        for name, value in {"CELL_SITES": 3, "CELL_ENTRIES": 20, "PART_ENTRIES": 4, "BUCKET": 3, "WORD": 2}.items():
+        for name, value in {"CELL_SITES": 3, "CELL_NODES": 7, "CELL_ENTRIES": 20, "PART_ENTRIES": 4, "BUCKET": 3, "WORD": 2}.items():
             monkeypatch.setattr(composition, name, value)
     rows = inventory(3 + by_family)
     obs = spark.createDataFrame(rows, SCHEMA)
@@ -75,7 +75,7 @@ def test_long_lists_of_values():
         lists = [[(int(c), float(v), int(w)) for c, n in site for v, w in zip(rng.random(n), rng.integers(1, 4, n))] for site in sizes]
         columns = [[[e[k] for e in site] for site in lists] for k in range(3)]
         types = [pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
-        table = pa.table([*[pa.chunked_array([pa.array(c, t)]) for c, t in zip(columns, types)], pa.array([1.0] * len(lists))], names=["codes", "v", "w", "total"])
+        table = pa.table([*[pa.chunked_array([pa.array(c, t)]) for c, t in zip(columns, types)], pa.array([1.0] * len(lists))], names=["__codes", "__v", "__w", "__sum"])
         return composition._Entries(table), lists
 
     a, plain_a = entries([[(5, 3), (900, 40)], [(7, 1)], []])
