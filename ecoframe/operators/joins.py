@@ -117,7 +117,7 @@ def site_taxa(obs: DataFrame, taxon_cols: list[str]) -> DataFrame:
 
 
 def shared_taxa(pairs: DataFrame, obs: DataFrame, taxon_cols: list[str]) -> DataFrame:
-    """Taxon units present at both sites of a pair; pairs without any vanish."""
+    """Taxon units present at both sites of a pair; pairs without any vanish. Bitsets per study meet, not taxa."""
     return composition.shared_units(pairs, site_taxa(obs, taxon_cols), taxon_cols)
 
 

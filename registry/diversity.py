@@ -270,6 +270,32 @@ def _(v):
     return d.bray_curtis_by_taxon(j.site_pairs_with_reference(v("site_obs")), v("obs_groups"), [_TAX])
 
 
+_PATH = ["Kingdom", "Phylum", "Class"]
+_KNOWN = " AND ".join(f"{t} IS NOT NULL" for t in _PATH)
+_SAME = " AND ".join(f"a.{t} = b.{t}" for t in _PATH)
+_PATH_SQL = ", ".join(_PATH)
+PARTS["path_totals"] = f"SELECT SSBS, {_PATH_SQL}, sum(Measurement) AS s FROM {{site_obs}} WHERE {_KNOWN} GROUP BY SSBS, {_PATH_SQL}"
+PARTS["path_overlap"] = f"""
+    SELECT a.SSBS AS Primary_minimal_site, b.SSBS AS Other_site, {', '.join(f'a.{t}' for t in _PATH)}, sum(least(a.Measurement, b.Measurement)) AS ov
+    FROM {{site_obs}} a JOIN {{site_obs}} b ON a.SS = b.SS AND {_SAME} AND a.Taxon_name_entered = b.Taxon_name_entered AND a.SSBS <> b.SSBS
+    GROUP BY ALL"""
+
+
+@query(
+    "bray_curtis_level_3",
+    f"""SELECT p.SS, p.Primary_minimal_site, p.Other_site, {', '.join(f'a.{t}' for t in _PATH)},
+        CASE WHEN a.s = 0 AND b.s = 0 THEN NULL WHEN a.s = 0 OR b.s = 0 THEN 0 ELSE 2 * coalesce(o.ov, 0) / (a.s + b.s) END AS Bray_Curtis_score
+      FROM {{pairs}} p JOIN {{path_totals}} a ON p.Primary_minimal_site = a.SSBS
+      JOIN {{path_totals}} b ON p.Other_site = b.SSBS AND {_SAME}
+      LEFT JOIN {{path_overlap}} o ON p.Primary_minimal_site = o.Primary_minimal_site AND p.Other_site = o.Other_site
+        AND {' AND '.join(f'o.{t} = a.{t}' for t in _PATH)}""",
+    "Bray_Curtis_score",
+)
+def _(v):
+    obs = v("site_obs")
+    return d.bray_curtis_by_taxon(j.site_pairs_with_reference(obs), obs, _PATH)
+
+
 _A = "pow(sin((radians(r.Latitude) - radians(o.Latitude)) / 2), 2) + cos(radians(o.Latitude)) * cos(radians(r.Latitude)) * pow(sin((radians(r.Longitude) - radians(o.Longitude)) / 2), 2)"
 PARTS["distances"] = f"""
     SELECT p.SS, p.Primary_minimal_site, p.Other_site,
