@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from ecoframe.operators import joins, skew
+from ecoframe.operators import composition, diversity, joins, skew
 from tests.conftest import SF
+from tests.test_composition import SCHEMA, inventory
 
 USES = [("Primary vegetation", "Minimal use"), ("Cropland", "Light use")]
 
@@ -46,3 +47,31 @@ def test_tasks_follow_the_number_of_pairs(spark):
     dealt = skew.blocked_join(side, other, ["k"], ["a"], ["b"], 50, 20_000)
     assert dealt.rdd.getNumPartitions() == 9
     assert dealt.distinct().count() == dealt.count() == 180_000
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("taxa", [[], ["Family"]])
+def test_scores_of_reference_pairs_need_no_pair_list(spark, monkeypatch, small, taxa):
+    if small:
+        for name, value in {"CELL_SITES": 3, "CELL_NODES": 7, "CELL_ENTRIES": 20, "PART_ENTRIES": 4, "BUCKET": 3, "WORD": 2, "PAIRS_PER_TASK": 30}.items():
+            monkeypatch.setattr(composition, name, value)
+    obs = spark.createDataFrame(inventory(5), SCHEMA)
+    pairs = joins.site_pairs_with_reference(obs)
+    want = diversity.bray_curtis_by_taxon(pairs, obs, taxa)
+    got = diversity.reference_bray_curtis(obs, obs, taxa)
+    text = lambda df: everything(df.withColumn("Bray_Curtis_score", F.round("Bray_Curtis_score", 9)))
+    assert want.count() and text(want) == text(got)
+    if taxa:
+        assert everything(joins.shared_taxa(pairs, obs, taxa)) == everything(joins.reference_shared_taxa(obs, obs, taxa))
+
+
+@pytest.mark.parametrize("query", ["bray_curtis", "bray_curtis_by_taxon", "bray_curtis_level_3", "shared_taxa"])
+def test_taxa_of_pairs_do_not_shuffle_pairs(spark, query):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = contract.queries()[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CoGroups" not in plan and "hashpartitioning(Other_site" not in plan and "Primary_minimal_site#" not in "".join(
+        line.split("Exchange ")[1] for line in plan.split("\n") if "Exchange " in line
+    )
