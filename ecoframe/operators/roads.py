@@ -11,7 +11,6 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, L
 
 from ecoframe.functions.nulls import col, is_finite
 from ecoframe.operators import geo
-from ecoframe.operators.skew import blocked_join
 from ecoframe.session import materialise
 
 PER_METRE = 1000  # steps of the exact grid on which lines are compared
@@ -19,6 +18,9 @@ STRETCH_M = 1000.0
 CELL_M = 500.0
 COVER_ROWS = 256  # polygons covered at a time
 DEPTH = 2  # halvings from the largest cell of a cover to the ones at its rim
+RIM_ROWS, RIM_PIECES = 1024, 2048  # polygons and pieces of a cell that meet at once
+CACHED_PAIRS = 1 << 14
+PIECE = ["x1", "y1", "x2", "y2", "length"]
 
 _STEPS = ["__x1", "__y1", "__x2", "__y2"]
 
@@ -212,6 +214,62 @@ def _ancestors(df: DataFrame, levels: list[int], keep: list[Column]) -> DataFram
     return listed.select(*keep, "level", *up)
 
 
+def _packed(df: DataFrame, cell: list[str], split: list[str], size: int, name: str) -> DataFrame:
+    """(cell, part, ``name``): the other columns of ``df`` as lists of about ``size`` rows of a cell."""
+    rest = [c for c in df.columns if c not in cell]
+    n = df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__parts"))
+    dealt = df.join(n, cell).withColumn("part", F.pmod(F.xxhash64(*split), F.col("__parts")).cast("int"))
+    return dealt.groupBy(*cell, "part").agg(F.collect_list(F.struct(*rest)).alias(name))
+
+
+def _rim_lengths(rim: DataFrame, pieces: DataFrame, cell: list[str]) -> DataFrame:
+    """(__id, length): length of the ``pieces`` of a cell inside the sides (``edges``) of each ``rim`` row of it.
+
+    Both sides are packed into lists of bounded size, of which every two of a cell meet once.
+    """
+    pieces = _packed(pieces, cell, PIECE, RIM_PIECES, "pieces")
+    parts = pieces.groupBy(*cell).agg(F.max("part").alias("last"))
+    rows = _packed(rim, cell, ["__id"], RIM_ROWS, "rim").drop("part").join(parts, cell)
+    met = rows.withColumn("part", F.explode(F.sequence(F.lit(0), "last"))).join(pieces, [*cell, "part"]).select("rim", "pieces")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rim, road in zip(batch.column("rim"), batch.column("pieces")):
+                ids, edges = rim.values.flatten()
+                sides = [np.asarray(v) for v in edges.flatten().flatten()]
+                length = _clipped(*sides, np.asarray(edges.value_lengths()), *[np.asarray(v) for v in road.values.flatten()])
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(length > 0)), pa.array(length[length > 0])], names=["__id", "length"])
+
+    return met.mapInArrow(run, StructType([StructField("__id", LongType()), StructField("length", DoubleType())]))
+
+
+def _clipped(nx, ny, c, n_sides, x1, y1, x2, y2, length) -> np.ndarray:
+    """Length of all pieces inside each polygon, by parametric clipping.
+
+    Polygons are ``n_sides`` consecutive half-planes nx * x + ny * y >= c. A piece enters at the largest parameter
+    over the sides it crosses inwards and leaves at the smallest over those it crosses outwards.
+    """
+    starts = np.cumsum(n_sides) - n_sides
+    order = np.argsort(-n_sides, kind="stable")  # those with an n-th side come first
+    dx, dy = x2 - x1, y2 - y1
+    out = np.zeros(len(n_sides))
+    rows = max(1, CACHED_PAIRS // len(x1))
+    for begin in range(0, len(order), rows):
+        who = order[begin : begin + rows]
+        enter, leave = np.zeros((len(who), len(x1))), np.ones((len(who), len(x1)))
+        for n in range(n_sides[who[0]]):
+            has = int((n_sides[who] > n).sum())
+            at = starts[who[:has]] + n
+            a, b = nx[at][:, None], ny[at][:, None]
+            slope, side = a * dx + b * dy, a * x1 + b * y1 - c[at][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = -side / slope
+            enter[:has] = np.where(slope > 0, np.maximum(enter[:has], t), enter[:has])
+            leave[:has] = np.where(slope < 0, np.minimum(leave[:has], t), np.where((slope == 0) & (side < 0), -1.0, leave[:has]))
+        out[who] = np.maximum(leave - enter, 0) @ length
+    return out
+
+
 def road_density(
     polygons: DataFrame,
     segments: DataFrame,
@@ -225,36 +283,38 @@ def road_density(
     Roads are united (:func:`union_segments`) and cut at a fine grid. A polygon is covered by quadtree cells:
     cells wholly inside take the total length of their cell, one row however many roads lie there;
     only cells at the rim meet the pieces themselves, with the few polygon sides that reach the cell.
-    Every piece lies in exactly one cell of a cover. Crowded rim cells are split by ``blocked_join``.
+    Every piece lies in exactly one cell of a cover. Polygons with the same corners are measured once.
     """
     zone = [F.col("epsg_code")] if match_zone else [F.lit(0).alias("epsg_code")]
     roads = union_segments(segments.select(*zone, "x1", "y1", "x2", "y2"), ["epsg_code"])
     pieces = materialise(cell_pieces(roads, ["epsg_code"], cell_m), "road-pieces")
     own = [f"__k{i}" for i in range(len(keys))]
-    shapes = polygons.select(*zone, *[col(k).alias(n) for k, n in zip(keys, own)], "polygon")
+    named = materialise(polygons.select(*zone, *[col(k).alias(n) for k, n in zip(keys, own)], "polygon"), "polygons")
+    single = named.select("epsg_code", "polygon").distinct().withColumn("__id", F.monotonically_increasing_id())
+    single = materialise(single, "shapes")
     # A table of sites is small in bytes and may come in one partition, but each row makes many cells.
-    shapes = shapes.repartition(polygons.sparkSession.sparkContext.defaultParallelism)
-    cover = materialise(quad_cover(shapes, ["epsg_code", *own], cell_m, depth), "cover")
+    shapes = single.repartition(polygons.sparkSession.sparkContext.defaultParallelism)
+    cover = materialise(quad_cover(shapes, ["epsg_code", "__id"], cell_m, depth), "cover")
     used = {r[0]: r[1] for r in cover.groupBy("inside").agg(F.collect_set("level")).collect()}  # a number per size of polygon
     cell = ["epsg_code", "level", "cx", "cy"]
     lengths = []
     if used.get(True):
         totals = pieces.groupBy("epsg_code", "cx", "cy").agg(F.sum("length").alias("length"))
         totals = _ancestors(totals, used[True], [F.col("epsg_code"), F.col("length")]).groupBy(*cell).agg(F.sum("length").alias("length"))
-        lengths.append(cover.where("inside").join(totals, cell).select(*own, "length"))
+        lengths.append(cover.where("inside").join(totals, cell).select("__id", "length"))
     if used.get(False):
-        rim = cover.where("NOT inside").select(*cell, *own, "edges")
-        listed = _ancestors(pieces, used[False], [F.col(c) for c in ("epsg_code", "x1", "y1", "x2", "y2", "length")])
-        met = blocked_join(rim, listed, cell, own, ["x1", "y1", "x2", "y2"])
-        lengths.append(met.select(*own, geo.clipped_length("edges").alias("length")).where("length > 0"))
+        rim = cover.where("NOT inside").select(*cell, "__id", "edges")
+        listed = _ancestors(pieces, used[False], [F.col(c) for c in ("epsg_code", *PIECE)])
+        lengths.append(_rim_lengths(rim, listed, cell))
     inside = None
     for part in lengths:
         inside = part if inside is None else inside.unionByName(part)
     if inside is None:
         return polygons.select(*[col(k) for k in keys], F.lit(0.0).alias("Road_density"))
-    inside = inside.groupBy(*own).agg(F.sum("length").alias("Road_density"))
-    named = inside.select(*[F.col(n).alias(k) for k, n in zip(keys, own)], "Road_density")
-    return polygons.select(*[col(k) for k in keys]).join(named, keys, "left").withColumn(
+    inside = inside.groupBy("__id").agg(F.sum("length").alias("length")).join(single, "__id")
+    inside = named.join(inside, ["epsg_code", "polygon"]).groupBy(*own).agg(F.sum("length").alias("Road_density"))
+    totals = inside.select(*[F.col(n).alias(k) for k, n in zip(keys, own)], "Road_density")
+    return named.select(*[F.col(n).alias(k) for k, n in zip(keys, own)]).join(totals, keys, "left").withColumn(
         "Road_density", F.coalesce("Road_density", F.lit(0.0))
     )
 

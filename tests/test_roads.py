@@ -100,3 +100,35 @@ def test_candidates_per_true_pair(spark):
     met = cover.join(listed, ["level", "cx", "cy"]).select((F.col("inside") | (geo.clipped_length("edges") > 0)).cast("int").alias("hit"))
     candidates, true = met.agg(F.count("*"), F.sum("hit")).first()
     assert true <= candidates <= 2 * true
+
+
+def _round_sites(spark):
+    sites = spark.range(12).select(
+        F.concat(F.lit("s"), "id").alias("SSBS"), F.lit(32601).alias("epsg_code"),
+        (F.col("id") % 3 * 700).cast("double").alias("x"), F.lit(100.0).alias("y"),
+    )
+    return sites.select("SSBS", "epsg_code", geo.buffer_polygon(F.col("x"), F.col("y"), F.lit(1500.0), "round").alias("polygon"))
+
+
+def _crossing_roads(spark):
+    at = F.col("id").cast("double")
+    return spark.range(60).select(F.lit(32601).alias("epsg_code"), (at * 61 - 2000).alias("x1"), (at * 37 - 1500).alias("y1"), (at * 61 - 1300).alias("x2"), (at * 29 - 900).alias("y2"))
+
+
+def test_equal_polygons_are_covered_once(spark, monkeypatch):
+    covered, plain = [], roads.quad_cover
+    monkeypatch.setattr(roads, "quad_cover", lambda polygons, *a: covered.append(polygons.count()) or plain(polygons, *a))
+    got = {r.SSBS: r.Road_density for r in roads.road_density(_round_sites(spark), _crossing_roads(spark), ["SSBS"]).collect()}
+    assert covered == [3] and len(got) == 12 and got["s0"] == got["s9"] > 0 and got["s0"] != got["s1"]
+
+
+def test_crowded_rim_cells_are_cut_without_a_change(spark, monkeypatch):
+    sites, segments = _round_sites(spark), _crossing_roads(spark)
+    whole = {r.SSBS: r.Road_density for r in roads.road_density(sites, segments, ["SSBS"]).collect()}
+    for name, size in (("RIM_ROWS", 2), ("RIM_PIECES", 3), ("CACHED_PAIRS", 2)):
+        monkeypatch.setattr(roads, name, size)
+    cut = {r.SSBS: r.Road_density for r in roads.road_density(sites, segments, ["SSBS"]).collect()}
+    assert cut == {k: pytest.approx(v, abs=1e-6) for k, v in whole.items()}
+    ring = sites.where("SSBS = 's1'").first().polygon
+    clipped = segments.withColumn("edges", geo.edges(F.array(*[geo.point(F.lit(p.x), F.lit(p.y)) for p in ring])))
+    assert clipped.agg(F.sum(geo.clipped_length("edges"))).first()[0] == pytest.approx(whole["s1"], abs=1e-3)
