@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, DoubleType, LongType
+from pyspark.sql.types import ByteType, DoubleType, LongType, StructType
 
 from ecoframe.llm.common import append_columns, fields, slices
 from ecoframe.llm.language_id import words_of
@@ -28,7 +28,7 @@ from ecoframe.session import materialise
 
 WINDOW = 4
 DISCOUNT = 4
-MODEL_WORDS = 2_000_000  # a word is 16 bytes of the model that every task holds
+MODEL_WORDS = 2_000_000  # a word is 16 bytes of the model that every task holds; more are joined
 LABELS_BROADCAST = 2_000_000  # rows of two numbers
 BINS = 100  # per unit of the measure, when the curve is fitted
 CACHED_WORDS = 100_000
@@ -86,52 +86,95 @@ def continuations(rows: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class ToxicityModel:
-    """Log-likelihood ratios of the words that a class knows, by sorted hash; the same for all
-    others; and the curve from measure to probability."""
+    """Log-likelihood ratios of the words that a class knows, by sorted hash or (over ``MODEL_WORDS``) as a
+    table of word and ratio; the same for all others; and the curve from measure to probability."""
 
     hashes: np.ndarray
     ratios: np.ndarray
     unknown: float
+    table: DataFrame | None = None
     slope: float = 1.0
     shift: float = 0.0
 
 
 def _ratios(counts: DataFrame) -> ToxicityModel:
-    """Kneser-Ney with the least discount of at least ``DISCOUNT`` whose known words fit the model."""
-    discount = DISCOUNT
-    while True:
-        known = counts.where(F.greatest("ordinary", "toxic") > discount)
-        if known.count() <= MODEL_WORDS:
-            break
-        discount *= 2
-    left = [F.sum(F.greatest(F.col(c) - discount, F.lit(0))).alias(f"kept_{c}") for c in ("ordinary", "toxic")]
+    """Kneser-Ney ratios of all words with more than ``DISCOUNT`` continuations in a class.
+
+    They are the same however many there are; the number only decides whether tasks hold or join them.
+    """
+    known = counts.where(F.greatest("ordinary", "toxic") > DISCOUNT)
+    left = [F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0))).alias(f"kept_{c}") for c in ("ordinary", "toxic")]
     total = counts.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.sum("both").alias("both"), F.count("*").alias("words"), *left).first()
     if not total.ordinary or not total.toxic:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    free = {c: 1 - total[f"kept_{c}"] / total[c] for c in ("ordinary", "toxic")}
-    table = known.toPandas()
-    shared = (table["both"].to_numpy() + 1) / (total.both + total.words + 1)
-    p = {c: np.maximum(table[c].to_numpy() - discount, 0) / total[c] + free[c] * shared for c in free}
+    sums = total.asDict()
+    free = {c: 1 - sums[f"kept_{c}"] / sums[c] for c in ("ordinary", "toxic")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared = (np.asarray(batch.column("both")) + 1) / (sums["both"] + sums["words"] + 1)
+            p = {c: np.maximum(np.asarray(batch.column(c)) - DISCOUNT, 0) / sums[c] + free[c] * shared for c in free}
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.log(p["toxic"] / p["ordinary"]))], names=["word", "ratio"])
+
+    ratios = materialise(known.mapInArrow(run, fields(word=LongType(), ratio=DoubleType())), "ratios")
+    unknown = float(np.log(free["toxic"] / free["ordinary"]))
+    if ratios.count() > MODEL_WORDS:
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), unknown, ratios)
+    table = ratios.toPandas()
     hashes = table["word"].to_numpy(dtype=np.int64)
     order = np.argsort(hashes)
-    ratios = np.log(p["toxic"] / p["ordinary"])
-    return ToxicityModel(hashes[order], ratios[order], float(np.log(free["toxic"] / free["ordinary"])))
+    return ToxicityModel(hashes[order], table["ratio"].to_numpy()[order], unknown)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.array([word_hash(w) for w in words], dtype=np.uint64).view(np.int64)
+
+
+def _found(hashes: np.ndarray, known: np.ndarray, ratios: np.ndarray, unknown: float) -> np.ndarray:
+    """Ratios of words by hash, from the sorted ``known`` ones."""
+    if not len(known):
+        return np.full(len(hashes), unknown)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, ratios[at], unknown)
+
+
+def _measure_joined(df: DataFrame, model: ToxicityModel, text: str, out: str) -> DataFrame:
+    """:func:`measure` with the model as a table: each row is joined with the known words of its text."""
+    kept = [c for c in df.columns if c.lower() != out.lower()]
+    rows = materialise(df.select(*kept).withColumn("_row", F.monotonically_increasing_id()), "measured")
+    schema, unknown = StructType([rows.schema[c] for c in kept] + list(fields(**{out: DoubleType()}))), model.unknown
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            for row, value in zip(batch.column("_row").to_pylist(), batch.column(text).to_pylist()):
+                found = np.unique(_hashes(words_of(value or "")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row, np.int64)), pa.array(found)], names=["_row", "word"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            values = []
+            for value, entries in zip(batch.column(text).to_pylist(), batch.column("_known")):
+                known, ratios = (np.asarray(v) for v in entries.values.flatten()) if entries.is_valid else (np.zeros(0, np.int64), np.zeros(0))
+                hashes = _hashes(words_of(value or ""))
+                values.append(_window_mean(_found(hashes, known, ratios, unknown)) if len(hashes) else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(values, pa.float64())], names=schema.names)
+
+    held = rows.select("_row", text).mapInArrow(words, fields(_row=LongType(), word=LongType())).join(model.table, "word")
+    held = held.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("word", "ratio"))).alias("_known"))
+    return rows.join(held, "_row", "left").select(*kept, "_known").mapInArrow(run, schema)
 
 
 def measure(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "measure") -> DataFrame:
     """``df`` with the largest window mean of word log-likelihood ratios; 0 without words."""
+    if model.table is not None:
+        return _measure_joined(df, model, text, out)
+    # Tasks take the numbers alone.
+    model = ToxicityModel(model.hashes, model.ratios, model.unknown)
 
     def start():
         cache: dict[str, int] = {}
         ratios = np.zeros(0)
 
-        def look(words: list[str]) -> np.ndarray:
-            hashes = np.array([word_hash(w) for w in words], dtype=np.uint64).view(np.int64)
-            if not len(model.hashes):
-                return np.full(len(words), model.unknown)
-            at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
-            return np.where(model.hashes[at] == hashes, model.ratios[at], model.unknown)
-
         def work(texts: list[str]) -> list[pa.Array]:
             nonlocal ratios
             if len(cache) > CACHED_WORDS:
@@ -141,7 +184,7 @@ def measure(df: DataFrame, model: ToxicityModel, text: str = "text", out: str =
             coded = [[place(w, len(cache)) for w in words_of(t)] for t in texts]
             new = list(cache)[len(ratios) :]
             if new:
-                ratios = np.concatenate([ratios, look(new)])
+                ratios = np.concatenate([ratios, _found(_hashes(new), model.hashes, model.ratios, model.unknown)])
             return [pa.array([_window_mean(ratios[c]) if c else 0.0 for c in coded], pa.float64())]
 
         return work
@@ -181,6 +224,7 @@ def fit(counted: DataFrame, curved: DataFrame, text: str = "text") -> ToxicityMo
         measure(curved.select(text, "_label"), model, text)
         .groupBy(F.round(F.col("measure") * BINS).cast("long").alias("bin"))
         .agg(F.sum("_label").alias("positive"), F.count("*").alias("n"))
+        .orderBy("bin")  # sums of the fit do not depend on the order in which tasks end
         .toPandas()
     )
     if len(bins):

@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from ecoframe.llm import html_blocks, html_extract, language_id, onebit_search, toxicity, url_reputation
 from ecoframe.llm.queries import PIECES, QUERIES, URL_RULES
@@ -118,6 +119,20 @@ def test_toxicity_held_out(spark):
     assert np.mean(positive) > 0.5 and np.mean(negative) < 0.05
 
 
+def test_toxicity_does_not_depend_on_the_size_of_the_model(spark, edges, monkeypatch):
+    names = ["".join(chr(97 + (i * p) % 26) for p in (1, 3, 7)) for i in range(26)]
+    docs = [(i, f"{names[i % 26]} {'awful' if i % 3 == 0 else 'fine'} {names[i % 11]} {'fool' if i % 3 == 0 else 'day'} {names[i % 13]} the") for i in range(300)]
+    known = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_label", (F.col("doc_id") % 3 == 0).cast("int"))
+    texts = edges.select("doc_id", "text").union(known.select("doc_id", "text"))
+
+    def scores():
+        return sorted((str(r.doc_id), r.text or "", r.score) for r in toxicity.score(texts, toxicity.fit(known, known)).collect())
+
+    held = scores()
+    monkeypatch.setattr(toxicity, "MODEL_WORDS", 3)
+    assert scores() == held and len({x[2] for x in held}) > 3
+
+
 def test_toxicity_of_edge_rows(spark, edges):
     labels = spark.createDataFrame([(6, 1), (6, 0), (4, 0), (7, None), (None, 1)], "doc_id long, toxic int")
     known = toxicity.labelled(edges.select("doc_id", "text"), labels, "doc_id", "toxic")
