@@ -273,7 +273,7 @@ def _(v):
 
 
 def _zonal(v, shape: str, all_touched: bool):
-    squares = v("squares").withColumn("polygon", g.buffer_polygon(F.col("x"), F.col("y"), F.col("radius"), shape))
+    squares = v("squares").repartition(v.spark.sparkContext.defaultParallelism).withColumn("polygon", g.buffer_polygon(F.col("x"), F.col("y"), F.col("radius"), shape))
     return g.zonal_stats(
         squares.select("SSBS", "radius", "polygon"), v("pixels"), ["SSBS", "radius"], ["A", "N", "R"], all_touched=all_touched
     )
