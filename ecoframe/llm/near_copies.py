@@ -1,8 +1,11 @@
 """Groups of texts by the exact Jaccard similarity of their word shingles.
 
-Candidates share a band of MinHash values: at a similarity of 0.8 two texts share none of the
-``BANDS`` bands with a probability of (1 - 0.8^5)^28 = 1.5e-5, whatever their length. Each candidate
-pair is then compared exactly. Texts with equal shingle sets are one node, so copies cost nothing.
+First come the links of the SimHash fingerprints, found by pigeonring filtering (:mod:`simhash`) and
+each compared exactly. Their radius of two bits holds copies with slight changes only, a similarity of
+0.8 lies some ten bits away. What they leave apart has candidates that share a band of MinHash values:
+at a similarity of 0.8 two texts share none of the ``BANDS`` bands with a probability of
+(1 - 0.8^5)^28 = 1.5e-5, whatever their length. Each candidate pair is compared exactly as well. Texts
+with equal shingle sets are one node, so copies cost nothing.
 
 The nodes of a band are first compared with one of them, the hub: the node whose bands are the
 most common, as the text that others were made from keeps the bands which an edit changes. That
@@ -31,6 +34,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from ecoframe.llm.common import append_columns, fields, ragged, slices
 from ecoframe.llm.graph import components
+from ecoframe.llm.simhash import fingerprint, links as fingerprint_links
 from ecoframe.session import materialise
 
 BANDS, ROWS = 28, 5
@@ -95,7 +99,8 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, text: str, words: int) -> DataFrame:
-    """``df`` with node (a hash of the shingle set), size (of the set) and keys (of the bands)."""
+    """``df`` with node (a hash of the shingle set), size (of the set), keys (of the bands) and the
+    SimHash fingerprint."""
 
     def start():
         shingles = Shingles(words)
@@ -104,11 +109,14 @@ def signatures(df: DataFrame, text: str, words: int) -> DataFrame:
             sets = [shingles(t) for t in texts]
             keys = np.concatenate([band_keys(s) for s in sets])
             nodes = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
-            return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), ragged(keys, np.full(len(sets), BANDS))]
+            prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            return [pa.array(nodes), sizes, ragged(keys, np.full(len(sets), BANDS)), pa.array(prints)]
 
         return work
 
-    return append_columns(df, text, fields(node=LongType(), size=LongType(), keys=ArrayType(LongType())), start)
+    added = fields(node=LongType(), size=LongType(), keys=ArrayType(LongType()), fingerprint=LongType())
+    return append_columns(df, text, added, start)
 
 
 def _sets(df: DataFrame, text: str, words: int) -> DataFrame:
@@ -127,6 +135,21 @@ def _sets(df: DataFrame, text: str, words: int) -> DataFrame:
     return df.select(text).mapInArrow(run, schema)
 
 
+def _alike_in_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes (columns node, fingerprint) that join those within SimHash's radius.
+
+    Nodes of one fingerprint are tied to their least, and these least ones where their fingerprints link.
+    """
+    heads = materialise(nodes.groupBy("fingerprint").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
+    equal = nodes.join(heads.where("n > 1"), "fingerprint").where("node <> head")
+    left = heads.select(F.col("fingerprint").alias("a"), F.col("head").alias("_a"))
+    right = heads.select(F.col("fingerprint").alias("b"), F.col("head").alias("_b"))
+    near = fingerprint_links(heads.select("fingerprint")).join(left, "a").join(right, "b")
+    return equal.select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(
+        near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    )
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, label: str) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least ``least``."""
     # Written, so that the rows of a node in very many pairs can be split in the joins.
@@ -184,27 +207,41 @@ def _alike_in_rare_shingles(nodes: DataFrame, sets: DataFrame, least: float) ->
 
 
 def groups(df: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
-    """(key, node, component_id): the group of each row, named by its least key.
+    """(key, fingerprint, component_id): the SimHash and the group of each row, named by its least key.
 
     Rows whose shingle sets have a Jaccard similarity of at least ``least`` are linked, and links
     are transitive. Rows without words are linked with each other only.
     """
-    rows = materialise(signatures(df.select(key, text), text, words).select(key, "node", "size", "keys"), "signatures")
+    rows = materialise(signatures(df.select(key, text), text, words).select(key, "node", "size", "keys", "fingerprint"), "signatures")
     nodes = materialise(
-        rows.groupBy("node").agg(F.min(key).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes"
+        rows.groupBy("node").agg(
+            F.min(key).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"),
+            F.min("fingerprint").alias("fingerprint"),
+        ),
+        "nodes",
     )
+    printed = materialise(_alike_in_fingerprint(nodes.select("node", "fingerprint")), "printed")
     entries = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     kept = materialise(entries.join(shared, "key"), "bands")
     weights = materialise(kept.groupBy("node").agg(F.sum("n").alias("weight")), "involved")
-    few = weights.count() <= SETS_BROADCAST
-    involved = weights.select("node")
+    ends = printed.select(F.explode(F.array("a", "b")).alias("node"))
+    involved = materialise(weights.select("node").unionByName(ends).distinct(), "compared")
+    few = involved.count() <= SETS_BROADCAST
     sets = _sets(df, text, words).join(F.broadcast(involved) if few else involved, "node", "left_semi")
     sets = materialise(sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("parities").alias("parities")), "sets")
 
+    links = _verified(printed, sets, least, "print")
+    tied = components(links, "tied")
     hubs = kept.join(weights, "node").groupBy("key").agg(F.max_by("node", "weight").alias("hub"))
-    starred = kept.join(hubs, "key").where("node <> hub")
-    links = _verified(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, least, "hub")
+    starred = kept.join(hubs, "key").where("node <> hub").select("node", "hub").distinct()
+    # Nodes that their fingerprints have tied to the hub need no second comparison.
+    own = tied.select("node", F.col("root").alias("p"))
+    other = tied.select(F.col("node").alias("hub"), F.col("root").alias("q"))
+    starred = starred.join(own, "node", "left").join(other, "hub", "left").where(
+        F.coalesce("p", "node") != F.coalesce("q", "hub")
+    )
+    links = links.unionByName(_verified(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets, least, "hub"))
     linked = components(links, "groups").withColumnRenamed("node", "_node")
     # What the hubs leave apart, where a band has more pairs than those with its hub.
     rooted = kept.where("n > 2").join(linked, F.col("node") == F.col("_node"), "left").select(
@@ -220,4 +257,4 @@ def groups(df: DataFrame, key: str, text: str, words: int, least: float) -> Data
     named = linked.join(group, "root").select("node", "component")
     every = nodes.join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
     every = materialise(every, "named")
-    return rows.join(every, "node").select(key, "node", "component_id")
+    return rows.join(every, "node").select(key, "fingerprint", "component_id")

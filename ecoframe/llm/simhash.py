@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ecoframe.llm import near_copies
 from ecoframe.llm.common import append_columns, fields
 from ecoframe.llm.graph import components
 from ecoframe.session import materialise
@@ -129,9 +128,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, fingerprint, component_id): the group of each row, named by its least key.
 
-    With ``min_similarity``, rows are linked by the exact Jaccard similarity of their shingles of
-    ``words`` words instead (see :func:`near_copies.groups`), as a radius of bits that holds a
-    similarity of 0.8 leaves pigeonring keys no bits; fingerprint is then a hash of the shingle set.
+    With ``min_similarity``, a link needs that exact Jaccard similarity of the shingles of ``words`` words.
+    The links of fingerprints are compared first; as a radius of bits that holds a similarity of 0.8
+    leaves pigeonring keys no bits, MinHash bands add those beyond it (see :func:`near_copies.groups`).
 
     Rows whose fingerprints differ in at most two bits are linked, and links are transitive. Rows
     without words have fingerprint 0 and are linked like any other. Repeated rows and repeated
@@ -139,7 +138,9 @@ def near_duplicates(
     if it has none). An empty table gives an empty result. Other columns are not read.
     """
     if min_similarity is not None:
-        return near_copies.groups(df, key, text, words, min_similarity).withColumnRenamed("node", "fingerprint")
+        from ecoframe.llm import near_copies
+
+        return near_copies.groups(df, key, text, words, min_similarity)
     if words != WORDS:
         raise ValueError(f"Fingerprints are of {WORDS} words")
     prints = materialise(fingerprints(df.select(key, text), text).select(key, "fingerprint"), "fingerprints")

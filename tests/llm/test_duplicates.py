@@ -321,3 +321,17 @@ def test_texts_with_a_common_passage_stay_apart(spark, monkeypatch):
     found, compared = _met(spark, monkeypatch, texts)
     assert found == {d: d for d in range(600)} | {600 + d: 100 * d for d in range(5)}
     assert compared < 28 * len(texts)
+
+
+def test_similar_texts_are_linked_by_fingerprint_first(spark, monkeypatch):
+    """Pairs within two bits come from fingerprints: with no MinHash band they are still found, and only if similar."""
+    base = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["changed"]), " ".join(base + base), "one two", "", "three four"]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    monkeypatch.setattr(near_copies, "band_keys", lambda s: np.full(near_copies.BANDS, near_copies._node(s), dtype=np.uint64).view(np.int64))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "_alike_in_rare_shingles", lambda nodes, sets, least: nodes.selectExpr("node AS a", "node AS b").limit(0))
+    rows = simhash.near_duplicates(frame, words=5, min_similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate([0, 0, 0, 3, 4, 5]))
+    assert {r.doc_id: r.fingerprint for r in rows} == {d: p - (p >> 63 << 64) for d, p in enumerate(prints)}
