@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ecoframe.operators import evaluate as e
+from ecoframe.session import materialise
 from registry.base import PARTS, query
 from registry.geo import _CORR
 from registry.scoring import _draws, _observations, _X
@@ -81,7 +82,8 @@ PARTS["segments"] = segments_part("{predictions}", "", "Predicted_FE")
 
 @query("performance_metrics", metrics_sql("segments", [], "Predicted_RE"), _METRICS)
 def _(v):
-    return e.performance_metrics(v("predictions"), _TIES, "Predicted_FE", spread="Predicted_RE")
+    rows = materialise(v("predictions").select(*_TIES, "Observed", "Predicted_FE", "Predicted_RE"), "predictions")
+    return e.performance_metrics(rows, _TIES, "Predicted_FE", spread="Predicted_RE")
 
 
 _TENTH = f"CAST(ceil(10 * row_number() OVER (ORDER BY Observed, {_BY}) / count(*) OVER ()) AS INT)"
@@ -114,7 +116,9 @@ _LONG = ["r2_std", "r2_var", "mean_abs_error", "median_abs_error", "pearson_corr
 def _(v):
     from ecoframe.operators.folds import with_roles
 
-    df = with_roles(v("predictions").withColumnRenamed("fold", "Fold_id"), 5)
+    # Written before the folds repeat each row, as the metrics read it several times.
+    rows = materialise(v("predictions").select(*_TIES, "Observed", "Predicted_FE", F.col("fold").alias("Fold_id")), "folds")
+    df = with_roles(rows, 5)
     return e.cv_summary(e.performance_metrics(df, _TIES, "Predicted_FE", keys=["fold", "role"]))
 
 

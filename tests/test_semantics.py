@@ -498,3 +498,17 @@ def test_row_operators_accept_a_stream(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("flags").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("flags").first()["Cropland_Light_Intense"] == 1
+
+
+def test_quarters_sort_only_rows_on_edges(spark, monkeypatch):
+    """Ties over several bins, nulls, one key of one value: bins as by rank, with few rows sorted."""
+    values = [("a", v, i) for i, v in enumerate([1.0] * 37 + [2.0] * 3 + [3.0] * 60 + [None] * 5)]
+    values += [("b", 5.0, i) for i in range(10)] + [("c", float(i * 7 % 101), i) for i in range(101)] + [(None, 1.0, i) for i in range(3)]
+    df = spark.createDataFrame(values, "k string, v double, i int")
+    want = sorted(map(str, ranking.rank_bins(df, "v", 4, ["i"], ["k"]).collect()))
+    ranked = []
+    plain = ranking.rank_within
+    monkeypatch.setattr(evaluate, "rank_within", lambda rows, *rest: ranked.append(rows.count()) or plain(rows, *rest))
+    assert sorted(map(str, evaluate._quarters(df, "v", ["i"], ["k"]).collect())) == want
+    # Values 1.0 and 3.0 and the null of "a", all of "b" and of the null key; no edge falls inside a single row.
+    assert sum(ranked) < 125 and sum(ranked) < df.count() / 1.5
