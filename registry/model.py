@@ -215,7 +215,9 @@ PARTS["rollup_groups"] = f"""
         UNION ALL SELECT DISTINCT 'Population', 'None', 0, CAST(NULL AS VARCHAR) FROM {{rolled}} WHERE Final_hierarchical_level = 'Population'""",
 )
 def _(v):
-    return h.rollup_mapping(materialise(h.hierarchical_rollup(labelled(v), LEVELS, MIN_STUDIES)), LEVELS)
+    # Final groups follow from labels and studies alone, so no row per site is made.
+    combos = materialise(_labels(v("obs_groups").select("SS", "Biome", "Realm", _TAX).distinct()), "combos")
+    return h.rollup_mapping(materialise(h.hierarchical_rollup(combos, LEVELS, MIN_STUDIES)), LEVELS)
 
 
 def _index(column: str) -> str:
