@@ -519,7 +519,9 @@ def _(v):
     "r2_std r2_var mean_residual sd_residual",
 )
 def _(v):
-    return e.calibration_by_group(_run_sited(v), "Biome", keys=_RUN)
+    site = v("site_base").select("SSBS", "Biome")
+    # Written, so that no task holds the means per site together with their join.
+    return e.calibration_by_group(materialise(_run_sites(v), "runs").join(site, "SSBS"), "Biome", keys=_RUN)
 
 
 @query("outlier_share_runs", outlier_sql("{run_sited}", f"{_RUNS}, SS", "Observed"), "prop_outliers_1_5 prop_outliers_1")
