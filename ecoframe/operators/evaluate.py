@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ecoframe import config
 from ecoframe.functions.nulls import all_of, clamp, col, is_finite, n_unique, safe_div, sum_of
@@ -618,15 +618,16 @@ def gower_random(
     df: DataFrame, group: list[str], columns: list[str], id_col: str, k: int = 10, metric: str = "median", seed: int = 42
 ) -> DataFrame:
     """As ``gower_knn_exact``, but to k rows of the group drawn by hash order: linear work."""
-    from ecoframe.operators.ranking import rank_within
     from ecoframe.operators.sampling import hash_order
 
     names = [col(g) for g in group]
     ends = df.groupBy(*names).agg(F.struct(*_ranges(df, columns)).alias("__width"))
     rows = df.select(*names, col(id_col), *[col(c) for c in columns])
     hashed = rows.withColumn("__h", hash_order(seed, col(id_col)))
-    # k + 1 rows per group, as a drawn row is not compared with itself.
-    drawn = rank_within(hashed, group, [F.col("__h"), col(id_col)]).filter(F.col("position") <= k)
+    # k + 1 rows per group, as a drawn row is not compared with itself. Spark applies the limit before the
+    # shuffle as well, so of each task k + 1 rows per group are ranked, not the group.
+    by_hash = Window.partitionBy(*names).orderBy("__h", col(id_col))
+    drawn = hashed.withColumn("position", F.row_number().over(by_hash)).filter(F.col("position") <= k + 1)
     point = F.struct("position", col(id_col).alias("id"), *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     drawn = drawn.groupBy(*names).agg(F.sort_array(F.collect_list(point)).alias("__drawn"))
     joined = attach(attach(rows, ends, group), drawn, group)
@@ -655,7 +656,8 @@ def gower_per_group(
     if selection == "nearest":
         knn = gower_knn_exact(df, [group], columns, id_col, k, metric)
     elif selection == "random":
-        knn = gower_random(df, [group], columns, id_col, k, metric, seed)
+        # Read for the means and again for the medians.
+        knn = materialise(gower_random(df, [group], columns, id_col, k, metric, seed), "distances")
     else:
         raise ValueError(f"Unsupported selection: {selection}")
     stats = knn.groupBy(col(group)).agg(
