@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ecoframe.functions.nulls import col, label, n_unique
 from ecoframe.operators.ranking import dense_index, rank_within
 from ecoframe.operators.skew import attach
+from ecoframe.session import materialise
 
 POPULATION = "Population"
 
@@ -149,7 +150,7 @@ def model_index_columns(
             code = F.when(F.col("Final_hierarchical_level") == level, F.lit(depth)).otherwise(code)
         out = out.withColumn("level_assignment", code)
     # Study, block and site indices meet in a table of one row per site, which joins the rows once.
-    sites = df.select("SS", "SSB", "SSBS").distinct()
+    sites = materialise(df.select("SS", "SSB", "SSBS").distinct(), "sites")
     # The parent study of a block follows from the block itself, independent of row order.
     study = dense_index(sites, "SS", "study_idx")
     parents = attach(sites.groupBy("SSB").agg(F.min("SS").alias("SS")), study, ["SS"]).select(
