@@ -97,8 +97,8 @@ def _alpha_tables(v):
     obs = materialise(alpha_input(v), "observations")
     # The diversity tables are stored results in the pipeline.
     return (
-        materialise(alpha(v, 0).select("SS", "SSB", "SSBS", *keep)),
-        materialise(alpha(v, 1).select("SS", "SSB", "SSBS", _TAX, *keep)),
+        materialise(alpha(v, 0, obs).select("SS", "SSB", "SSBS", *keep)),
+        materialise(alpha(v, 1, obs).select("SS", "SSB", "SSBS", _TAX, *keep)),
     )
 
 
@@ -164,15 +164,25 @@ PARTS["labelled"] = f"""
 MIN_STUDIES = 2
 
 
-def labelled(v):
-    rows = v("obs_groups").select("SS", "SSB", "SSBS", "Biome", "Realm", _TAX).distinct()
+def _labels(rows):
     realm = F.when(~((F.col("Realm") == "R2") & (F.col("Biome") == "ASIA")), F.col("Realm"))
-    return materialise(h.hierarchy_labels(rows.withColumn("Realm", realm), LEVELS))
+    return h.hierarchy_labels(rows.withColumn("Realm", realm), LEVELS)
+
+
+def _labelled(v):
+    # Species groups are reduced per site before the site's own columns, which follow from it, join them.
+    groups = v("obs_groups").select("SSBS", _TAX).distinct()
+    sites = v("site_base").select("SS", "SSB", "SSBS", "Biome", "Realm").distinct()
+    return _labels(sites.join(groups, "SSBS").select("SS", "SSB", "SSBS", "Biome", "Realm", _TAX))
+
+
+def labelled(v):
+    return materialise(_labelled(v))
 
 
 @query("hierarchy_labels", "SELECT * FROM {labelled}")
 def _(v):
-    return labelled(v)
+    return _labelled(v)
 
 
 PARTS["mapping"] = f"""
