@@ -206,6 +206,8 @@ for _level in range(4):
 )
 def _(v):
     obs = v("site_obs").select(*config.SITE_KEYS, "Biome", "Longitude", "Diversity_metric_type", "Taxon_name_entered", "Measurement", _Y, *_PATH)
+    # Sums and attributes both read the observations; written, their joins run once and end a stage.
+    obs = materialise(obs, "observations")
     return d.alpha_diversity_levels(obs, [0, 1, 2, 3], ["Taxon_name_entered"], _PATH).drop("Diversity_metric_type")
 
 
