@@ -549,7 +549,8 @@ def _(v):
     "Predicted_scaled Observed_scaled",
 )
 def _(v):
-    return e.intactness(_run_sites(v), v("site_base"), 5, keys=_RUN).select(*_RUN, "SSBS", "Predicted_scaled", "Observed_scaled")
+    # Read for the reference means and again for the rows.
+    return e.intactness(materialise(_run_sites(v), "runs"), v("site_base"), 5, keys=_RUN).select(*_RUN, "SSBS", "Predicted_scaled", "Observed_scaled")
 
 
 @query(
