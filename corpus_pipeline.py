@@ -55,7 +55,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, and digests of them and of the text decoded again."""
     small_batches(spark)
-    decoded = bpe.decode(bpe.encode(docs, BYTE_BPE), BYTE_BPE)
+    decoded = bpe.round_trip(docs, BYTE_BPE)
     return decoded.select("doc_id", "lang", "source", "n_chars", *bpe.token_digest(), "ids")
 
 

@@ -24,6 +24,7 @@ from ecoframe.llm.chunks import ChunkEncoder
 from ecoframe.llm.common import append_columns, fields, gather, ragged
 
 CACHED_CHUNKS = 120_000
+SLICE = 1 << 19  # bytes of text encoded at once: symbols and codes take some fifty times that
 NO_RANK = np.iinfo(np.int64).max
 
 # Fixed value: the split pattern of the byte-level vocabulary, white space spelled out.
@@ -164,10 +165,16 @@ class Vocabulary:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_vocabulary(path: str) -> Vocabulary:
+    """One per Python worker, shared by the tasks that run in it, as is its encoder."""
+    return Vocabulary(path)
+
+
 @functools.lru_cache(maxsize=1)
 def worker_encoder(vocabulary: str) -> ChunkEncoder:
     """One encoder and cache per Python worker, shared by the tasks that run in it."""
-    return ChunkEncoder(Vocabulary(vocabulary).encoder(), CACHED_CHUNKS)
+    return ChunkEncoder(worker_vocabulary(vocabulary).encoder(), CACHED_CHUNKS)
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -187,7 +194,22 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
 
         return work
 
-    return append_columns(df, text, fields(**{ids: ArrayType(IntegerType())}), start)
+    return append_columns(df, text, fields(**{ids: ArrayType(IntegerType())}), start, SLICE)
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`decode` of :func:`encode`, slice by slice in one Python worker per task instead of two."""
+
+    def start():
+        encoder, vocab = worker_encoder(vocabulary), worker_vocabulary(vocabulary)
+
+        def work(texts: list[str]) -> list[pa.Array]:
+            flat, counts = encoder(texts)
+            return [ragged(flat, counts), pa.array(vocab.decode(flat, counts), pa.string())]
+
+        return work
+
+    return append_columns(df, text, fields(**{ids: ArrayType(IntegerType()), decoded: StringType()}), start, SLICE)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -199,7 +221,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     schema = fields(**{**{f.name: f.dataType for f in kept}, text: StringType()})
 
     def run(batches):
-        vocab = Vocabulary(vocabulary)
+        vocab = worker_vocabulary(vocabulary)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

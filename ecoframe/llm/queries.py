@@ -200,8 +200,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, BYTE_BPE).select("doc_id", "ids")
-    return bpe.decode(ids, BYTE_BPE).select("doc_id", *bpe.token_digest())
+    return bpe.round_trip(docs, BYTE_BPE).select("doc_id", *bpe.token_digest())
 
 
 @query

@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ecoframe.llm import binary_records, bpe
+import corpus_pipeline
+from ecoframe.llm import binary_records, bpe, common
 from ecoframe.llm.chunks import ChunkEncoder
 from ecoframe.llm.queries import BYTE_BPE, QUERIES
 from ecoframe.session import scratch_path
@@ -55,6 +56,30 @@ def test_edge_rows(spark, edges):
     assert bpe.encode(edges.limit(0), BYTE_BPE).count() == 0
 
 
+def test_round_trip_equals_encode_and_decode(spark, edges):
+    want = bpe.decode(bpe.encode(edges, BYTE_BPE), BYTE_BPE)
+    got = bpe.round_trip(edges, BYTE_BPE)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert bpe.round_trip(edges.limit(0), BYTE_BPE).count() == 0
+
+
+def test_one_python_worker_encodes_and_decodes(spark):
+    """Two nodes in one stage keep two workers per core, each with imports and vocabulary."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (QUERIES["op10_bpe"](spark, SF), corpus_pipeline.encode_tokens(spark, docs, SF)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+
+
+def test_texts_are_encoded_in_small_slices(spark, monkeypatch):
+    limits = []
+    plain = bpe.append_columns
+    monkeypatch.setattr(bpe, "append_columns", lambda df, text, added, fn, limit=common.SLICE_BYTES: limits.append(limit) or plain(df, text, added, fn, limit))
+    QUERIES["op10_bpe"](spark, SF)
+    assert limits and max(limits) <= 1 << 19
+
+
 def test_decode_broken_bytes():
     ids = np.array([VOCABULARY.byte_id[0xE4]])
     assert VOCABULARY.decode(ids, np.array([1])) == ["�"]
