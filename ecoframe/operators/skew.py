@@ -13,6 +13,7 @@ BLOCK_ROWS = 2048
 # Where pairs are the result: small sides make many pairs, so tasks are dealt by pairs, not by bytes.
 PAIR_BLOCK_ROWS = 1024
 PAIRS_PER_TASK = 1_000_000
+COPIES_PER_TASK = 250_000  # of rows put in several cells
 MAX_TASKS = 20_000
 
 
@@ -47,7 +48,8 @@ def blocked_join(
     has to produce more than about b*b rows of one key. Keys below the block size stay single.
 
     With ``pairs_per_task`` the pairs are counted first, from the sizes of the keys, and the cells dealt
-    to that many tasks. Both sides are then read twice and should be written tables.
+    to that many tasks. Both sides are then read twice and should be written tables. Their rows are dealt
+    by the number of copies as well before they are copied, as a small table of a large key makes very many.
     """
     n_left = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n_left"))
     n_right = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n_right"))
@@ -66,19 +68,31 @@ def blocked_join(
     def cell(names: list[str], cuts):
         return F.pmod(F.xxhash64(*[col(n) for n in names]), cuts.cast("long")).cast("int")
 
-    left_cells = left.join(grid, keys, "left").select(
+    n_pairs = 0.0
+    left_placed, right_placed = left.join(grid, keys, "left"), right.join(grid, keys, "left")
+    if pairs_per_task:
+        rows_left, rows_right = F.col("__n_left").cast("double"), F.col("__n_right").cast("double")
+        totals = (rows_left * rows_right, rows_left * F.ceil(rows_right / block_rows), rows_right * F.ceil(rows_left / block_rows))
+        n_pairs, *copies = (n or 0.0 for n in sizes.agg(*[F.sum(t) for t in totals]).first())
+
+        def spread(placed: DataFrame, names: list[str], n_copies: float) -> DataFrame:
+            makers = min(math.ceil(n_copies / COPIES_PER_TASK), MAX_TASKS)
+            return placed.repartition(makers, *[col(c) for c in keys + names]) if makers > 1 else placed
+
+        left_placed, right_placed = spread(left_placed, left_split, copies[0]), spread(right_placed, right_split, copies[1])
+
+    left_cells = left_placed.select(
         *[col(c) for c in left.columns],
         cell(left_split, cut_left).alias("__cell_left"),
         F.explode(F.sequence(F.lit(0), cut_right - 1)).alias("__cell_right"),
     )
-    right_cells = right.join(grid, keys, "left").select(
+    right_cells = right_placed.select(
         *[col(c) for c in right.columns],
         F.explode(F.sequence(F.lit(0), cut_left - 1)).alias("__cell_left"),
         cell(right_split, cut_right).alias("__cell_right"),
     )
     cells = ["__cell_left", "__cell_right"]
     if pairs_per_task:
-        n_pairs = sizes.agg(F.sum(F.col("__n_left").cast("double") * F.col("__n_right"))).first()[0] or 0.0
         tasks = min(math.ceil(n_pairs / pairs_per_task), MAX_TASKS)
         if tasks > 1:
             dealt = [col(k) for k in keys + cells]

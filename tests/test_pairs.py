@@ -1,5 +1,7 @@
 """Pairs made from sites: same rows as joining to a pair list, and no shuffle of pairs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,19 @@ def test_tasks_follow_the_number_of_pairs(spark):
     assert dealt.distinct().count() == dealt.count() == 180_000
 
 
+def test_rows_are_dealt_before_they_are_copied(spark, monkeypatch):
+    """One small file of sites is one task, which alone had made all copies for the cells."""
+    monkeypatch.setattr(skew, "COPIES_PER_TASK", 1_000, raising=False)
+    side = spark.range(600).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
+    other = side.withColumnRenamed("a", "b")
+    dealt = skew.blocked_join(side, other, ["k"], ["a"], ["b"], 50, 20_000)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    # 600 rows a side in 6 cells each make 3 600 copies.
+    assert len(re.findall(r"hashpartitioning\(k#\d+L?, [ab]#\d+L?, 4\)", plan)) == 2
+    assert dealt.rdd.getNumPartitions() == 9
+    assert dealt.distinct().count() == dealt.count() == 180_000
+
+
 @pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("taxa", [[], ["Family"]])
 def test_scores_of_reference_pairs_need_no_pair_list(spark, monkeypatch, small, taxa):
